@@ -52,54 +52,59 @@ class _Model:
     """The adaptive state of all lanes.
 
     A prediction and its confidence share one number: id * 8 + confidence.
+    Frequencies of the four events lie side by side in flat arrays.
     """
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int32)
+        self.lane = np.arange(lanes)
         self.base, self.base0 = self.lane * _SLOTS, self.lane * _ORDER0
         self.order1, self.order2 = np.full(lanes * _SLOTS, -8, np.int64), np.full(lanes * _SLOTS, -8, np.int64)
         self.recent = np.full(lanes * _ORDER0, -1, np.int64)
-        by2, by1 = np.tile(np.array([40, 2, 12, 20], np.int32), (8, 1)), np.tile(np.array([4, 40, 12, 20], np.int32), (32, 1))
+        by2, by1 = np.tile(np.array([40, 2, 12, 20], np.int64), (8, 1)), np.tile(np.array([4, 40, 12, 20], np.int64), (32, 1))
         by2[0] = by1[:4] = (4, 4, 24, 40)
         self.by2, self.by1 = np.tile(by2, (lanes, 1)), np.tile(by1, (lanes, 1))
         self.row2, self.row1 = self.lane * 8, self.lane * 32
-        self.last1, self.last2, self.event = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int32)
+        self.last1, self.mix1, self.mix2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.event = np.zeros(lanes, np.int64)
 
     def look(self, n: int) -> None:
         """Predictions and event frequencies for the first ``n`` lanes."""
-        hashed = self.last1[:n] * _K1
-        self.at1 = self.base[:n] + ((hashed >> 6) & (_SLOTS - 1)).astype(np.int32)
-        self.at2 = self.base[:n] + ((hashed + self.last2[:n] * _K2 >> 6) & (_SLOTS - 1)).astype(np.int32)
-        held1, held2 = self.order1[self.at1], self.order2[self.at2]
+        base = self.base[:n]
+        self.at1 = (self.mix1[:n] >> 6 & (_SLOTS - 1)) + base
+        self.at2 = (self.mix1[:n] + self.mix2[:n] >> 6 & (_SLOTS - 1)) + base
+        held1, held2 = self.order1.take(self.at1), self.order2.take(self.at2)
         self.guess1, self.guess2 = held1 >> 3, held2 >> 3
-        self.c1, self.c2 = (held1 & 7).astype(np.int32), (held2 & 7).astype(np.int32)
+        self.c1, self.c2 = held1 & 7, held2 & 7
         self.now2 = self.row2[:n] + self.c2
-        self.now1 = self.row1[:n] + self.c1 * 4 + self.event[:n]
-        self.mixed = self.by2[self.now2] + self.by1[self.now1]
-        self.sum0 = self.mixed[:, 0]
-        self.sum1 = self.sum0 + self.mixed[:, 1]
-        self.sum2 = self.sum1 + self.mixed[:, 2]
-        self.total = self.sum2 + self.mixed[:, 3]
+        self.now1 = self.row1[:n] + (self.c1 << 2) + self.event[:n]
+        self.sums = np.cumsum(self.by2.take(self.now2, axis=0) + self.by1.take(self.now1, axis=0), axis=1)
+        self.total = self.sums[:, 3]
 
-    def below(self, event: np.ndarray) -> np.ndarray:
-        """Summed frequencies of the events before ``event``."""
-        return np.where(event == 0, 0, np.where(event == 1, self.sum0, np.where(event == 2, self.sum1, self.sum2)))
+    def share(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Summed frequencies of the events before ``event``, and its own."""
+        flat, at = self.sums.ravel(), (self.lane[: len(event)] << 2) + event
+        below = np.where(event > 0, flat.take(at - 1), 0)
+        return below, flat.take(at) - below
 
     def slot(self, ids: np.ndarray) -> np.ndarray:
-        return (ids * _K1 >> 5) & (_ORDER0 - 1)
+        return ids * _K1 >> 5 & (_ORDER0 - 1)
 
-    def learn(self, n: int, ids: np.ndarray, event: np.ndarray) -> None:
-        self.by2[self.now2, event] += _STEP
-        self.by1[self.now1, event] += _STEP
-        fresh = ids << 3 | 1
+    def learn(self, n: int, ids: np.ndarray, slots: np.ndarray, event: np.ndarray) -> None:
+        for table, row in ((self.by2, self.now2), (self.by1, self.now1)):
+            flat, at = table.ravel(), (row << 2) + event
+            flat[at] = flat.take(at) + _STEP
+        fresh = ids << 3
         for guess, sure, table, at in ((self.guess1, self.c1, self.order1, self.at1), (self.guess2, self.c2, self.order2, self.at2)):
-            table[at] = np.where(guess == ids, fresh - 1 + _SURER[sure], np.where(sure < 2, fresh, guess << 3 | sure >> 1))
-        self.recent[self.base0[:n] + self.slot(ids)] = ids
-        self.last2[:n], self.last1[:n], self.event[:n] = self.last1[:n], ids, event
+            table[at] = np.where(guess == ids, fresh + _SURER.take(sure), np.where(sure < 2, fresh + 1, (guess << 3) + (sure >> 1)))
+        self.recent[self.base0[:n] + slots] = ids
+        self.mix2[:n] = self.last1[:n] * _K2
+        self.last1[:n], self.event[:n] = ids, event
+        self.mix1[:n] = ids * _K1
 
     def fade(self) -> None:
-        self.by2 = (self.by2 + 1) >> 1
-        self.by1 = (self.by1 + 1) >> 1
+        for table in (self.by2, self.by1):
+            table += 1
+            table >>= 1
 
 
 def _lanes(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,27 +136,25 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK_IDS) -> list[bytes]:
 
     for t in range(int(sizes.max())):
         n = lanes if t < sizes[-1] else lanes - 1
-        now = steps[t, :n]
+        now = steps[t, :n].copy()
         model.look(n)
         slots = model.slot(now)
-        event = np.where(now == model.guess2, 0, np.where(now == model.guess1, 1, np.where(model.recent[model.base0[:n] + slots] == now, 2, 3)))
-        lane = model.lane[:n]
+        event = np.where(now == model.guess2, 0, np.where(now == model.guess1, 1, np.where(model.recent.take(model.base0[:n] + slots) == now, 2, 3)))
         unit = span[:n] // model.total
-        freq = model.mixed[lane, event]
-        low[:n] += unit * model.below(event)
-        part = unit * freq
-        code = np.where(now + 1 < _CODES, now + 1, 0)
-        unit = part >> _EXTRA_BITS[event]
-        low[:n] += unit * np.where(event == 3, _CUM[code], np.where(event == 2, slots, 0))
-        span[:n] = unit * np.where(event == 3, _FREQ[code], 1)
+        below, freq = model.share(event)
+        raw = event == 3
+        code = np.where(raw & (now + 1 < _CODES), now + 1, 0)
+        part = unit * freq >> _EXTRA_BITS.take(event)
+        low[:n] += unit * below + part * np.where(raw, _CUM.take(code), np.where(event == 2, slots, 0))
+        span[:n] = part * np.where(raw, _FREQ.take(code), 1)
         settle(n)
-        if (escaped := np.flatnonzero((event == 3) & (code == 0))).size:
+        if (escaped := np.flatnonzero(raw & (code == 0))).size:
             for shift in (16, 0):
                 unit = span[escaped] >> 16
                 low[escaped] += unit * (now[escaped] >> shift & 0xFFFF)
                 span[escaped] = unit
                 settle(n)
-        model.learn(n, now, event)
+        model.learn(n, now, slots, event)
         if t % _HALVE_EVERY == _HALVE_EVERY - 1:
             model.fade()
     for _ in range(3):
@@ -190,21 +193,21 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
     for t in range(len(steps)):
         n = lanes if t < sizes[-1] else lanes - 1
         model.look(n)
-        lane = model.lane[:n]
         unit = span[:n] // model.total
         value = code[:n] // unit
-        event = (value >= model.sum0).astype(np.int32) + (value >= model.sum1) + (value >= model.sum2)
-        freq = model.mixed[lane, event]
-        rest = code[:n] - unit * model.below(event)
-        unit = unit * freq >> _EXTRA_BITS[event]
+        event = (value[:, None] >= model.sums[:, :3]).sum(axis=1)
+        below, freq = model.share(event)
+        raw = event == 3
+        rest = code[:n] - unit * below
+        unit = unit * freq >> _EXTRA_BITS.take(event)
         value = rest // unit
-        coded = _INVERSE[np.where(event == 3, value, 0)]
-        code[:n] = rest - unit * np.where(event == 3, _CUM[coded], np.where(event == 2, value, 0))
-        span[:n] = unit * np.where(event == 3, _FREQ[coded], 1)
+        coded = _INVERSE.take(np.where(raw, value, 0))
+        code[:n] = rest - unit * np.where(raw, _CUM.take(coded), np.where(event == 2, value, 0))
+        span[:n] = unit * np.where(raw, _FREQ.take(coded), 1)
         settle(n)
-        recent = model.recent[model.base0[:n] + np.where(event == 2, value, 0)]
+        recent = model.recent.take(model.base0[:n] + np.where(event == 2, value, 0))
         now = np.where(event == 0, model.guess2, np.where(event == 1, model.guess1, np.where(event == 2, recent, coded - 1)))
-        if (escaped := np.flatnonzero((event == 3) & (coded == 0))).size:
+        if (escaped := np.flatnonzero(raw & (coded == 0))).size:
             now[escaped] = 0
             for _ in range(2):
                 unit = span[escaped] >> 16
@@ -214,7 +217,7 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
                 now[escaped] = now[escaped] << 16 | value
                 settle(n)
         steps[t, :n] = now
-        model.learn(n, now, event)
+        model.learn(n, now, model.slot(now), event)
         if t % _HALVE_EVERY == _HALVE_EVERY - 1:
             model.fade()
     return steps.T.ravel()[: int(sizes.sum())]
