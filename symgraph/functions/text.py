@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .languages import NOT_CALLS
 
 #: Every separator at which a text breaks into lines.
-LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 # Fixed value: a chain of identifiers joined by "." or "::" before an opening bracket.
 CALL_CHAIN = r"(?U)([A-Za-z_$][\w$]*(?:(?:::|\.)[A-Za-z_$][\w$]*)*)\s*\("
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.languages import NOT_METHODS
 from ..functions.patterns import DECLARATIONS, HEADERS, IMPORTS, Declaration
 from ..functions.text import blank, call_sites, count_of, indent, is_call, line_of, lines, strip
+from ..scratch import cut
 from .intervals import enclosing, nearest_before, next_at_most
 
 BRACES = ("javascript", "typescript", "java", "rust")
@@ -118,7 +119,8 @@ def docstrings(deep: DataFrame) -> DataFrame:
 
 def symbols(files: DataFrame) -> DataFrame:
     """(path, kind, name, qualname, parent, start_line, end_line, signature, doc)."""
-    deep = nesting(source_lines(files)).withColumn("d", declaration(F.col("lang"), F.col("text")))
+    # Six branches read the lines, so their patterns and sums are worked out once.
+    deep = cut(nesting(source_lines(files)).withColumn("d", declaration(F.col("lang"), F.col("text"))), "scan-lines")
     items = deep.where("d.symbol").select("path", "lang", "module", "n_lines", "line", "level", "d")
     around = items.join(container_reach(deep), "path").where((F.col("from_line") < F.col("line")) & (F.col("line") <= F.coalesce("last", F.lit(2**31 - 1))))
     outers = around.groupBy("path", "line").agg(F.sort_array(F.collect_list(F.struct("from_line", "outer", "outer_kind"))).alias("outers"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.languages import language, module_id
+from ..functions.languages import EXTENSIONS, language, module_id
 from ..functions.text import glob_regex, line_count
 from ..settings import Settings
 
@@ -46,28 +51,81 @@ def included(path: Column, patterns: list[str]) -> Column:
     return _any([(path == b) | path.startswith(b + "/") for b in bases] + [path.rlike(glob_regex(p)) for p in patterns if p])
 
 
-def discover(spark: SparkSession, settings: Settings) -> DataFrame:
-    """(path, lang, size, content) of every file to index.
+class TreeReader(DataSourceReader):
+    """Walks a source tree, one task for each folder near its top.
+
+    Excluded folders are not entered, and no content is read for a file that
+    its name or size rules out.
+    """
 
-    Filters use the listing only; no content is read for a file they drop.
+    def __init__(self, options: dict[str, str]):
+        self.root = options["path"].rstrip("/")
+        self.prune = [re.compile(p) for p in json.loads(options.get("prune", "[]"))]
+        self.suffixes = tuple(json.loads(options.get("suffixes", "[]")))
+        self.most = int(options.get("maxbytes", 2**62))
+
+    def _folders(self, folder: str) -> list[str]:
+        with os.scandir(folder) as entries:
+            return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and not any(p.match(e.name) for p in self.prune))
+
+    def partitions(self) -> list[InputPartition]:
+        top = self._folders(self.root)
+        below = [f for folder in top for f in self._folders(folder)]
+        # Folders of the first two levels give their own files, deeper ones all that lies below.
+        return [InputPartition((f, False)) for f in (self.root, *top)] + [InputPartition((f, True)) for f in below]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, int, bytes]]:
+        start, deep = partition.value
+        waiting = [start]
+        while waiting:
+            folder = waiting.pop()
+            if deep:
+                waiting += self._folders(folder)
+            with os.scandir(folder) as entries:
+                files = [e for e in entries if e.is_file() and (not self.suffixes or e.name.lower().endswith(self.suffixes))]
+            for entry in files:
+                try:
+                    size = entry.stat().st_size
+                    if size <= self.most:
+                        with open(entry.path, "rb") as content:
+                            yield os.path.relpath(entry.path, self.root).replace(os.sep, "/"), size, content.read()
+                except OSError:
+                    continue  # the file has gone or cannot be read
+
+
+class TreeSource(DataSource):
+    """Source trees as (path, size, content), with names that Spark's own file listing would hide.
+
+    The root must be mounted where tasks run.
     """
-    root = settings.root.rstrip("/")
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
-        .option("ignoreCorruptFiles", True).load(root)
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
+
+    def schema(self) -> str:
+        return "path string, size long, content binary"
+
+    def reader(self, schema) -> TreeReader:
+        return TreeReader(dict(self.options))
+
+
+def discover(spark: SparkSession, settings: Settings) -> DataFrame:
+    """(path, lang, size, content) of every file to index."""
+    spark.dataSource.register(TreeSource)
+    names = [glob_regex(p) for p in settings.exclude if p and "/" not in p]
+    found = (
+        spark.read.format("source_tree").option("prune", json.dumps(names)).option("suffixes", json.dumps(sorted(EXTENSIONS | settings.language_map)))
+        .option("maxbytes", settings.max_file_kb * 1024).load(settings.root)
     )
-    # Listed paths are URIs; what follows the root is the path in the tree.
-    tail = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^[a-z]+:/*", "/")
-    path = F.substring(tail, F.lit(len(root) + 2), F.length(tail))
-    found = listed.select(path.alias("path"), F.col("length").alias("size"), "content")
     lang = language(F.col("path"), settings.language_map)
     keep = ~excluded(F.col("path"), settings.exclude) & included(F.col("path"), settings.include) & lang.isNotNull()
-    return found.where((F.col("size") <= settings.max_file_kb * 1024) & keep).select("path", lang.alias("lang"), "size", "content")
+    return found.where(keep).select("path", lang.alias("lang"), "size", "content")
 
 
 def decoded(content: Column) -> Column:
     """Bytes as text: bad UTF-8 becomes U+FFFD, a byte order mark goes."""
-    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^﻿", "")
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\ufeff", "")
 
 
 def with_text(found: DataFrame) -> DataFrame:
