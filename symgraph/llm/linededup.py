@@ -21,13 +21,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut, let, scratch_path
+from .common import HOT_SHARE, SPACE_CHARS, cut, let, scratch_path
 
 MIN_KEY_CHARS = 10
 BATCHES = 4
 FANOUT = 3
-#: A line that more than 1/HOT_SHARE of all rows hold is joined by broadcast; there are fewer than HOT_SHARE such lines.
-HOT_SHARE = 2_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -7,17 +7,19 @@ with equal sets are one set with copies. The join runs in steps:
    aggregation finds whether a single set holds it. A set with more such
    unique n-grams than the threshold leaves room for can have no partner.
    Most sets end here; no rows are compared.
-2. Signatures. N-grams are put in one global order: rare class by hash, then
-   frequent class by hash. A set's prefix is extended until its rare n-grams,
-   and its frequent ones less one, reach the length that the threshold asks
-   for. Rare n-grams are indexed singly, frequent ones in pairs. Two linked
-   sets share a signature: within the shorter prefix they share one n-gram if
-   all are rare, else two, of which either one is rare or both are frequent.
+2. Signatures. N-grams are put in one global order: unique ones, then the rare
+   class by hash, then the frequent class by hash. A set's prefix is extended
+   until its unique and rare n-grams, and its frequent ones less one, reach the
+   length that the threshold asks for. Rare n-grams are indexed singly, frequent
+   ones in pairs. Two linked sets share a signature: within the shorter prefix
+   they share one n-gram if all are rare, else two, of which either one is rare
+   or both are frequent. Signatures with the same members count once.
 3. Linking. The sets under a signature are compared with one hub of theirs,
-   linked sets are merged into components, and this repeats with other hubs
-   while it links anything. What then still stands in different components
-   under one signature is compared pair by pair. So large groups of near
-   copies cost a few comparisons for each member, and no link is lost.
+   linked sets are merged into components, and this repeats with other hubs.
+   Sets that then still stand in different components under one signature are
+   compared in blocks by their sketches, which bound the intersection from
+   above; only pairs that the bound lets pass become rows and are verified.
+   No link is lost, and a group of near copies never becomes rows of all pairs.
 
 Comparisons are exact on the hashed sets. Two different n-grams or sets are
 taken for equal only if their 64-bit hashes agree.
@@ -47,6 +49,10 @@ FREQUENT = 512
 #: At most this many n-grams are held as frequent; the bound on counts doubles until they fit.
 MAX_FREQUENT = 1 << 20
 HUB_ROUNDS = 3
+#: A sketch counts a set's n-grams in this many buckets.
+BUCKETS = 512
+#: Sets of one signature that one side of a block holds, about.
+BLOCK = 1_024
 _M = np.uint64(0x9E3779B97F4A7C15)
 _C = np.uint64(0xFF51AFD7ED558CCD)
 _S = np.uint64(33)
@@ -122,27 +128,35 @@ def read_sets(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
 
 
 def survivors(read: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(sid, rep, n, copies) of all sets, and of those that may have a partner."""
+    """(sid, rep, n, copies) of all sets; and (sid, rep, alone) of those that may have a partner, with their unique n-grams."""
     known = read.where("doc_id IS NOT NULL AND sid IS NOT NULL")
     sets = cut(known.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "sets")
     holders = known.select("sid", F.explode("sample").alias("token")).groupBy("token").agg(F.min("sid").alias("sid"), F.max("sid").alias("other"))
-    unique = holders.where("sid = other").groupBy("sid").agg(F.count("*").alias("alone"))
-    alone = F.coalesce(F.col("alone"), F.lit(0))
-    left = sets.join(unique, "sid", "left").where(alone <= F.col("n") - least_shared(F.col("n"), percent))
-    return sets, cut(left.select("sid", "rep"), "survivors")
+    # A set's unique n-grams are at most its counted ones.
+    unique = holders.where("sid = other").groupBy("sid").agg(F.collect_list("token").alias("alone"))
+    alone = F.coalesce("alone", F.array().cast("array<long>"))
+    left = sets.join(unique, "sid", "left").where(F.size(alone) <= F.col("n") - least_shared(F.col("n"), percent))
+    return sets, cut(left.select("sid", "rep", alone.alias("alone")), "survivors")
+
+
+def sketch(tokens: np.ndarray) -> bytes | None:
+    """Counts of the n-grams by bucket; None if a count does not fit a byte."""
+    counts = np.bincount((tokens & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
 
 
 def set_tokens(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """(sid, n, tokens) for the wanted (sid, rep), read from one document each."""
-    given = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(bounded(wanted), "rep")
+    """(sid, n, tokens, alone, sketch) for the wanted (sid, rep, alone), read from one document each."""
+    given = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(bounded(wanted.select("sid", "rep")), "rep")
 
-    def of(texts: list[str | None]) -> tuple[list, list, list]:
+    def of(texts: list[str | None]) -> tuple[list, list, list, list]:
         found = [shingle_set(t, n) for t in texts]
-        return [set_id(t) for t in found], [len(t) for t in found], [t.view(np.int64) for t in found]
+        return [set_id(t) for t in found], [len(t) for t in found], [t.view(np.int64) for t in found], list(map(sketch, found))
 
-    columns = {"own": ("long", pa.int64()), "n": ("long", pa.int64()), "tokens": ("array<long>", pa.list_(pa.int64()))}
+    columns = {"own": ("long", pa.int64()), "n": ("long", pa.int64()), "tokens": ("array<long>", pa.list_(pa.int64())), "sketch": ("binary", pa.binary())}
     # Rows that repeat an id may hold another text; those are not the wanted set.
-    return map_texts(given, ["sid"], columns, of).where("sid = own").select("sid", "n", "tokens")
+    read = map_texts(given, ["sid"], columns, of).where("sid = own")
+    return read.join(wanted.select("sid", "alone"), "sid").select("sid", "n", "tokens", "alone", "sketch")
 
 
 def frequent_tokens(sets: DataFrame, percent: int, bound: int = FREQUENT, most: int = MAX_FREQUENT) -> np.ndarray:
@@ -160,9 +174,10 @@ def frequent_tokens(sets: DataFrame, percent: int, bound: int = FREQUENT, most:
     return np.sort(rows["token"].to_numpy(dtype=np.int64))
 
 
-def set_signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of one set, whose tokens rise as unsigned numbers."""
-    need = prefix_need(len(tokens), percent)
+def set_signatures(tokens: np.ndarray, alone: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures of one set, whose tokens rise as unsigned numbers; ``alone`` are unique to it."""
+    need = prefix_need(len(tokens), percent) - len(alone)
+    tokens = tokens[~np.isin(tokens, alone)]
     at = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
     common = frequent[at] == tokens if len(frequent) else np.zeros(len(tokens), bool)
     single = tokens[~common][:need]
@@ -179,12 +194,29 @@ def signatures(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sid, n, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = set_signatures(np.asarray(tokens.values), shared.value, percent)
+            sids, ns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for sid, n, tokens, alone in zip(sids, ns, batch.column(2), batch.column(3), strict=True):
+                found = set_signatures(np.asarray(tokens.values), np.asarray(alone.values), shared.value, percent)
                 size = len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(size, sid)), pa.array(np.full(size, n))], names=["sig", "sid", "n"])
 
-    return sets.select("sid", "n", "tokens").mapInArrow(run, "sig long, sid long, n long")
+    return sets.select("sid", "n", "tokens", "alone").mapInArrow(run, "sig long, sid long, n long")
+
+
+def distinct_lists(index: DataFrame) -> DataFrame:
+    """(sig, least, width, sid, n, weight) of the signatures that count.
+
+    Signatures that one set holds alone are left out, and of those with the
+    same members one stays. ``least`` is a signature's least member, ``width``
+    the longest list with that one, and ``weight`` how much a set shares.
+    """
+    members = index.groupBy("sig").agg(
+        F.count("*").alias("size"), F.min("sid").alias("least"), F.max("sid").alias("most"), F.bit_xor(F.xxhash64("sid")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "sid")).alias("h2")
+    )
+    kept = cut(members.where("least <> most").groupBy("least", "most", "h1", "h2").agg(F.min("sig").alias("sig"), F.min("size").alias("size"), F.count("*").alias("times")), "kept")
+    kept = kept.join(kept.groupBy("least").agg(F.max("size").alias("width")), "least")
+    lists = cut(index.join(kept.select("sig", "least", "width", (F.col("size") * F.col("times")).alias("part")), "sig"), "lists")
+    return cut(lists.join(lists.groupBy("sid").agg(F.sum("part").alias("weight")), "sid").select("sig", "least", "width", "sid", "n", "weight"), "index")
 
 
 def fits(a: Column, b: Column, percent: int) -> Column:
@@ -200,6 +232,78 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("shared", shared).where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent).select("a", "b").distinct()
 
 
+def bound_allows(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sketches leave room for the threshold, for each row of ``left`` against each of ``right``."""
+    top = int(max(left.max(initial=0), right.max(initial=0)))
+    if top <= 12:
+        # The lesser of two counts is the number of levels that both reach.
+        level = lambda m: np.concatenate([(m >= k) for k in range(1, top + 1)], axis=1).astype(np.float32) if top else np.zeros((len(m), 1), np.float32)
+        shared = np.rint(level(left) @ level(right).T)
+    else:
+        shared = np.array([np.minimum(row, right).sum(axis=1, dtype=np.int64) for row in left]).reshape(len(left), len(right))
+    return 100 * shared >= percent * (n_left[:, None] + n_right[None, :] - shared)
+
+
+def sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out."""
+    side = lambda name: sets.select(F.col("sid").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
+            sa, sb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            told = np.array([x is not None and y is not None for x, y in zip(sa, sb, strict=True)], dtype=bool)
+            table = lambda s: np.frombuffer(b"".join(x for x, t in zip(s, told, strict=True) if t), np.uint8).reshape(-1, BUCKETS)
+            shared = np.minimum(table(sa), table(sb)).sum(axis=1, dtype=np.int64)
+            keep = ~told
+            keep[told] = 100 * shared >= percent * (na[told] + nb[told] - shared)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def block_pairs(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components under a signature that their sketches do not rule out.
+
+    ``split`` holds (sig, least, width, sid, comp). Signatures with the same
+    least member are handled together, so a pair that shares many signatures
+    is mostly told once. Members of long lists are dealt into blocks, and every
+    two blocks meet in a group of bounded size.
+    """
+    blocks = F.ceil(F.col("width") / F.lit(BLOCK)).cast("int")
+    placed = split.withColumn("own", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = placed.select("least", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "sid", "comp")
+    keys = ["least", "i", "j"]
+    held = cells.select(*keys, "own", "sid", "comp").distinct().join(sets.select("sid", "n", "sketch"), "sid")
+    held = held.toDF(*[f"{c}_" if c in keys else c for c in held.columns]).select("least_", "i_", "j_", *[F.col(c).alias(c) for c in ("own", "sid", "comp", "n", "sketch")])
+
+    def meet(signed: pa.Table, table: pa.Table) -> pa.Table:
+        i, j = table.column("i_")[0].as_py(), table.column("j_")[0].as_py()
+        own, sid, comp, n = (table.column(c).to_numpy() for c in ("own", "sid", "comp", "n"))
+        raw = table.column("sketch").to_pylist()
+        counts = np.array([np.frombuffer(x, np.uint8) if x else np.full(BUCKETS, 255, np.uint8) for x in raw]).reshape(-1, BUCKETS)
+        order = np.argsort(sid)
+        row = order[np.searchsorted(sid, signed.column("sid").to_numpy(), sorter=order)]
+        sigs = np.unique(signed.column("sig").to_numpy(), return_inverse=True)[1]
+        holds = np.zeros((len(sid), int(sigs.max()) + 1), np.float32)
+        holds[row, sigs] = 1
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(left), 256):
+            part = left[at : at + 256]
+            good = (holds[part] @ holds[right].T > 0) & (comp[part][:, None] != comp[right][None, :])
+            if i == j:
+                good &= sid[part][:, None] < sid[right][None, :]
+            good &= bound_allows(counts[part], counts[right], n[part], n[right], percent)
+            x, y = np.nonzero(good)
+            found.append(np.stack((sid[part[x]], sid[right[y]])))
+        both = np.concatenate(found, axis=1)
+        return pa.table({"a": np.minimum(both[0], both[1]), "b": np.maximum(both[0], both[1])})
+
+    return cells.groupBy(*keys).cogroup(held.groupBy("least_", "i_", "j_")).applyInArrow(meet, "a long, b long")
+
+
 def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(sid, comp) after merging the components that ``links`` (a, b) connect.
 
@@ -224,36 +328,31 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, comp) of the indexed sets."""
+    """(sid, comp) of the sets in ``index``, which comes from :func:`distinct_lists`.
+
+    The first hub of a list is the member that shares most, later ones stand
+    for components at random.
+    """
     labels = cut(index.select("sid", F.col("sid").alias("comp")).distinct(), "labels")
     tested = None
-
-    def fresh(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        return cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-
     for turn in range(HUB_ROUNDS + 1):
         placed = index.join(labels, "sid")
+        rank = F.xxhash64("comp", F.lit(turn)) if turn else -F.col("weight")
+        hub = F.min(F.struct(rank.alias("rank"), "comp", "sid", "n"))
+        hubs = placed.groupBy("sig").agg(hub.alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         if turn < HUB_ROUNDS:
-            hub = F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "comp", "sid", "n"))
-            hubs = placed.groupBy("sig").agg(hub.alias("hub"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
             met = placed.join(hubs, "sig").where((F.col("comp") != F.col("hub.comp")) & fits(F.col("n"), F.col("hub.n"), percent))
             pairs = met.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b"))
         else:
-            split = placed.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("sig")
-            left = placed.join(split, "sig", "left_semi")
-            right = left.select("sig", F.col("sid").alias("sid2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
-            met = left.join(right, "sig").where((F.col("comp") < F.col("comp2")) & fits(F.col("n"), F.col("n2"), percent))
-            pairs = met.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b"))
-        pairs = fresh(pairs)
-        if not pairs.limit(1).count():
-            if turn >= HUB_ROUNDS:
-                break
+            pairs = block_pairs(placed.join(hubs.select("sig"), "sig", "left_semi"), sets, percent)
+        pairs = pairs.distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
             continue
-        links = cut(verify(pairs, sets, percent), "links")
-        if links.limit(1).count():
-            labels = merge_components(labels, links)
         tested = pairs if tested is None else tested.unionByName(pairs)
+        links = cut(verify(pairs if turn == HUB_ROUNDS else sketched(pairs, sets, percent), sets, percent), "links")
+        if not links.isEmpty():
+            labels = merge_components(labels, links)
     return labels
 
 
@@ -265,8 +364,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str =
     discard(read)
     tokens = cut(set_tokens(docs, left, n, doc_id, text), "set-tokens")
     index = cut(signatures(tokens, frequent_tokens(tokens, percent), percent), "index")
-    shared = index.groupBy("sig").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("sig")
-    labels = components(cut(index.join(shared, "sig"), "shared"), tokens, percent)
+    labels = components(distinct_lists(index), tokens, percent)
     placed = sets.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
     known = cut(placed.join(least, "comp").select("sid", "component_id", "copies"), "set-components")
