@@ -26,7 +26,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(quality.clean(docs).where("quality.kept"), F.col("quality.clean_text"))
+    return _with_text(quality.kept_documents(docs), F.col("quality.clean_text"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,3 +140,14 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
 
     passing = F.array_join(F.filter(F.split(base, "\n"), lambda line: ~line_fails(line)), "\n")
     return docs.withColumn("quality", let(statistics(base), lambda s: let(passing, lambda t: verdict(s, t))))
+
+
+def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of :func:`clean` that are kept.
+
+    The verdict passes through a generator, so Spark cannot evaluate the
+    cleaning once for a filter and again for the result.
+    """
+    judged = clean(docs, text)
+    kept = F.explode(F.filter(F.array("quality"), lambda q: q["kept"]))
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "quality"], kept.alias("quality"))
