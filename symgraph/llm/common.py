@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +72,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bytes of text that a task holds as Python objects at a time, about; a longer text stands alone.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, place: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``limit`` bytes of text in column ``place``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+    starts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit)) + 1).tolist(), len(sizes)]
+    for start, end in itertools.pairwise(starts):
+        yield batch.slice(start, end - start)
+
+
 def map_texts(docs: DataFrame, keep: list[str], columns: dict[str, tuple[str, pa.DataType]], fn, text: str = "text") -> DataFrame:
     """The columns ``keep``, untouched, with ``columns`` computed from the texts.
 
@@ -81,7 +96,7 @@ def map_texts(docs: DataFrame, keep: list[str], columns: dict[str, tuple[str, pa
     place = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(b, place) for b in batches):
             made = fn(batch.column(place).to_pylist())
             arrays = [batch.column(i) for i in range(place)] + [pa.array(c, type=t) for c, t in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *columns])

@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import slices
 from .rangecoder import pack_frame, unpack_frame
 from .tokens import Encoder
 
@@ -49,7 +51,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
             row = [[shard], [frame], [names], [[len(x) for x in held]], [n], [pack_frame(np.concatenate(held))]]
             return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, _FRAME, strict=True)], schema=_FRAME)
 
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, 1) for b in batches):
             encoded = Encoder.of(vocabulary).encode(batch.column(1).to_pylist(), end_id)
             for name, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 names.append(name)
