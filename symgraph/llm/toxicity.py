@@ -185,7 +185,7 @@ def calibrate(model: ToxicityModel, train: DataFrame) -> ToxicityModel:
     best, model.cut = None, 0.25
     for at in range(0, 401):
         wrong = sum(r["n"] for r in steps if (r["step"] >= at) != bool(r["toxic"]))
-        best, model.cut = (wrong, at / 2) if best is None or wrong < best else (best, model.cut)
+        best, model.cut = (wrong, at / 2) if best is None or wrong <= best else (best, model.cut)
     # Move from the lowest score of the toxic side to the middle of the empty stretch below it.
     below = [r["step"] for r in steps if r["step"] < model.cut * 2]
     if below:
