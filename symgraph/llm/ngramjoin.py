@@ -155,7 +155,8 @@ def set_tokens(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: st
 
     columns = {"own": ("long", pa.int64()), "n": ("long", pa.int64()), "tokens": ("array<long>", pa.list_(pa.int64())), "sketch": ("binary", pa.binary())}
     # Rows that repeat an id may hold another text; those are not the wanted set.
-    read = map_texts(given, ["sid"], columns, of).where("sid = own")
+    # Those that repeat both id and text are one set and count once.
+    read = map_texts(given, ["sid"], columns, of).where("sid = own").dropDuplicates(["sid"])
     return read.join(wanted.select("sid", "alone"), "sid").select("sid", "n", "tokens", "alone", "sketch")
 
 
@@ -211,9 +212,11 @@ def distinct_lists(index: DataFrame) -> DataFrame:
     the longest list with that one, and ``weight`` how much a set shares.
     """
     members = index.groupBy("sig").agg(
-        F.count("*").alias("size"), F.min("sid").alias("least"), F.max("sid").alias("most"), F.bit_xor(F.xxhash64("sid")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "sid")).alias("h2")
-    )
-    kept = cut(members.where("least <> most").groupBy("least", "most", "h1", "h2").agg(F.min("sig").alias("sig"), F.min("size").alias("size"), F.count("*").alias("times")), "kept")
+        F.count("*").alias("size"), F.min("sid").alias("least"), F.max("sid").alias("most"), F.bit_xor(F.xxhash64("sid")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "sid")).alias("h2"),
+        # Upper halves, so that the sum of a long list does not overflow.
+        F.sum(F.shiftright(F.xxhash64(F.lit(11), "sid"), 32)).alias("h3"),
+    )
+    kept = cut(members.where("least <> most").groupBy("size", "least", "most", "h1", "h2", "h3").agg(F.min("sig").alias("sig"), F.count("*").alias("times")), "kept")
     kept = kept.join(kept.groupBy("least").agg(F.max("size").alias("width")), "least")
     lists = cut(index.join(kept.select("sig", "least", "width", (F.col("size") * F.col("times")).alias("part")), "sig"), "lists")
     return cut(lists.join(lists.groupBy("sid").agg(F.sum("part").alias("weight")), "sid").select("sig", "least", "width", "sid", "n", "weight"), "index")

@@ -223,6 +223,23 @@ def test_ngram_join_cases(odd, empty):
     assert ngramjoin.link_documents(empty).count() == 0
 
 
+def test_ngram_join_counts_repeated_rows_once(spark):
+    """Three near copies with the third row doubled, then every row doubled."""
+    rng = random.Random(9)
+    docs, doubled = [], []
+    for group in range(60):
+        base = [f"g{group}w{k}" for k in range(60)]
+        changed = list(base)
+        for at in rng.sample(range(2, 58, 7), 4):
+            changed[at] = f"g{group}v{at}"
+        docs += [(len(docs) + k, " ".join(words)) for k, words in enumerate((base, [*base, "some", "more"], changed))]
+        doubled.append(docs[-1])
+    want = brute_links(docs, 4, 50)
+    for rows in (docs + doubled, docs + docs):
+        got = ngramjoin.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4, 50).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_quality_cases(odd, empty):
     judged = quality.clean(odd.drop("quality")).collect()
     assert len(judged) == odd.count()
