@@ -93,20 +93,24 @@ def prefix_need(n: int, percent: int) -> int:
 def read_sets(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, sid, n, sample): each document's set id, set size and counted n-grams.
 
-    The sample is null where this task has emitted the same set before.
+    The sample is null where this task has emitted the same set before, and for
+    rows with a null id, which never stand for their set.
     """
     top = np.uint64(int(COUNTED * 2**64))
 
     def sets() -> object:
         seen: set[int] = set()
 
-        def of(texts: list[str | None]) -> tuple[list, list, list]:
+        def of(texts: list[str]) -> tuple[list, list, list]:
             ids, sizes, samples = [], [], []
             for t in texts:
-                tokens = shingle_set(t, n)
+                tokens = shingle_set(t[1:], n)
                 sid = set_id(tokens) if len(tokens) else None
                 ids.append(sid)
                 sizes.append(len(tokens))
+                if t[0] == "-":
+                    samples.append(None)
+                    continue
                 samples.append(None if sid is None or sid in seen else tokens[: np.searchsorted(tokens, top)].view(np.int64))
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -116,10 +120,13 @@ def read_sets(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
         return of
 
     columns = {"sid": ("long", pa.int64()), "n": ("long", pa.int64()), "sample": ("array<long>", pa.list_(pa.int64()))}
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    known = F.col(doc_id).cast("long")
+    # The first character tells whether the row has an id.
+    marked = F.concat(F.when(known.isNull(), "-").otherwise("+"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    given = docs.select(known.alias("doc_id"), marked.alias("text"))
     state: list = []
 
-    def once(texts: list[str | None]) -> tuple[list, list, list]:
+    def once(texts: list[str]) -> tuple[list, list, list]:
         if not state:
             state.append(sets())
         return state[0](texts)

@@ -240,6 +240,16 @@ def test_ngram_join_counts_repeated_rows_once(spark):
         assert len(got) == len(rows) and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_ngram_join_samples_no_rows_without_id(spark):
+    """A set that a task first meets in a row with a null id."""
+    words = [f"w{k}" for k in range(200)]
+    near = [*words[:100], "other", *words[101:]]
+    rows = [(None, " ".join(words)), (5, " ".join(words)), (7, " ".join(near)), (None, None), (8, None)]
+    got = ngramjoin.link_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got if r["doc_id"]) == [(5, 197, 5), (7, 197, 5), (8, 0, 8)]
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got if not r["doc_id"]) == [(0, None), (197, None)]
+
+
 def test_quality_cases(odd, empty):
     judged = quality.clean(odd.drop("quality")).collect()
     assert len(judged) == odd.count()
