@@ -146,10 +146,17 @@ def survivors(read: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return sets, cut(left.select("sid", "rep", alone.alias("alone")), "survivors")
 
 
-def sketch(tokens: np.ndarray) -> bytes | None:
-    """Counts of the n-grams by bucket; None if a count does not fit a byte."""
+def sketch(tokens: np.ndarray) -> bytes:
+    """Counts of the n-grams by bucket, as bytes; as 32-bit numbers if a count does not fit a byte."""
     counts = np.bincount((tokens & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def sketch_table(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows; 32-bit numbers if any of them is."""
+    if all(len(x) == BUCKETS for x in sketches):
+        return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BUCKETS)
+    return np.array([np.frombuffer(x, np.uint8 if len(x) == BUCKETS else np.uint32) for x in sketches], dtype=np.uint32)
 
 
 def set_tokens(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
@@ -262,12 +269,8 @@ def sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
-            sa, sb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            told = np.array([x is not None and y is not None for x, y in zip(sa, sb, strict=True)], dtype=bool)
-            table = lambda s: np.frombuffer(b"".join(x for x, t in zip(s, told, strict=True) if t), np.uint8).reshape(-1, BUCKETS)
-            shared = np.minimum(table(sa), table(sb)).sum(axis=1, dtype=np.int64)
-            keep = ~told
-            keep[told] = 100 * shared >= percent * (na[told] + nb[told] - shared)
+            shared = np.minimum(sketch_table(batch.column(4).to_pylist()), sketch_table(batch.column(5).to_pylist())).sum(axis=1, dtype=np.int64)
+            keep = 100 * shared >= percent * (na + nb - shared)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -291,8 +294,7 @@ def block_pairs(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def meet(signed: pa.Table, table: pa.Table) -> pa.Table:
         i, j = table.column("i_")[0].as_py(), table.column("j_")[0].as_py()
         own, sid, comp, n = (table.column(c).to_numpy() for c in ("own", "sid", "comp", "n"))
-        raw = table.column("sketch").to_pylist()
-        counts = np.array([np.frombuffer(x, np.uint8) if x else np.full(BUCKETS, 255, np.uint8) for x in raw]).reshape(-1, BUCKETS)
+        counts = sketch_table(table.column("sketch").to_pylist())
         order = np.argsort(sid)
         row = order[np.searchsorted(sid, signed.column("sid").to_numpy(), sorter=order)]
         sigs = np.unique(signed.column("sig").to_numpy(), return_inverse=True)[1]

@@ -250,6 +250,22 @@ def test_ngram_join_samples_no_rows_without_id(spark):
     assert sorted((r["n_shingles"], r["component_id"]) for r in got if not r["doc_id"]) == [(0, None), (197, None)]
 
 
+def test_ngram_join_blocks_of_very_long_sets(spark):
+    """Over 150,000 n-grams each: 1 and 2 are nearly equal, 3 shares a third with them; 4 is short and ruled out."""
+    rng = np.random.default_rng(10)
+    tokens = rng.integers(0, 2**63, 152_000, dtype=np.int64).astype(np.uint64)
+    sets = {1: tokens, 2: tokens[1_500:], 3: np.concatenate((tokens[:50_000], rng.integers(0, 2**63, 101_000, dtype=np.int64).astype(np.uint64))), 4: tokens[:60]}
+    held = spark.createDataFrame([(k, len(t), bytearray(ngramjoin.sketch(t))) for k, t in sets.items()], "sid long, n long, sketch binary")
+    split = spark.createDataFrame([(9, 1, 4, k, k) for k in sets], "sig long, least long, width long, sid long, comp long")
+    left = ngramjoin.block_pairs(split, held, 85)
+    found = {tuple(r) for r in left.collect()}
+    assert (1, 2) in found and not any(b == 4 for _, b in found)
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+    assert {tuple(r) for r in ngramjoin.sketched(pairs, held, 85).collect()} == found
+    tokens = spark.createDataFrame([(k, len(t), t.view(np.int64).tolist()) for k, t in sets.items()], "sid long, n long, tokens array<long>")
+    assert [tuple(r) for r in ngramjoin.verify(left, tokens, 85).collect()] == [(1, 2)]
+
+
 def test_quality_cases(odd, empty):
     judged = quality.clean(odd.drop("quality")).collect()
     assert len(judged) == odd.count()
