@@ -2,18 +2,22 @@
 
 Text is cut into units: runs of spaces with the word behind them. In a unit,
 an agenda holds the candidate merges of neighbouring pieces, best score first
-and leftmost among equals. A keyed hash of seed, unit, variant and the
-candidate's place decides whether a candidate is skipped; skipped ones never
+and leftmost among equals. A keyed hash of seed, document, the unit's place in
+the text and the candidate's place in the unit decides whether a candidate is
+skipped, so every occurrence of a word is split on its own; skipped ones never
 come back. What remains is merged as usual, characters without a piece fall
 back to bytes, and the ids decode to the text again whatever was skipped.
 Without dropout the ids are those of the sentencepiece library.
 
-Units that recur are looked up in a bounded table. Short new units of a batch
-go through the agenda together as rows of a matrix; long ones use a heap.
+A bounded table holds how a unit is split when given candidates are skipped,
+with all candidates that were offered on the way. An occurrence starts at the
+entry without skips; where its hash skips offered candidates, it moves on to the
+entry with those skipped, until no more are. Entries that are missing go through
+the agenda together as rows of a matrix; long units use a heap each time.
 
 Cases: null and empty texts have no ids. U+2581 in a text is coded as bytes,
 so that it decodes to itself. Texts of any length are coded whole. Rows that
-repeat an id get equal ids. Other columns pass through or play no part.
+repeat an id and a text get equal ids. Other columns pass through or play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from itertools import chain
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +36,15 @@ from .common import map_texts
 
 DROPOUT = 0.1
 SEED = 20_240_607
-#: Documents fall into this many variants; a unit is split alike within one.
-VARIANTS = 4
+#: Entries of the table of splits.
 CACHE_UNITS = 800_000
+#: Occurrences whose candidates are hashed together.
+HASHED_ROWS = 50_000
 #: Units of up to this many characters are handled as matrix rows.
 MATRIX_CHARS = 32
 MATRIX_ROWS = 20_000
+#: A candidate's left, middle and right place in a short unit are the digits of one number to this base.
+_BASE = MATRIX_CHARS + 1
 _SPACE = "▁"
 #: Stands for U+2581 itself; no valid text holds a lone surrogate.
 _LITERAL = "\udc81"
@@ -54,7 +61,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def skipped(key: np.ndarray, left: np.ndarray, middle: np.ndarray, right: np.ndarray, dropout: float) -> np.ndarray:
-    """Whether the candidate that joins [left, middle) and [middle, right) is skipped; ``key`` stands for seed, variant and unit."""
+    """Whether the candidate that joins [left, middle) and [middle, right) is skipped; ``key`` stands for seed, document and unit place."""
     with np.errstate(over="ignore"):
         place = (left.astype(np.uint64) * _M + middle.astype(np.uint64)) * _M + right.astype(np.uint64)
         return (_mix(_mix(key.astype(np.uint64)) + place) >> np.uint64(32)).astype(np.int64) < int(dropout * 2**32)
@@ -88,8 +95,12 @@ class MergeDropout:
         # A first table by hash answers most lookups of pairs that never join.
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[self._slot(keys)] = True
-        self.cache: dict[int, dict[str, list[int]]] = {}
-        self.held = 0
+        self.symbol_of = -1 - np.arange(0x110000, dtype=np.int64)
+        for piece, at in self.pieces.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = at
+        # By unit, or (unit, skipped candidates): ids and the candidates offered, as packed numbers.
+        self.cache: dict[str | tuple[str, bytes], tuple[bytes, bytes]] = {}
 
     @classmethod
     def of(cls, path: str, dropout: float, seed: int) -> MergeDropout:
@@ -102,9 +113,11 @@ class MergeDropout:
     def _slot(keys: np.ndarray) -> np.ndarray:
         return ((keys >> 32) * 40_503 + (keys & 0xFFFFFFFF) * 60_493) & ((1 << 22) - 1)
 
-    def key(self, unit: str, variant: int) -> int:
-        raw = unit.encode("utf-8", "surrogatepass")
-        return (zlib.crc32(raw) << 32 | zlib.adler32(raw)) ^ (self.seed * 1_000_003 + variant * 7_919) & (2**64 - 1)
+    def keys_of(self, text: str, document: int, units: int) -> np.ndarray:
+        """The keys of a text's units."""
+        start = (zlib.crc32(text.encode("utf-8", "surrogatepass")) << 32) ^ (document * 7_919) ^ (self.seed * 1_000_003)
+        with np.errstate(over="ignore"):
+            return _mix(_mix(np.full(units, start & (2**64 - 1), np.uint64)) + np.arange(units, dtype=np.uint64) * _M)
 
     def _symbols(self, unit: str) -> list[int]:
         return [self.pieces.get(c, -1 - ord(c)) for c in unit]
@@ -119,10 +132,10 @@ class MergeDropout:
                 out += [self.bytes[b] for b in (_SPACE if char == _LITERAL else char).encode("utf-8")]
         return out
 
-    def merge_heap(self, unit: str, variant: int) -> list[int]:
+    def merge_heap(self, unit: str, key: int) -> list[int]:
         """One unit through a heap agenda."""
         symbols = self._symbols(unit)
-        n, key = len(symbols), np.array([self.key(unit, variant)], dtype=np.uint64)
+        n, held = len(symbols), np.array([key], dtype=np.uint64)
         end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         agenda: list[tuple[int, int, int, int]] = []
 
@@ -134,7 +147,7 @@ class MergeDropout:
             if target is None:
                 return
             at = [np.array([x]) for x in (left, middle, end[middle])]
-            if not (self.dropout and skipped(key, *at, self.dropout)[0]):
+            if not (self.dropout and skipped(held, *at, self.dropout)[0]):
                 heapq.heappush(agenda, (int(self.rank[target]), left, middle, target | end[middle] << 32))
 
         for k in range(n - 1):
@@ -163,15 +176,30 @@ class MergeDropout:
         target[at[hit]] = self.targets[place[hit]]
         return target
 
-    def merge_matrix(self, units: list[str], variants: list[int]) -> list[list[int]]:
-        """Short units through the agenda together: each round takes every row's best candidate."""
+    def merge_matrix(self, units: list[str], keys: list[int]) -> list[list[int]]:
+        """Short units through the agenda together, each with its own key."""
+        held = np.array(keys, dtype=np.uint64)
+        packed = self._matrix(units, lambda r, left, middle, right: skipped(held[r], left, middle, right, self.dropout))[0]
+        return [np.frombuffer(x, np.int32).tolist() for x in packed]
+
+    def split(self, wanted: list[str | tuple[str, bytes]]) -> list[tuple[bytes, bytes]]:
+        """The table's entries for short units with given candidates skipped."""
+        gone = [x[1] if isinstance(x, tuple) else b"" for x in wanted]
+        sizes = np.array([len(g) // 2 for g in gone])
+        skips = np.full((len(wanted), sizes.max()), -1, np.int32)
+        skips[np.arange(skips.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(gone), np.uint16)
+        drop = lambda r, left, middle, right: (skips[r] == ((left * _BASE + middle) * _BASE + right)[:, None]).any(axis=1)
+        return list(zip(*self._matrix([x[0] if isinstance(x, tuple) else x for x in wanted], drop), strict=True))
+
+    def _matrix(self, units: list[str], drop) -> tuple[list[bytes], list[bytes]]:
+        """Ids and offered candidates of short units: each round takes every row's best candidate."""
         width = max(map(len, units)) + 1
         rows = len(units)
         sizes = np.array([len(u) for u in units])
         symbols = np.full((rows, width), -(1 << 30), np.int64)
-        symbols[np.arange(width) < sizes[:, None]] = [s for u in units for s in self._symbols(u)]
+        symbols[np.arange(width) < sizes[:, None]] = self.symbol_of[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
         starts = np.minimum(np.arange(width)[None, :], sizes[:, None]).astype(np.int64)
-        keys = np.array([self.key(u, v) for u, v in zip(units, variants, strict=True)], dtype=np.uint64)
+        noted = [(np.zeros(0, np.int64), np.zeros(0, np.uint16))]
         target = np.full((rows, width), -1, np.int64)
         agenda = np.full((rows, width), _NONE, np.int64)
         columns = np.arange(width)
@@ -181,7 +209,10 @@ class MergeDropout:
             stop = starts[r, np.minimum(c + 2, width - 1)]
             good = joined >= 0
             if self.dropout:
-                good &= ~skipped(keys[r], starts[r, c], starts[r, c + 1], stop, self.dropout)
+                at = np.flatnonzero(good)
+                left, middle, right = starts[r[at], c[at]], starts[r[at], c[at] + 1], stop[at]
+                noted.append((r[at], ((left * _BASE + middle) * _BASE + right).astype(np.uint16)))
+                good[at] = ~drop(r[at], left, middle, right)
             target[r, c] = joined
             agenda[r, c] = np.where(good, self.rank[joined], _NONE)
 
@@ -207,30 +238,72 @@ class MergeDropout:
             offer(active[right], best[right])
             left = best > 0
             offer(active[left], best[left] - 1)
-        return [self._ids(row[:n]) for row, n in zip(symbols.tolist(), sizes.tolist(), strict=True)]
-
-    def encode(self, texts: list[str | None], variants: list[int]) -> list[list[int]]:
-        plans, fresh = [], {v: {} for v in set(variants)}
-        for text, variant in zip(texts, variants, strict=True):
-            marked = _SPACE + text.replace(_SPACE, _LITERAL).replace(" ", _SPACE) if text else ""
-            units, known = UNIT_RE.findall(marked), self.cache.setdefault(variant, {})
-            fresh[variant].update((u, None) for u in units if u not in known)
-            plans.append((units, known, variant))
-        new = [(u, v) for v, units in fresh.items() for u in units]
-        short = sorted((x for x in new if len(x[0]) <= MATRIX_CHARS), key=lambda x: len(x[0]))
+        owner, codes = (np.concatenate(x) for x in zip(*noted, strict=True))
+        raw = codes[np.argsort(owner, kind="stable")].tobytes()
+        ends = [0, *(2 * np.cumsum(np.bincount(owner, minlength=rows))).tolist()]
+        places = [raw[a:b] for a, b in pairwise(ends)]
+        inside = columns < sizes[:, None]
+        raw = symbols[inside].astype(np.int32).tobytes()
+        ids = [raw[a:b] for a, b in pairwise([0, *(4 * np.cumsum(sizes)).tolist()])]
+        for k in np.flatnonzero((inside & (symbols < 0)).any(axis=1)).tolist():
+            ids[k] = np.array(self._ids(symbols[k, : sizes[k]].tolist()), np.int32).tobytes()
+        return ids, places
+
+    def _fill(self, wanted: set[str | tuple[str, bytes]]) -> None:
+        """Put missing entries into the table."""
+        short = sorted(wanted, key=lambda x: len(x[0] if isinstance(x, tuple) else x))
         for at in range(0, len(short), MATRIX_ROWS):
             part = short[at : at + MATRIX_ROWS]
-            for (u, v), ids in zip(part, self.merge_matrix([u for u, _ in part], [v for _, v in part]), strict=True):
-                self.cache[v][u] = ids
-        for u, v in new:
-            if len(u) > MATRIX_CHARS:
-                self.cache[v][u] = self.merge_heap(u, v)
-        out = [list(chain.from_iterable(map(known.__getitem__, units))) for units, known, _ in plans]
-        full = self.held + len(new) > CACHE_UNITS
-        for u, v in new:
-            if full or len(u) > MATRIX_CHARS:
-                del self.cache[v][u]
-        self.held += 0 if full else len(new)
+            self.cache.update(zip(part, self.split(part), strict=True))
+
+    def _moved(self, nodes: list, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[str, bytes]]]:
+        """Which of the occurrences at ``nodes`` have more candidates skipped, and their next entries."""
+        places = [self.cache[x][1] for x in nodes]
+        counts = np.fromiter(map(len, places), np.int64, len(places)) // 2
+        codes = np.frombuffer(b"".join(places), np.uint16)
+        wide = codes.astype(np.int64)
+        hit = np.flatnonzero(skipped(np.repeat(keys, counts), wide // (_BASE * _BASE), wide // _BASE % _BASE, wide % _BASE, self.dropout))
+        raw = codes[hit].tobytes()
+        owners, sizes = np.unique(np.repeat(np.arange(len(nodes)), counts)[hit], return_counts=True)
+        who, where = [], []
+        for k, (a, b) in zip(owners.tolist(), pairwise([0, *(2 * np.cumsum(sizes)).tolist()]), strict=True):
+            node, now = nodes[k], raw[a:b]
+            if not isinstance(node, tuple):
+                where.append((node, now))
+            elif now == node[1]:
+                continue
+            else:
+                before = np.frombuffer(node[1], np.uint16).tolist()
+                more = set(np.frombuffer(now, np.uint16).tolist()).difference(before)
+                if not more:
+                    continue
+                where.append((node[0], np.array(sorted({*before, *more}), np.uint16).tobytes()))
+            who.append(k)
+        return np.array(who, dtype=np.int64), where
+
+    def encode(self, texts: list[str | None], documents: list[int]) -> list[list[int]]:
+        known, plans, keys = len(self.cache), [], [np.zeros(0, np.uint64)]
+        for text, document in zip(texts, documents, strict=True):
+            units = UNIT_RE.findall(_SPACE + text.replace(_SPACE, _LITERAL).replace(" ", _SPACE)) if text else []
+            plans.append(units)
+            keys.append(self.keys_of(text or "", document, len(units)))
+        nodes, key = list(chain.from_iterable(plans)), np.concatenate(keys)
+        done = {k: np.array(self.merge_heap(u, int(key[k])), np.int32).tobytes() for k, u in enumerate(nodes) if len(u) > MATRIX_CHARS}
+        open_ = np.array([k for k in range(len(nodes)) if k not in done], dtype=np.int64)
+        while open_.size:
+            self._fill({nodes[k] for k in open_.tolist()}.difference(self.cache))
+            moved = []
+            for at in range(0, len(open_) if self.dropout else 0, HASHED_ROWS):
+                part = open_[at : at + HASHED_ROWS]
+                who, where = self._moved([nodes[k] for k in part.tolist()], key[part])
+                moved.append(part[who])
+                for k, node in zip(part[who].tolist(), where, strict=True):
+                    nodes[k] = node
+            open_ = np.concatenate(moved) if moved else np.zeros(0, np.int64)
+        ids = iter([done[k] if k in done else self.cache[x][0] for k, x in enumerate(nodes)])
+        out = [np.frombuffer(b"".join(islice(ids, len(units))), np.int32).tolist() for units in plans]
+        while len(self.cache) > max(CACHE_UNITS, known):
+            self.cache.popitem()
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -240,30 +313,30 @@ class MergeDropout:
 def encode_documents(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) for every row; ``seed`` picks the segmentation."""
 
-    def run(rows: list[str | None]) -> tuple[list]:
-        variants, texts = zip(*[(int(r[0]), None if r[1:2] == "-" else r[2:]) for r in rows], strict=True) if rows else ((), ())
-        return (MergeDropout.of(model_path, dropout, seed).encode(list(texts), list(variants)),)
+    def run(rows: list[str]) -> tuple[list]:
+        return (MergeDropout.of(model_path, dropout, seed).encode(*read_rows(rows)),)
+
+    return map_texts(marked_texts(docs, doc_id, text), ["doc_id"], {"ids": ("array<int>", pa.list_(pa.int32()))}, run)
+
 
-    body = F.concat(variant_of(F.col(doc_id)), F.when(F.col(text).isNull(), "-").otherwise("+"), F.coalesce(text, F.lit("")))
-    given = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
-    return map_texts(given, ["doc_id"], {"ids": ("array<int>", pa.list_(pa.int32()))}, run)
+def marked_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text), where 16 hexadecimal digits that stand for the document come before each text."""
+    digits = F.lpad(F.lower(F.hex(F.xxhash64(doc_id))), 16, "0")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.concat(digits, F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
 
 
-def variant_of(doc_id):
-    """One digit, the variant of a document."""
-    return F.pmod(F.xxhash64(doc_id), F.lit(VARIANTS)).cast("string")
+def read_rows(rows: list[str]) -> tuple[list[str], list[int]]:
+    return [r[16:] for r in rows], [int(r[:16], 16) for r in rows]
 
 
 def round_trip(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_crc32, decoded_bytes): every text encoded and decoded again in one pass."""
 
-    def run(rows: list[str | None]) -> tuple[list, list, list, list]:
+    def run(rows: list[str]) -> tuple[list, list, list, list]:
         coder = MergeDropout.of(model_path, dropout, seed)
-        coded = coder.encode([None if r[1:2] == "-" else r[2:] for r in rows], [int(r[0]) for r in rows])
+        coded = coder.encode(*read_rows(rows))
         raw = [t.encode("utf-8") for t in coder.decode(coded)]
         crcs = [zlib.crc32(np.array(ids, dtype="<u4").tobytes()) for ids in coded]
         return list(map(len, coded)), crcs, list(map(zlib.crc32, raw)), list(map(len, raw))
 
-    body = F.concat(variant_of(F.col(doc_id)), F.when(F.col(text).isNull(), "-").otherwise("+"), F.coalesce(text, F.lit("")))
-    given = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
-    return map_texts(given, ["doc_id"], {k: ("long", pa.int64()) for k in ("n_ids", "ids_crc32", "decoded_crc32", "decoded_bytes")}, run)
+    return map_texts(marked_texts(docs, doc_id, text), ["doc_id"], {k: ("long", pa.int64()) for k in ("n_ids", "ids_crc32", "decoded_crc32", "decoded_bytes")}, run)

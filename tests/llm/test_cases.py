@@ -150,6 +150,18 @@ def test_merge_dropout_agendas_agree():
         assert plain.encode([text], [0])[0] == plain.library.encode(text)
 
 
+def test_merge_dropout_splits_every_occurrence_on_its_own(spark):
+    """A word that repeats has many splits, each that of the agenda with the occurrence's key."""
+    coder = mergedropout.MergeDropout(PIECES, 0.2, 3)
+    word, text = "▁internationalisation", " ".join(["internationalisation"] * 400)
+    keys = [coder.keys_of(text, d, 400).tolist() for d in (1, 2)]
+    want = [[coder.merge_heap(word, k) for k in row] for row in keys]
+    assert coder.encode([text, text], [1, 2]) == [[i for ids in row for i in ids] for row in want]
+    assert len({tuple(ids) for row in want for ids in row}) > 20 and want[0] != want[1]
+    held = spark.createDataFrame([(k, "internationalisation") for k in range(200)], "doc_id long, text string")
+    assert len({tuple(r["ids"]) for r in mergedropout.encode_documents(held, PIECES).collect()}) > 4
+
+
 def test_sharding_cases(odd, empty):
     rows = sharding.assign_shards(odd, 3).collect()
     assert len(rows) == odd.count() and {r["shard"] for r in rows} <= {0, 1, 2}
