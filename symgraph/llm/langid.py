@@ -24,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, map_texts
+from .common import bounded, cut, held_out, map_texts
 
 #: About this many training texts per language are used.
 TRAIN_ROWS_PER_LANG = 1_500
-MAX_LANGS = 500
 DIMS = 1 << 13
 CENTROIDS = 4
 ROUNDS = 8
@@ -95,8 +94,8 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple
 def training_rows(docs: DataFrame, per_lang: int = TRAIN_ROWS_PER_LANG) -> DataFrame:
     """About ``per_lang`` texts of each language outside the held-out fold: (lang, text)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    joined = known.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    joined = known.select("doc_id", "lang", "text").join(bounded(cut(sizes, "lang-sizes")), "lang")
     point = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     return joined.where(point < per_lang / F.col("n")).select("lang", "text")
 

@@ -344,6 +344,13 @@ def test_language_cases(odd, empty):
     assert langid.identify(empty, langid.fit(empty)).count() == 0
 
 
+def test_languages_are_not_capped(spark):
+    rows = [(10 * k + j, f"word{k} other{k}", f"lang{k:03}") for k in range(520) for j in range(3)]
+    got = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = {lang for d, _, lang in rows if zlib.crc32(str(d).encode()) % 5}
+    assert len(want) > 500 and {r["lang"] for r in got.select("lang").distinct().collect()} == want
+
+
 def test_language_rejects_what_is_far(spark):
     rng = random.Random(8)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
