@@ -78,21 +78,28 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
     Candidates are kept on a stack with their left and right cumulative sums;
     a new candidate merges with the last one that starts lower and ends lower.
+    Each has a link to the last one before it that starts lower. Where there is
+    none, what is on the stack can merge with nothing more and is put out.
     """
     totals = np.concatenate(([0.0], np.cumsum(scores)))
-    stack: list[tuple[int, int, float, float]] = []
+    out: list[tuple[int, int, float, float, int]] = []
+    stack: list[tuple[int, int, float, float, int]] = []
     for at in np.flatnonzero(scores > 0).tolist():
         start, end, left, right = at, at + 1, float(totals[at]), float(totals[at + 1])
-        while stack:
-            j = len(stack) - 1
+        j = len(stack) - 1
+        while True:
             while j >= 0 and stack[j][2] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= right:
                 break
-            start, left = stack[j][0], stack[j][2]
+            start, _, left, _, lower = stack[j]
             del stack[j:]
-        stack.append((start, end, left, right))
-    return [(s, e, r - x) for s, e, x, r in stack]
+            j = lower
+        if j < 0:
+            out += stack
+            stack.clear()
+        stack.append((start, end, left, right, j))
+    return [(s, e, r - x) for s, e, x, r, _ in out + stack]
 
 
 def solve_lambda(values: np.ndarray, shares: np.ndarray) -> float:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -61,6 +62,12 @@ def test_maximal_segments_against_brute_force():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute(x)]
 
 
+def test_maximal_segments_take_linear_time():
+    began = time.process_time()
+    assert toxicity.maximal_segments(np.array([1.0, -2.0] * 60_000)) == [(k, k + 1, 1.0) for k in range(0, 120_000, 2)]
+    assert time.process_time() - began < 10
+
+
 def test_toxic_passages_are_found(spark):
     rng = random.Random(2)
     clean = [f"{rng.choice('abcdef')}{rng.choice('lmnop')}{k % 40}" for k in range(4000)]
