@@ -1,249 +1,304 @@
 """An adaptive context-mixing range coder for token ids.
 
 Ids are coded in blocks that start from the same state and share nothing, so
-any block can be read alone. In a block, three contexts predict the next id:
-order 2 and order 1 remember the id that last followed the two ids or the one
-id before; order 0 remembers recent ids in hashed slots. One coded event tells
-which prediction holds, or that none does. Its probabilities mix two adaptive
-distributions, one chosen by the order-2 prediction's confidence, the other by
-the order-1 confidence and the event before. After an order-0 event the slot
-follows; after a miss the id itself follows under a fixed falling prior.
-
-All blocks of a frame advance in step, each as one lane of numpy arrays, so
-the work per id is a fixed number of array operations. The arithmetic is on
-integers only and gives the same bytes on every machine.
+any block can be read alone. A block's ids stand in lanes of ``LANE_IDS``; the
+lanes advance in step, each with a range coder of its own, and all of them
+predict from, and teach, one model of the block.
+
+Three contexts predict the next id. Order 2 and order 1 hold the id that
+followed the two ids or the one id before, with a confidence. One coded event
+tells which of the two guesses holds, or that neither does; its probability
+mixes three adaptive distributions, chosen by the order-2 confidence, by the
+order-1 confidence and by both, with weights that follow how well each did of
+late. After a miss the id itself follows by its order-0 frequency among the
+block's misses; an id that is new to the block is written out.
+
+The work for each id is a fixed number of numpy operations over the lanes. The
+arithmetic is on integers only and gives the same bytes on every machine.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"CMR1"
-BLOCK_IDS = 2_048
-_SLOTS, _ORDER0 = 512, 256
-_RAW_BITS = 18
-_CODES = 1 << 17  # ids below this are coded under the prior, others after an escape
-_STEP, _HALVE_EVERY = 24, 32
-_K1, _K2 = 40_503, 60_493
-_LOW = (1 << 32) - 1
-_SURER = np.array([1, 2, 3, 4, 5, 6, 7, 7])
-
-
-def _prior() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frequencies, their running sums and the inverse table over code 0 (escape) and id + 1."""
-    spare = (1 << _RAW_BITS) - _CODES
-    rank = np.arange(1, _CODES, dtype=np.int64)
-    weight = (1 << 40) // (rank + 200)
-    freq = np.ones(_CODES, dtype=np.int64)
-    freq[1:] += weight * spare // int(weight.sum())
-    freq[1] += (1 << _RAW_BITS) - int(freq.sum())
-    cum = np.concatenate(([0], np.cumsum(freq)[:-1]))
-    return freq, cum, np.repeat(np.arange(_CODES), freq)
-
-
-_FREQ, _CUM, _INVERSE = _prior()
-_EXTRA_BITS = np.array([0, 0, 8, _RAW_BITS], dtype=np.int64)
+MAGIC = b"CMR2"
+#: Ids of a block, and of a lane in it.
+BLOCK_IDS = 1 << 21
+LANE_IDS = 512
+_ESCAPED = (1 << 16) - 1  # ids from here on are always written out; the model knows them all by this number
+_MISS, _HIT, _FAR = np.int32(2), np.int32(_ESCAPED + 2), _ESCAPED + 1
+_EVENT_BITS, _ID_BITS = 12, 18
+_TABLE2 = 18
+_K1, _K2 = np.int32(40_503), np.int32(60_493)
+_ONE = np.int32(1)
+_TOP, _LOW = 40, (1 << 40) - 1
+_SURER, _LOSS = np.array([1, 1, 1, 1, 1, 1, 1, 0], np.int32), np.array([0, 1, 1, 2, 2, 3, 3, 4], np.int32)
+#: Steps between two looks at the statistics; early looks come at every power of two.
+_EVERY = 32
 
 
 class _Model:
-    """The adaptive state of all lanes.
+    """What a block has taught so far, and what its lanes saw last.
 
-    A prediction and its confidence share one number: id * 8 + confidence.
-    Frequencies of the four events lie side by side in flat arrays.
+    A guess and its confidence share one number: id * 8 + confidence. Event
+    rows are numbered by whether the guesses agree, the order-2 confidence, the
+    order-1 confidence and the event before.
     """
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.base, self.base0 = self.lane * _SLOTS, self.lane * _ORDER0
-        self.order1, self.order2 = np.full(lanes * _SLOTS, -8, np.int64), np.full(lanes * _SLOTS, -8, np.int64)
-        self.recent = np.full(lanes * _ORDER0, -1, np.int64)
-        by2, by1 = np.tile(np.array([40, 2, 12, 20], np.int64), (8, 1)), np.tile(np.array([4, 40, 12, 20], np.int64), (32, 1))
-        by2[0] = by1[:4] = (4, 4, 24, 40)
-        self.by2, self.by1 = np.tile(by2, (lanes, 1)), np.tile(by1, (lanes, 1))
-        self.row2, self.row1 = self.lane * 8, self.lane * 32
-        self.last1, self.mix1, self.mix2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.event = np.zeros(lanes, np.int64)
+        self.table = np.full((1 << 16) + (1 << _TABLE2), -8, np.int32)
+        self.one, self.two = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.event = np.full(lanes, _MISS, np.int32)
+        self.counts = np.zeros(_HIT + 1, np.int64)
+        self.counts[0] = 1
+        row = np.arange(2 * 8 * 8 * 3)
+        self.parts = [(row // 24, 16), (row % 24 + 24 * (row // 192), 48), (row, 384)]
+        self.events = [np.tile(np.array([3, 3, 6], np.int64), (size, 1)) for _, size in self.parts]
+        self.weights = np.full((3, 384), 256, np.int64)
+        self.seen_ids: list[np.ndarray] = []
+        self.seen_events: list[np.ndarray] = []
+        self._mix_events(None)
+        self._count_ids()
+
+    def _mix_events(self, seen: np.ndarray | None) -> None:
+        room = (1 << _EVENT_BITS) - 3
+        shares = []
+        for (group, _), table in zip(self.parts, self.events, strict=True):
+            shares.append((1 + table * room // table.sum(axis=1, keepdims=True))[group])
+        if seen is not None:
+            credit = np.array([(seen * share).sum(axis=1) for share in shares])
+            total = credit.sum(axis=0)
+            self.weights = np.where(total > 0, (self.weights * 7 + credit * 768 // np.maximum(total, 1)) // 8 + 1, self.weights)
+            for (group, size), table in zip(self.parts, self.events, strict=True):
+                for event in range(3):
+                    table[:, event] += 16 * np.bincount(group, seen[:, event], size).astype(np.int64)
+                full = table.sum(axis=1) > 1 << 20
+                table[full] = (table[full] + 1) >> 1
+            shares = []
+            for (group, _), table in zip(self.parts, self.events, strict=True):
+                shares.append((1 + table * room // table.sum(axis=1, keepdims=True))[group])
+        mixed = sum(w[:, None] * s for w, s in zip(self.weights, shares, strict=True)) // self.weights.sum(axis=0)[:, None]
+        mixed = np.maximum(mixed, 1)
+        mixed[:, _MISS] += (1 << _EVENT_BITS) - mixed.sum(axis=1)
+        self.event_freq = mixed.ravel()
+        sums = np.cumsum(mixed, axis=1)
+        self.event_below = (sums - mixed).ravel()
+        self.after0, self.after1 = sums[:, 0].copy(), sums[:, 1].copy()
+
+    def _count_ids(self) -> None:
+        """Frequencies of the order-0 ids; number 0 stands for an id not seen yet, ``_HIT`` for none to code."""
+        known = self.counts > 0
+        room = (1 << _ID_BITS) - int(known.sum())
+        freq = np.where(known, 1 + self.counts * room // int(self.counts.sum()), 0)
+        freq[0] += (1 << _ID_BITS) - int(freq.sum())
+        self.id_freq, self.id_below = freq, np.cumsum(freq) - freq
+        self.id_freq[_HIT], self.id_below[_HIT] = 1 << _ID_BITS, 0
+
+    def inverse(self) -> np.ndarray:
+        return np.repeat(np.arange(_FAR, dtype=np.int32), self.id_freq[:_FAR])
 
     def look(self, n: int) -> None:
-        """Predictions and event frequencies for the first ``n`` lanes."""
-        base = self.base[:n]
-        self.at1 = (self.mix1[:n] >> 6 & (_SLOTS - 1)) + base
-        self.at2 = (self.mix1[:n] + self.mix2[:n] >> 6 & (_SLOTS - 1)) + base
-        held1, held2 = self.order1.take(self.at1), self.order2.take(self.at2)
-        self.guess1, self.guess2 = held1 >> 3, held2 >> 3
-        self.c1, self.c2 = held1 & 7, held2 & 7
-        self.now2 = self.row2[:n] + self.c2
-        self.now1 = self.row1[:n] + (self.c1 << 2) + self.event[:n]
-        self.sums = np.cumsum(self.by2.take(self.now2, axis=0) + self.by1.take(self.now1, axis=0), axis=1)
-        self.total = self.sums[:, 3]
-
-    def share(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Summed frequencies of the events before ``event``, and its own."""
-        flat, at = self.sums.ravel(), (self.lane[: len(event)] << 2) + event
-        below = np.where(event > 0, flat.take(at - 1), 0)
-        return below, flat.take(at) - below
-
-    def slot(self, ids: np.ndarray) -> np.ndarray:
-        return ids * _K1 >> 5 & (_ORDER0 - 1)
-
-    def learn(self, n: int, ids: np.ndarray, slots: np.ndarray, event: np.ndarray) -> None:
-        for table, row in ((self.by2, self.now2), (self.by1, self.now1)):
-            flat, at = table.ravel(), (row << 2) + event
-            flat[at] = flat.take(at) + _STEP
-        fresh = ids << 3
-        for guess, sure, table, at in ((self.guess1, self.c1, self.order1, self.at1), (self.guess2, self.c2, self.order2, self.at2)):
-            table[at] = np.where(guess == ids, fresh + _SURER.take(sure), np.where(sure < 2, fresh + 1, (guess << 3) + (sure >> 1)))
-        self.recent[self.base0[:n] + slots] = ids
-        self.mix2[:n] = self.last1[:n] * _K2
-        self.last1[:n], self.event[:n] = ids, event
-        self.mix1[:n] = ids * _K1
-
-    def fade(self) -> None:
-        for table in (self.by2, self.by1):
-            table += 1
-            table >>= 1
-
-
-def _lanes(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids as (steps, lanes), longest lane first as all but the last are full; and the lanes' lengths."""
-    lanes = max(1, -(-len(ids) // block))
-    sizes = np.full(lanes, block, np.int64)
-    sizes[-1] = len(ids) - block * (lanes - 1)
-    padded = np.zeros(lanes * block, np.int64)
-    padded[: len(ids)] = ids
-    return padded.reshape(lanes, block).T, sizes
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK_IDS) -> list[bytes]:
-    """The coded bytes of each block of ``ids``."""
-    steps, sizes = _lanes(np.asarray(ids, dtype=np.int64), block)
-    lanes = len(sizes)
+        """Guesses and event rows of the first ``n`` lanes; order 1 stands above order 2."""
+        one = self.one[:n]
+        self.at = np.stack((one, ((one * _K1 + self.two[:n] * _K2) >> 8 & ((1 << _TABLE2) - 1)) + (1 << 16)))
+        self.held = self.table.take(self.at)
+        self.sure, self.guess = self.held & np.int32(7), self.held >> np.int32(3)
+        self.guess1, self.guess2 = self.guess
+        self.row = (self.guess1 == self.guess2) * 192 + self.sure[1] * 24 + self.sure[0] * 3 + self.event[:n]
+
+    def learn(self, n: int, ids: np.ndarray, event: np.ndarray) -> None:
+        self.table[self.at] = np.where(self.guess == ids, self.held + _SURER.take(self.sure), np.where(self.sure < 2, ids << np.int32(3) | _ONE, self.held - _LOSS.take(self.sure)))
+        self.seen_ids.append(ids[event == _MISS])
+        self.seen_events.append(self.row * 3 + event)
+        self.two[:n] = self.one[:n]
+        self.one[:n], self.event[:n] = ids, event
+
+    def review(self, step: int) -> bool:
+        """Take in what was seen; true if the order-0 frequencies changed."""
+        if step % _EVERY and step & (step - 1):
+            return False
+        seen = np.bincount(np.concatenate(self.seen_events), minlength=3 * 384).reshape(384, 3)
+        ids = np.concatenate(self.seen_ids)
+        self.seen_ids, self.seen_events = [], []
+        self._mix_events(seen)
+        met = np.bincount(ids + 1, minlength=_HIT + 1)
+        met[_FAR] = 0
+        # Number 0 keeps about the share of ids that were new at the last look.
+        self.counts[0] = (self.counts[0] + int(((met > 0) & (self.counts == 0)).sum()) + 1) >> 1
+        met[0] = 0
+        self.counts += met
+        self._count_ids()
+        return True
+
+
+def _sizes(n: int) -> tuple[int, int]:
+    """Lanes of a block and the ids of its last lane."""
+    lanes = -(-n // LANE_IDS)
+    return lanes, n - LANE_IDS * (lanes - 1)
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """The lanes' word counts (16 bits each) and their words."""
+    ids = np.asarray(ids, dtype=np.int64)
+    lanes, last = _sizes(len(ids))
+    padded = np.zeros(lanes * LANE_IDS, np.int32)
+    padded[: len(ids)] = np.minimum(ids, _ESCAPED)
+    steps = np.ascontiguousarray(padded.reshape(lanes, LANE_IDS).T)
+    any_far = bool((padded == _ESCAPED).any())
     model = _Model(lanes)
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
-    words = np.zeros((int(sizes.max()) * 4 + 8, lanes), np.int32)
-    used = np.zeros(lanes, np.int64)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 56, np.int64)
+    height = LANE_IDS
+    words, used = np.zeros((lanes, height), np.int32), np.zeros(lanes, np.int64)
+    base = np.arange(lanes) * height
 
     def settle(n: int) -> None:
+        nonlocal words, height, base
         while (short := np.flatnonzero(span[:n] <= _LOW)).size:
-            out = low[short]
-            words[used[short], short] = out >> 32
-            used[short] += 1
+            if int(used.max()) + 2 > height:
+                words, height = np.concatenate((words, np.zeros_like(words)), axis=1), 2 * height
+                base = np.arange(lanes) * height
+            out, place = low.take(short), used.take(short)
+            words.ravel()[base.take(short) + place] = out >> _TOP
+            used[short] = place + 1
             low[short] = (out & _LOW) << 16
             span[short] <<= 16
 
-    for t in range(int(sizes.max())):
-        n = lanes if t < sizes[-1] else lanes - 1
-        now = steps[t, :n].copy()
+    def plain(which: np.ndarray, values: np.ndarray, n: int) -> None:
+        """Write 16-bit numbers out."""
+        unit = span[which] >> 16
+        low[which] += unit * values
+        span[which] = unit
+        settle(n)
+
+    for t in range(LANE_IDS if lanes > 1 else last):
+        n = lanes if t < last else lanes - 1
+        now = steps[t, :n]
         model.look(n)
-        slots = model.slot(now)
-        event = np.where(now == model.guess2, 0, np.where(now == model.guess1, 1, np.where(model.recent.take(model.base0[:n] + slots) == now, 2, 3)))
-        unit = span[:n] // model.total
-        below, freq = model.share(event)
-        raw = event == 3
-        code = np.where(raw & (now + 1 < _CODES), now + 1, 0)
-        part = unit * freq >> _EXTRA_BITS.take(event)
-        low[:n] += unit * below + part * np.where(raw, _CUM.take(code), np.where(event == 2, slots, 0))
-        span[:n] = part * np.where(raw, _FREQ.take(code), 1)
+        event = (now != model.guess2) * (_ONE + (now != model.guess1))
+        if any_far:
+            event[now == _ESCAPED] = _MISS
+        at = model.row * 3 + event
+        number = np.where(event == _MISS, now + _ONE, _HIT)
+        freq = model.id_freq.take(number)
+        if (fresh := np.flatnonzero(freq == 0)).size:
+            number[fresh], freq[fresh] = 0, model.id_freq[0]
+        unit = span[:n] >> (_EVENT_BITS + _ID_BITS)
+        part = unit * model.event_freq.take(at)
+        low[:n] += (unit * model.event_below.take(at) << _ID_BITS) + part * model.id_below.take(number)
+        span[:n] = part * freq
         settle(n)
-        if (escaped := np.flatnonzero(raw & (code == 0))).size:
-            for shift in (16, 0):
-                unit = span[escaped] >> 16
-                low[escaped] += unit * (now[escaped] >> shift & 0xFFFF)
-                span[escaped] = unit
-                settle(n)
-        model.learn(n, now, slots, event)
-        if t % _HALVE_EVERY == _HALVE_EVERY - 1:
-            model.fade()
+        if fresh.size:
+            plain(fresh, now[fresh], n)
+            if any_far and (far := fresh[now[fresh] == _ESCAPED]).size:
+                for shift in (16, 0):
+                    plain(far, ids[far * LANE_IDS + t] >> shift & 0xFFFF, n)
+        model.learn(n, now, event)
+        model.review(t + 1)
+    # One more word, rounded up, lies within what is left of the range whatever follows it.
+    words = np.concatenate((words, np.zeros((lanes, 1), np.int32)), axis=1)
+    words[np.arange(lanes), used] = -(-low >> _TOP)
+    for column in range(words.shape[1] - 1, 0, -1):
+        words[:, column - 1] += words[:, column] >> 16
+    inside = np.arange(words.shape[1]) < used[:, None] + 1
+    return (used + 1).astype("<u2").tobytes() + (words & 0xFFFF)[inside].astype("<u2").tobytes()
+
+
+def decode_block(body: bytes, n_ids: int) -> np.ndarray:
+    """The ``n_ids`` ids of a block."""
+    lanes, last = _sizes(n_ids)
+    counts = np.frombuffer(body, "<u2", lanes).astype(np.int64)
+    words = np.append(np.frombuffer(body, "<u2", offset=2 * lanes), 0).astype(np.int64)
+    stop = np.cumsum(counts)
+    place = stop - counts
+    # The range is 56 bits wide, so what is read in runs half a word behind the words; past a lane's end come zeros.
+    behind = np.append(words[1:], 0) >> 8
+    behind[stop - 1] = 0
+    halves = (words & 0xFF) << 8 | behind
+
+    def take(short: np.ndarray, source: np.ndarray) -> np.ndarray:
+        at = place.take(short)
+        place[short] = at + 1
+        return np.where(at < stop.take(short), source.take(at, mode="clip"), 0)
+
+    everyone = np.arange(lanes)
+    code, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 56, np.int64)
     for _ in range(3):
-        words[used, model.lane] = low >> 32
-        used += 1
-        low = (low & _LOW) << 16
-    for row in range(len(words) - 1, 0, -1):
-        words[row - 1] += words[row] >> 16
-    whole = (words & 0xFFFF).astype(">u2").T
-    return [whole[k, : used[k]].tobytes() for k in range(lanes)]
-
-
-def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """The ids of blocks with ``sizes`` ids each; all but the last are as long as the first."""
-    lanes, sizes = len(blocks), np.asarray(sizes, dtype=np.int64)
-    if not lanes or not int(sizes.max()):
-        return np.zeros(0, np.int64)
-    lengths = np.array([len(b) // 2 for b in blocks])
-    words = np.zeros((lanes, int(lengths.max()) + 4), np.int64)
-    for k, b in enumerate(blocks):
-        words[k, : lengths[k]] = np.frombuffer(b, dtype=">u2")
-    flat, place = words.ravel(), np.arange(lanes) * words.shape[1]
-    code, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
-    for _ in range(3):
-        code = code << 16 | flat[place]
-        place += 1
-    model = _Model(lanes)
-    steps = np.zeros((int(sizes.max()), lanes), np.int64)
+        code = code << 16 | take(everyone, words)
+    code = code << 8 | np.where(place < stop, words.take(place, mode="clip") >> 8, 0)
 
     def settle(n: int) -> None:
         while (short := np.flatnonzero(span[:n] <= _LOW)).size:
-            code[short] = code[short] << 16 | flat[place[short]]
-            place[short] += 1
+            code[short] = code.take(short) << 16 | take(short, halves)
             span[short] <<= 16
 
-    for t in range(len(steps)):
-        n = lanes if t < sizes[-1] else lanes - 1
+    def plain(which: np.ndarray, n: int) -> np.ndarray:
+        unit = span[which] >> 16
+        value = code[which] // unit
+        code[which] -= unit * value
+        span[which] = unit
+        settle(n)
+        return value
+
+    model = _Model(lanes)
+    inverse = model.inverse()
+    steps = np.zeros((LANE_IDS, lanes), np.int32)
+    whole: list[tuple[np.ndarray, np.ndarray]] = []
+    for t in range(LANE_IDS if lanes > 1 else last):
+        n = lanes if t < last else lanes - 1
         model.look(n)
-        unit = span[:n] // model.total
-        value = code[:n] // unit
-        event = (value[:, None] >= model.sums[:, :3]).sum(axis=1)
-        below, freq = model.share(event)
-        raw = event == 3
-        rest = code[:n] - unit * below
-        unit = unit * freq >> _EXTRA_BITS.take(event)
-        value = rest // unit
-        coded = _INVERSE.take(np.where(raw, value, 0))
-        code[:n] = rest - unit * np.where(raw, _CUM.take(coded), np.where(event == 2, value, 0))
-        span[:n] = unit * np.where(raw, _FREQ.take(coded), 1)
+        unit = span[:n] >> (_EVENT_BITS + _ID_BITS)
+        value = (code[:n] // unit) >> _ID_BITS
+        event = (value >= model.after0.take(model.row)).astype(np.int32) + (value >= model.after1.take(model.row))
+        at = model.row * 3 + event
+        rest = code[:n] - (unit * model.event_below.take(at) << _ID_BITS)
+        part = unit * model.event_freq.take(at)
+        miss = event == _MISS
+        number = np.where(miss, inverse.take(rest // part, mode="clip"), _HIT)
+        code[:n] = rest - part * model.id_below.take(number)
+        span[:n] = part * model.id_freq.take(number)
         settle(n)
-        recent = model.recent.take(model.base0[:n] + np.where(event == 2, value, 0))
-        now = np.where(event == 0, model.guess2, np.where(event == 1, model.guess1, np.where(event == 2, recent, coded - 1)))
-        if (escaped := np.flatnonzero(raw & (coded == 0))).size:
-            now[escaped] = 0
-            for _ in range(2):
-                unit = span[escaped] >> 16
-                value = code[escaped] // unit
-                code[escaped] -= unit * value
-                span[escaped] = unit
-                now[escaped] = now[escaped] << 16 | value
-                settle(n)
+        now = np.where(miss, number - _ONE, np.where(event == 0, model.guess2, model.guess1))
+        if (fresh := np.flatnonzero(number == 0)).size:
+            now[fresh] = plain(fresh, n)
+            if (far := fresh[now[fresh] == _ESCAPED]).size:
+                upper = plain(far, n) << 16
+                whole.append((far * LANE_IDS + t, upper | plain(far, n)))
         steps[t, :n] = now
-        model.learn(n, now, model.slot(now), event)
-        if t % _HALVE_EVERY == _HALVE_EVERY - 1:
-            model.fade()
-    return steps.T.ravel()[: int(sizes.sum())]
+        model.learn(n, now, event)
+        if model.review(t + 1):
+            inverse = model.inverse()
+    ids = steps.T.ravel()[:n_ids].astype(np.int64)
+    for at, values in whole:
+        ids[at] = values
+    return ids
 
 
 def pack_frame(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
     """A frame: magic, id count, block size, then length and CRC-32 of each block, then the blocks."""
-    blocks = encode_blocks(ids, block) if len(ids) else []
+    blocks = [encode_block(ids[at : at + block]) for at in range(0, len(ids), block)]
     head = struct.pack("<4sQII", MAGIC, len(ids), block, len(blocks))
     index = b"".join(struct.pack("<II", len(b), zlib.crc32(b)) for b in blocks)
     return head + index + b"".join(blocks)
 
 
-def unpack_frame(frame: bytes) -> np.ndarray:
-    """The ids of a frame, as 64-bit integers; raises ValueError on a damaged one."""
+def unpack_blocks(frame: bytes) -> Iterator[np.ndarray]:
+    """The ids of a frame block by block, as 64-bit integers; raises ValueError on a damaged one."""
     magic, n, block, count = struct.unpack_from("<4sQII", frame)
     if magic != MAGIC:
         raise ValueError("not a frame of coded ids")
-    at, blocks = 20 + 8 * count, []
-    for size, crc in struct.iter_unpack("<II", frame[20:at]):
+    at = 20 + 8 * count
+    for k, (size, crc) in enumerate(struct.iter_unpack("<II", frame[20:at])):
         part = frame[at : at + size]
         if zlib.crc32(part) != crc:
             raise ValueError("a block's checksum is wrong")
-        blocks.append(part)
+        yield decode_block(part, min(block, n - block * k))
         at += size
-    sizes = np.full(count, block)
-    if count:
-        sizes[-1] = n - block * (count - 1)
-    return decode_blocks(blocks, sizes)
+
+
+def unpack_frame(frame: bytes) -> np.ndarray:
+    """All ids of a frame."""
+    return np.concatenate([np.zeros(0, np.int64), *unpack_blocks(frame)])

@@ -7,7 +7,7 @@ documents. Frames are rows of Parquet files, so they live in any store that
 Spark can write to. Shard and frame numbers give the order of the frames.
 
 Cases: a null or empty text is the end id alone. Rows that repeat an id stay
-separate, in the order of their texts. Null ids come first. Texts longer than
+separate, in the order of their texts' hashes. Null ids come first. Texts longer than
 a frame make that frame larger. An empty table gives an empty file set. Other
 columns play no part.
 """
@@ -29,7 +29,7 @@ from .tokens import Encoder
 
 END_ID = 2
 #: A frame is closed when it holds this many ids.
-FRAME_IDS = 6_000_000
+FRAME_IDS = 1 << 22
 FRAME_SCHEMA = "shard int, frame int, doc_ids array<long>, lengths array<int>, n_ids long, body binary"
 _FRAME = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("body", pa.binary())])
 _DOC = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("place", pa.int32()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int64()))])
@@ -63,8 +63,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
         if held:
             yield close()
 
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(tasks, "doc_id")
-    ordered.sortWithinPartitions("doc_id", "text").mapInArrow(frames, FRAME_SCHEMA).write.parquet(path)
+    # Rows that repeat an id are ranged by their text's hash, and equal rows by their place in the input, so that no id stands in one task's way.
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"), F.monotonically_increasing_id().alias("at"))
+    ordered = given.repartitionByRange(tasks, "doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at")
+    ordered.select("doc_id", "text").mapInArrow(frames, FRAME_SCHEMA).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -16,6 +16,8 @@ import numpy as np
 
 #: Distinct pieces whose ids a worker keeps; pieces met after that are encoded anew in each batch.
 CACHE_PIECES = 600_000
+#: Pieces that are encoded as one text.
+JOINED_PIECES = 1_000
 #: Stands before a text's first piece, which has no space before it.
 MARK = "\0"
 #: Where a cut before every space would be wrong: the space is followed by white space or the end.
@@ -55,7 +57,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.codes = _Codes()
-        self.flat, self.sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Byte-level vocabularies write a space as this letter.
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.spaced[[at for name, at in names.items() if name[0] == "Ġ"]] = True
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -72,6 +78,30 @@ class Encoder:
         # First pieces carry the mark; a text with the mark in it is one piece, so no other piece can hold it.
         return [MARK + text] if MARK in text else [MARK + pieces[0], *pieces[1:]]
 
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each piece's ids start, how many it has, and the ids.
+
+        Pieces without a space, and without white space at their ends, are
+        encoded as texts of many, a space before each; there, an id starts a
+        piece if and only if it starts with a space.
+        """
+        plain, rest = [], []
+        for k, p in enumerate(pieces):
+            (rest if not p or p[0] == MARK or " " in p or p[0].isspace() or p[-1].isspace() else plain).append(k)
+        texts = [" " + " ".join([pieces[k] for k in plain[at : at + JOINED_PIECES]]) for at in range(0, len(plain), JOINED_PIECES)]
+        alone = [pieces[k][1:] if pieces[k][:1] == MARK else " " + pieces[k] for k in rest]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts + alone, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(found), np.int32)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        joined = int(lengths[: len(texts)].sum())
+        order = np.array(plain + rest, np.int64)
+        first = np.concatenate((np.flatnonzero(self.spaced[flat[:joined]]), joined + np.cumsum(lengths[len(texts) :]) - lengths[len(texts) :]))
+        sizes = np.diff(first, append=len(flat))
+        starts = np.empty(len(pieces), np.int64)
+        ordered = np.empty(len(pieces), np.int64)
+        starts[order], ordered[order] = first, sizes
+        return starts, ordered, flat
+
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         """The ids of each text (none for a null) and ``end_id``, as 32-bit arrays."""
         code = self.codes.__getitem__
@@ -79,24 +109,21 @@ class Encoder:
         for text in texts:
             pieces = self._pieces(text) if text else []
             coded.append(np.fromiter(map(code, pieces), np.int64, len(pieces)))
-        kept = len(self.sizes)
         waiting, self.codes.waiting = self.codes.waiting, []
-        plain = [p[1:] if p[:1] == MARK else " " + p for p in waiting]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)] if plain else []
-        sizes = np.concatenate((self.sizes, np.fromiter(map(len, found), np.int32, len(found))))
-        flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.int32)))
-        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        more_starts, more_sizes, more = self._encode_pieces(waiting)
+        starts, sizes = np.concatenate((self.starts, more_starts + len(self.flat))), np.concatenate((self.sizes, more_sizes))
+        flat = np.concatenate((self.flat, more))
         out = []
         for codes in coded:
             length = sizes[codes]
-            ends = np.cumsum(length, dtype=np.int64)
+            ends = np.cumsum(length)
             n = int(ends[-1]) if len(ends) else 0
             ids = np.empty(n + 1, dtype=np.int32)
             ids[:n] = flat[np.arange(n) + np.repeat(starts[codes] - (ends - length), length)]
             ids[n] = end_id
             out.append(ids)
-        if kept + len(found) <= CACHE_PIECES:
-            self.sizes, self.flat = sizes, flat
+        if len(starts) <= CACHE_PIECES:
+            self.starts, self.sizes, self.flat = starts, sizes, flat
         else:
             for piece in waiting:
                 del self.codes[piece]
