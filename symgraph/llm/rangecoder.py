@@ -36,7 +36,6 @@ _TABLE2 = 18
 _K1, _K2 = np.int32(40_503), np.int32(60_493)
 _ONE = np.int32(1)
 _TOP, _LOW = 40, (1 << 40) - 1
-_SURER, _LOSS = np.array([1, 1, 1, 1, 1, 1, 1, 0], np.int32), np.array([0, 1, 1, 2, 2, 3, 3, 4], np.int32)
 #: Steps between two looks at the statistics; early looks come at every power of two.
 _EVERY = 32
 
@@ -106,12 +105,14 @@ class _Model:
         one = self.one[:n]
         self.at = np.stack((one, ((one * _K1 + self.two[:n] * _K2) >> 8 & ((1 << _TABLE2) - 1)) + (1 << 16)))
         self.held = self.table.take(self.at)
-        self.sure, self.guess = self.held & np.int32(7), self.held >> np.int32(3)
+        self.sure, self.guess = self.held & 7, self.held >> 3
         self.guess1, self.guess2 = self.guess
         self.row = (self.guess1 == self.guess2) * 192 + self.sure[1] * 24 + self.sure[0] * 3 + self.event[:n]
 
     def learn(self, n: int, ids: np.ndarray, event: np.ndarray) -> None:
-        self.table[self.at] = np.where(self.guess == ids, self.held + _SURER.take(self.sure), np.where(self.sure < 2, ids << np.int32(3) | _ONE, self.held - _LOSS.take(self.sure)))
+        # A guess that held grows surer, up to 7; one that failed loses half its confidence, and its place when little is left.
+        failed = np.where(self.sure < 2, (ids << 3) + 1, self.held - self.sure + (self.sure >> 1))
+        self.table[self.at] = np.where(self.guess == ids, self.held + (self.sure < 7), failed)
         self.seen_ids.append(ids[event == _MISS])
         self.seen_events.append(self.row * 3 + event)
         self.two[:n] = self.one[:n]

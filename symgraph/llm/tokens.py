@@ -10,20 +10,20 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 
 #: Distinct pieces whose ids a worker keeps; pieces met after that are encoded anew in each batch.
 CACHE_PIECES = 600_000
-#: Pieces that are encoded as one text.
-JOINED_PIECES = 1_000
-#: Stands before a text's first piece, which has no space before it.
-MARK = "\0"
+#: New pieces that are encoded as one text.
+JOINED_PIECES = 200
 #: Where a cut before every space would be wrong: the space is followed by white space or the end.
 UNEVEN_RE = re.compile(r" (?:\s|$)")
 #: There, texts are cut only before a space between visible characters.
 CAREFUL_RE = re.compile(r"(?<=\S) (?=\S)")
+SPACE_RE = re.compile(r"\s")
 
 
 def vocabulary(name: str) -> str:
@@ -33,18 +33,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Codes(dict):
-    """Piece to code; an unknown piece gets the next code and waits to be encoded."""
-
-    def __init__(self):
-        self.waiting: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        code = self[piece] = len(self)
-        self.waiting.append(piece)
-        return code
-
-
 class Encoder:
     """Encodes batches of texts; one lives in each Python worker and vocabulary."""
 
@@ -56,7 +44,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.codes = _Codes()
+        # A new piece gets the next number.
+        self.codes: defaultdict[str, int] = defaultdict(count().__next__)
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         # Byte-level vocabularies write a space as this letter.
         names = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -69,52 +58,52 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _pieces(self, text: str) -> list[str]:
-        """The text cut into pieces; a piece that begins with a space stands without it."""
-        if UNEVEN_RE.search(text):
-            pieces = CAREFUL_RE.split(text)
-        else:
-            pieces = text.split(" ")
-        # First pieces carry the mark; a text with the mark in it is one piece, so no other piece can hold it.
-        return [MARK + text] if MARK in text else [MARK + pieces[0], *pieces[1:]]
-
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each piece's ids start, how many it has, and the ids.
-
-        Pieces without a space, and without white space at their ends, are
-        encoded as texts of many, a space before each; there, an id starts a
-        piece if and only if it starts with a space.
+    def _coded(self, text: str, alone: list[str]) -> np.ndarray:
+        """Numbers of a text's pieces; those below zero point to ``alone``, from its start, where pieces to be encoded by themselves are put."""
+        code = self.codes.__getitem__
+        if not UNEVEN_RE.search(text):
+            first, *rest = text.split(" ")
+            alone.append(first)
+            out = np.empty(len(rest) + 1, np.int64)
+            out[1:] = np.fromiter(map(code, rest), np.int64, len(rest))
+            out[0] = -len(alone)
+            return out
+        numbers = []
+        for k, piece in enumerate(CAREFUL_RE.split(text)):
+            if k and not SPACE_RE.search(piece):
+                numbers.append(code(piece))
+            else:
+                alone.append(" " + piece if k else piece)
+                numbers.append(-len(alone))
+        return np.array(numbers, np.int64)
+
+    def _encode_new(self, pieces: list[str], alone: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each piece and then of each text of ``alone`` start, how many there are, and the ids.
+
+        The pieces begin after a space and with a visible character, so many of
+        them are encoded as one text, in which an id starts a piece if and only
+        if it starts with a space.
         """
-        plain, rest = [], []
-        for k, p in enumerate(pieces):
-            (rest if not p or p[0] == MARK or " " in p or p[0].isspace() or p[-1].isspace() else plain).append(k)
-        texts = [" " + " ".join([pieces[k] for k in plain[at : at + JOINED_PIECES]]) for at in range(0, len(plain), JOINED_PIECES)]
-        alone = [pieces[k][1:] if pieces[k][:1] == MARK else " " + pieces[k] for k in rest]
+        texts = [" " + " ".join(pieces[at : at + JOINED_PIECES]) for at in range(0, len(pieces), JOINED_PIECES)]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts + alone, add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(found), np.int32)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        joined = int(lengths[: len(texts)].sum())
-        order = np.array(plain + rest, np.int64)
-        first = np.concatenate((np.flatnonzero(self.spaced[flat[:joined]]), joined + np.cumsum(lengths[len(texts) :]) - lengths[len(texts) :]))
-        sizes = np.diff(first, append=len(flat))
-        starts = np.empty(len(pieces), np.int64)
-        ordered = np.empty(len(pieces), np.int64)
-        starts[order], ordered[order] = first, sizes
-        return starts, ordered, flat
+        ends = np.cumsum(lengths)
+        joined = int(ends[len(texts) - 1]) if texts else 0
+        starts = np.concatenate((np.flatnonzero(self.spaced[flat[:joined]]), (ends - lengths)[len(texts) :]))
+        return starts, np.diff(starts, append=len(flat)), flat
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         """The ids of each text (none for a null) and ``end_id``, as 32-bit arrays."""
-        code = self.codes.__getitem__
-        coded = []
-        for text in texts:
-            pieces = self._pieces(text) if text else []
-            coded.append(np.fromiter(map(code, pieces), np.int64, len(pieces)))
-        waiting, self.codes.waiting = self.codes.waiting, []
-        more_starts, more_sizes, more = self._encode_pieces(waiting)
+        kept, alone = len(self.codes), []
+        coded = [self._coded(text, alone) if text else np.zeros(0, np.int64) for text in texts]
+        new = list(islice(self.codes, kept, None))
+        more_starts, more_sizes, more = self._encode_new(new, alone)
         starts, sizes = np.concatenate((self.starts, more_starts + len(self.flat))), np.concatenate((self.sizes, more_sizes))
         flat = np.concatenate((self.flat, more))
         out = []
         for codes in coded:
+            codes = np.where(codes < 0, kept + len(new) - 1 - codes, codes)
             length = sizes[codes]
             ends = np.cumsum(length)
             n = int(ends[-1]) if len(ends) else 0
@@ -122,9 +111,12 @@ class Encoder:
             ids[:n] = flat[np.arange(n) + np.repeat(starts[codes] - (ends - length), length)]
             ids[n] = end_id
             out.append(ids)
-        if len(starts) <= CACHE_PIECES:
-            self.starts, self.sizes, self.flat = starts, sizes, flat
+        known = kept + len(new)
+        if known <= CACHE_PIECES:
+            self.starts, self.sizes = starts[:known], sizes[:known]
+            self.flat = flat[: int(starts[known - 1] + sizes[known - 1]) if known else 0]
         else:
-            for piece in waiting:
+            for piece in new:
                 del self.codes[piece]
+            self.codes.default_factory = count(kept).__next__
         return out
