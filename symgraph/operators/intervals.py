@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Places of a block of :func:`next_at_most`.
+BLOCK = 256
+
 
 def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, value: str, out: str) -> DataFrame:
     """``points`` with the ``value`` of the innermost span around each one, null outside all.
 
-    The innermost span is the one that starts last. Distinct points are joined
-    once, so points that repeat cost nothing more.
+    The innermost span is the one that starts last. Places are whole numbers.
+    A span lies in at most two cells of the least power of two that is not
+    shorter, so a point meets only spans of its own cells, one cell for each
+    power of two in use, and a key with many spans is dealt out by cell.
     """
     distinct = points.select(*keys, at).distinct()
-    inside = distinct.join(spans.select(*keys, start, end, value), keys).where(F.col(at).between(F.col(start), F.col(end)))
-    found = inside.groupBy(*keys, at).agg(F.max_by(value, F.struct(start, value)).alias(out))
+    size = F.ceil(F.log2(F.greatest(F.col(end) - F.col(start) + 1, F.lit(1)).cast("double"))).cast("int")
+    held = spans.where(F.col(start) <= F.col(end)).select(*keys, F.col(start).alias("__start"), F.col(end).alias("__end"), F.col(value).alias(out), size.alias("__size"))
+    cell = lambda place, size: F.floor(place / F.pow(F.lit(2.0), size)).cast("long")
+    first, last = (cell(F.col(c), F.col("__size")) for c in ("__start", "__end"))
+    held = held.withColumn("__cell", F.explode(F.array_distinct(F.array(first, last))))
+    # At most 64 numbers, one for each power of two.
+    sizes = sorted(r[0] for r in held.select("__size").distinct().collect())
+    sized = distinct.withColumn("__size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).withColumn("__cell", cell(F.col(at), F.col("__size")))
+    inside = sized.join(held, [*keys, "__size", "__cell"]).where(F.col(at).between(F.col("__start"), F.col("__end")))
+    found = inside.groupBy(*keys, at).agg(F.max_by(out, F.struct("__start", out)).alias(out))
     return points.join(found, [*keys, at], "left")
 
 
@@ -32,9 +45,35 @@ def nearest_before(rows: DataFrame, marks: DataFrame, keys: list[str], at: str,
     return both.where("__side = 0").select(*keys, at, *[F.col("__row")[c].alias(c) for c in mine], F.col(out)["__value"].alias(out))
 
 
+def _first_later(asked: DataFrame, stops: DataFrame, keys: list[str], width: int, inclusive: bool) -> DataFrame:
+    """(keys, __p, __l, __found): for each place and level, the first later place in ``stops`` (keys, __at, __level) of at most that level.
+
+    Places are cut into blocks. A stop is sought in the place's own block, then
+    in the first later block whose least level is low enough, which is the same
+    question about blocks. So a place meets two blocks at each of a few depths.
+    ``width`` is how far apart places can be.
+    """
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("long")
+    later = F.col("__at") >= F.col("__p") if inclusive else F.col("__at") > F.col("__p")
+    known = [*keys, "__p", "__l"]
+    if width <= BLOCK:
+        return asked.join(stops, keys).where(later & (F.col("__level") <= F.col("__l"))).groupBy(*known).agg(F.min("__at").alias("__found"))
+    laid, marks = asked.withColumn("__block", block("__p")), stops.withColumn("__block", block("__at"))
+    near = laid.join(marks, [*keys, "__block"]).where(later & (F.col("__level") <= F.col("__l"))).groupBy(*known).agg(F.min("__at").alias("__found"))
+    blocks = marks.groupBy(*keys, F.col("__block").alias("__at")).agg(F.min("__level").alias("__level"))
+    wanted = laid.join(near.select(*known), known, "left_anti")
+    next_block = _first_later(wanted.select(*keys, F.col("__block").alias("__p"), "__l").distinct(), blocks, keys, width // BLOCK + 1, False)
+    sent = wanted.join(next_block.withColumnRenamed("__p", "__block"), [*keys, "__block", "__l"]).select(*known, F.col("__found").alias("__block"))
+    far = sent.join(marks, [*keys, "__block"]).where(F.col("__level") <= F.col("__l")).groupBy(*known).agg(F.min("__at").alias("__found"))
+    return near.unionByName(far)
+
+
 def next_at_most(items: DataFrame, stops: DataFrame, keys: list[str], at: str, level: str, out: str, inclusive: bool = False) -> DataFrame:
-    """``items`` with the first later place in ``stops`` whose level is at most their own, null if there is none."""
-    later = stops.select(*keys, F.col(at).alias("__at"), F.col(level).alias("__level"))
-    after = (F.col("__at") >= F.col(at)) if inclusive else (F.col("__at") > F.col(at))
-    found = items.select(*keys, at, level).join(later, keys).where(after & (F.col("__level") <= F.col(level)))
-    return items.join(found.groupBy(*keys, at).agg(F.min("__at").alias(out)), [*keys, at], "left")
+    """``items`` with the first later place in ``stops`` whose level is at most their own, null if there is none. Places are whole numbers."""
+    asked = items.select(*keys, F.col(at).alias("__p"), F.col(level).alias("__l")).distinct()
+    marks = stops.groupBy(*keys, F.col(at).alias("__at")).agg(F.min(level).alias("__level"))
+    least, most = stops.agg(F.min(at), F.max(at)).first()
+    width = int(most - least) + 1 if least is not None else 0
+    found = _first_later(asked, marks, keys, width, inclusive)
+    found = found.withColumnRenamed("__p", at).withColumnRenamed("__l", level).withColumnRenamed("__found", out)
+    return items.join(found, [*keys, at, level], "left")

@@ -8,17 +8,18 @@ occurs everywhere costs one row, not one for each pair.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import ALL_EXTENSIONS, IMPORT_EXTENSIONS, extension
 from ..functions.text import last_segment, normalize_path
+from ..scratch import cut
 
 #: Languages in which files of one module share names without imports.
 FAMILIES = ("java", "go", "javascript", "typescript")
 _RELATIVE = ("javascript", "typescript", "rust")
+#: A name that more files than this hold is looked for file by file.
+HELD_BY_MANY = 16
 
 
 def folder(path: Column) -> Column:
@@ -107,42 +108,56 @@ def reachable_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     return direct.unionByName(wanted.join(first, "module").select("file_id", "reach")).distinct()
 
 
+def _over_reach(asked: DataFrame, held: DataFrame, reach: DataFrame, name: str) -> DataFrame:
+    """(file_id, callee, n, pick): the symbols under ``name`` in all files that each asking file reaches.
+
+    ``held`` has one row (file_id, name, n, pick) for each file and name. A name
+    that few files hold is looked up there first, and the files that hold it
+    are then sought among those reached. For a name that many files hold, the
+    files reached come first. So rows stay few for each call either way.
+    """
+    files = held.groupBy(name).agg((F.count("*") > HELD_BY_MANY).alias("many"))
+    known = asked.select("file_id", "callee", name).join(files, name)
+    at = held.select(F.col("file_id").alias("reach"), name, "n", "pick")
+    rare = known.where("NOT many").join(at, name).join(reach, ["file_id", "reach"], "left_semi")
+    common = known.where("many").join(reach, "file_id").join(at, ["reach", name])
+    columns = ["file_id", "callee", "n", "pick"]
+    return rare.select(*columns).unionByName(common.select(*columns)).groupBy("file_id", "callee").agg(F.sum("n").alias("n"), F.min("pick").alias("pick"))
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, reach: DataFrame) -> DataFrame:
     """``calls`` with ``caller_id`` and ``callee_id``.
 
     Rules, best first: a symbol of the same file by qualified name, then by
     unique name; of a reachable file by qualified name, then by unique name
     over all of them; of another file of the same module by unique name; of
-    the whole index by unique name. Ties go to the lowest id.
+    the whole index by unique name. Ties go to the lowest id. Each rule sees
+    only the calls that those before it left open.
     """
     lang = files.select(F.col("id").alias("file_id"), "lang", "module")
     asked = calls.select("file_id", "callee").distinct().withColumn("name", last_segment(F.col("callee"))).where("name <> ''")
     asked = asked.join(lang, "file_id")
-    by_qualname = symbols.groupBy("file_id", "qualname").agg(F.min("id").alias("pick")).withColumnRenamed("qualname", "callee")
-    by_name = symbols.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.min("id").alias("pick"))
+    symbols = cut(symbols.select("id", "file_id", "name", "qualname").join(lang.select("file_id", "module"), "file_id"), "resolve-symbols")
+    by_qualname = symbols.groupBy("file_id", F.col("qualname").alias("callee")).agg(F.count("*").alias("n"), F.min("id").alias("pick"))
+    by_name = symbols.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.min("id").alias("pick"), F.sum("id").alias("ids"))
     key = ["file_id", "callee"]
-    rule = lambda found, priority: found.select(*key, F.lit(priority).alias("priority"), "pick")
-
-    reached = asked.join(reach, "file_id")
-    at = lambda side: side.withColumnRenamed("file_id", "reach")
-    over = reached.join(at(by_name), ["reach", "name"]).groupBy(*key).agg(F.sum("n").alias("n"), F.min("pick").alias("pick"))
 
+    own = by_qualname.select(*key, F.col("pick").alias("by_qualname"))
+    named = by_name.where("n = 1").select("file_id", "name", F.col("pick").alias("by_name"))
+    unique = symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("anywhere")).where("n = 1").select("name", "anywhere")
+    near = asked.join(own, key, "left").join(named, ["file_id", "name"], "left").withColumn("near", F.coalesce("by_qualname", "by_name"))
     # Other files of the module: all of its symbols of that name less those of the file itself.
-    placed = symbols.join(lang.select("file_id", "module"), "file_id")
-    family = placed.groupBy("module", "name").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
-    mine = placed.groupBy("file_id", "name").agg(F.count("*").alias("own_n"), F.sum("id").alias("own_ids"))
-    kin = asked.where(F.col("lang").isin(*FAMILIES)).join(family, ["module", "name"]).join(mine, ["file_id", "name"], "left")
-    kin = kin.where(F.col("n") - F.coalesce("own_n", F.lit(0)) == 1).withColumn("pick", F.col("ids") - F.coalesce("own_ids", F.lit(0)))
-
-    unique = symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("pick")).where("n = 1")
-    rules = [
-        rule(asked.join(by_qualname, key), 1),
-        rule(asked.join(by_name.where("n = 1"), ["file_id", "name"]), 2),
-        rule(reached.join(at(by_qualname), ["reach", "callee"]).groupBy(*key).agg(F.min("pick").alias("pick")), 3),
-        rule(over.where("n = 1"), 4),
-        rule(kin, 5),
-        rule(asked.join(unique, "name"), 6),
-    ]
-    best = reduce(DataFrame.unionByName, rules).groupBy(*key).agg(F.min_by("pick", "priority").alias("callee_id"))
-    caller = by_qualname.select("file_id", F.col("callee").alias("caller_name"), F.col("pick").alias("caller_id"))
+    family = symbols.groupBy("module", "name").agg(F.count("*").alias("all_n"), F.sum("id").alias("all_ids"))
+    mine = by_name.select("file_id", "name", F.col("n").alias("own_n"), F.col("ids").alias("own_ids"))
+    placed = near.join(family, ["module", "name"], "left").join(mine, ["file_id", "name"], "left").join(unique, "name", "left")
+    alone = F.col("lang").isin(*FAMILIES) & (F.col("all_n") - F.coalesce("own_n", F.lit(0)) == 1)
+    far = F.coalesce(F.when(alone, F.col("all_ids") - F.coalesce("own_ids", F.lit(0))), "anywhere")
+    settled = cut(placed.select(*key, "name", "near", far.alias("far")), "resolve-asked")
+
+    left = settled.where("near IS NULL")
+    reach = cut(reach, "resolve-reach")
+    third = _over_reach(left, by_qualname, reach, "callee").select(*key, F.col("pick").alias("third"))
+    fourth = _over_reach(left, by_name, reach, "name").where("n = 1").select(*key, F.col("pick").alias("fourth"))
+    best = settled.join(third, key, "left").join(fourth, key, "left").select(*key, F.coalesce("near", "third", "fourth", "far").alias("callee_id"))
+    caller = own.select("file_id", F.col("callee").alias("caller_name"), F.col("by_qualname").alias("caller_id"))
     return calls.drop("caller_id", "callee_id").join(best, key, "left").join(caller, ["file_id", "caller_name"], "left")

@@ -167,7 +167,9 @@ def located(table: DataFrame, keys: list[str], pattern: str, text: str = "text")
     even for patterns that span lines.
     """
     both = table.select(*keys, F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    rows = both.select(*keys, "gaps", F.posexplode("hits").alias("k", "match")).withColumn("gap", F.get("gaps", F.col("k"))).drop("gaps")
+    # One text between matches goes along with each match; the last one is left out.
+    pairs = F.arrays_zip(F.slice("gaps", F.lit(1), F.size("hits")).alias("gap"), F.col("hits").alias("match"))
+    rows = both.select(*keys, F.posexplode(pairs).alias("k", "pair")).select(*keys, "k", "pair.gap", "pair.match")
     order = Window.partitionBy(*keys).orderBy("k")
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

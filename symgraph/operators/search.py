@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..scratch import cut
 
 K1, B = 1.2, 0.75
 #: Inverse document frequencies are at least this.
@@ -124,6 +125,12 @@ def postings(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def stored(post: DataFrame, key: str, name: str = "postings") -> tuple[DataFrame, DataFrame]:
+    """Postings written out in order of their terms, so that a lookup reads only the stretches that may hold its term, and (key, d), each row's number of terms."""
+    laid = cut(post.repartitionByRange("term", key).sortWithinPartitions("term", key), name)
+    return laid, cut(laid.groupBy(key).agg(F.count("*").alias("d")), f"{name}-lengths")
+
+
 def _phrases(query) -> list[Phrase]:
     """The phrases that count for the score: all but those behind NOT."""
     if isinstance(query, Phrase):
@@ -134,11 +141,12 @@ def _phrases(query) -> list[Phrase]:
 
 
 class Searcher:
-    """Search over ``rows``; ``post`` may be a stored table of :func:`postings`."""
+    """Search over ``rows``; ``post`` may be a stored table of :func:`postings`, and ``lengths`` that of :func:`stored`."""
 
-    def __init__(self, rows: DataFrame, key: str, columns: tuple[str, ...], post: DataFrame | None = None):
+    def __init__(self, rows: DataFrame, key: str, columns: tuple[str, ...], post: DataFrame | None = None, lengths: DataFrame | None = None):
         self.rows, self.key, self.columns = rows, key, tuple(columns)
         self.post = postings(rows, key, self.columns) if post is None else post
+        self.lengths = self.post.groupBy(key).agg(F.count("*").alias("d")) if lengths is None else lengths
 
     def _hits(self, phrase: Phrase) -> DataFrame:
         """(key, f): how often a phrase occurs in each row."""
@@ -167,14 +175,13 @@ class Searcher:
 
     def scores(self, query) -> DataFrame:
         """(key, score) of the matching rows; a lower score is better."""
-        lengths = self.post.groupBy(self.key).agg(F.count("*").alias("d"))
-        size = self.rows.agg(F.count("*").alias("rows")).crossJoin(self.post.agg(F.count("*").alias("terms")))  # one row
+        size = self.rows.agg(F.count("*").alias("rows")).crossJoin(self.lengths.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("terms")))  # one row
         parts = []
         for k, phrase in enumerate(_phrases(query)):
             hits = self._hits(phrase)
             one = hits.crossJoin(F.broadcast(hits.agg(F.count("*").alias("n"))))  # one row
             parts.append(one.select(self.key, "f", "n", F.lit(k).alias("k")))
-        hits = reduce(DataFrame.unionByName, parts).join(self._matching(query), self.key, "left_semi").join(lengths, self.key).crossJoin(F.broadcast(size))
+        hits = reduce(DataFrame.unionByName, parts).join(self._matching(query), self.key, "left_semi").join(self.lengths, self.key).crossJoin(F.broadcast(size))
         rare = F.ln((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
         idf = F.when(rare > 0, rare).otherwise(F.lit(LEAST_IDF))
         mean = F.col("terms") / F.col("rows")

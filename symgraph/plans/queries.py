@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import languages as L
 from ..functions import text as X
 from ..operators import export, graph, intervals, resolve, scan, snapshot
-from ..operators.search import Searcher, parse, search_symbols
+from ..operators.search import Searcher, parse, postings, search_symbols, stored
 from ..settings import DEFAULT_EXCLUDES
 from ..sources.files import excluded, included
 from . import fixtures
-from .standin import index, view, with_views
+from .standin import index, once, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -343,7 +344,7 @@ def size_cap(spark, sf_dir):
 
 # ---------------------------------------------------------------- interval and as-of joins
 
-_SPANS = "SELECT user_id, event_id AS span, event_id * 3 AS first, event_id * 3 + CAST(floor(abs(value)) AS BIGINT) % 5000 AS last FROM events WHERE event_id % 4 = 0"
+_SPANS = "SELECT user_id, event_id AS span, event_id * 3 AS first, event_id * 3 + CAST(floor(abs(value)) AS BIGINT) % 5000 AS last FROM events"
 
 
 @query("enclosing_span", f"""
@@ -356,11 +357,11 @@ def enclosing_span(spark, sf_dir):
 
 
 @query("nearest_preceding", """
-WITH m AS (SELECT user_id, event_id AS at, event_type FROM events WHERE event_type <> 'view' AND event_id % 3 = 0)
+WITH m AS (SELECT user_id, event_id AS at, event_type FROM events WHERE event_type <> 'view')
 SELECT e.event_id, e.user_id, (SELECT arg_max(m.at, m.at) FROM m WHERE m.user_id = e.user_id AND m.at < e.event_id) AS mark FROM events e""")
 def nearest_preceding(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_id").alias("at"), "event_type")
-    marks = events.where("event_type <> 'view' AND event_id % 3 = 0").withColumn("mark", F.col("at")).select("user_id", "at", "mark")
+    marks = events.where("event_type <> 'view'").withColumn("mark", F.col("at")).select("user_id", "at", "mark")
     return intervals.nearest_before(events.select("user_id", "at", "event_id"), marks, ["user_id"], "at", "mark", "mark").select("event_id", "user_id", "mark")
 
 
@@ -372,29 +373,6 @@ def next_at_most(spark, sf_dir):
     return intervals.next_at_most(rows, rows, ["user_id"], "at", "level", "stop").select("user_id", "at", "stop")
 
 
-@query("ttl_cache_replay", """
-WITH RECURSIVE e AS (
-  SELECT user_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events
-), replay AS (
-  SELECT user_id, event_type, r, us AS put_at, false AS hit FROM e WHERE r = 1
-  UNION ALL
-  SELECT e.user_id, e.event_type, e.r, CASE WHEN e.us < p.put_at + 30000000 THEN p.put_at ELSE e.us END, e.us < p.put_at + 30000000
-  FROM replay p JOIN e ON e.user_id = p.user_id AND e.event_type = p.event_type AND e.r = p.r + 1
-)
-SELECT user_id, event_type, count(*) AS lookups, CAST(sum(CAST(hit AS INTEGER)) AS BIGINT) AS hits FROM replay GROUP BY ALL""")
-def ttl_cache_replay(spark, sf_dir):
-    """Lookups of each key and how many a cache with a life of 30 s answers: a put is renewed only after it expired."""
-    times = F.sort_array(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp"))))
-    start = F.struct(F.lit(-(2**62)).cast("long").alias("put_at"), F.lit(0).cast("long").alias("hits"))
-
-    def step(acc, at):
-        live = at < acc["put_at"] + 30_000_000
-        return F.struct(F.when(live, acc["put_at"]).otherwise(at).alias("put_at"), (acc["hits"] + live.cast("long")).alias("hits"))
-
-    keyed = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("lookups"), times.alias("times"))
-    return keyed.select("user_id", "event_type", "lookups", F.aggregate("times", start, step, lambda acc: acc["hits"]).alias("hits"))
-
-
 # ---------------------------------------------------------------- search
 
 _POSTINGS = """
@@ -436,7 +414,10 @@ _SEARCHES = {
 
 def _search(text: str):
     def run(spark, sf_dir):
-        finder = Searcher(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", ("text", "source"))
+        rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+        # As with an index, postings are stored once and then asked many times.
+        post, lengths = once(spark, sf_dir, "postings", lambda: stored(postings(rows, "doc_id", ("text", "source")), "doc_id"))
+        finder = Searcher(rows, "doc_id", ("text", "source"), post, lengths)
         found = finder.scores(parse(text, ("text", "source")))
         return found.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -457,18 +438,17 @@ def search_like(spark, sf_dir):
 # ---------------------------------------------------------------- export
 
 @query("export_json_rows", with_views("""
-SELECT 'files' AS section, id AS number, path AS a, lang AS b FROM files
-UNION ALL SELECT 'symbols', id, qualname, kind FROM symbols""", "symbols"))
+SELECT 'files' AS section, path AS a, lang AS b, module AS c, CAST(lines AS BIGINT) AS n FROM files
+UNION ALL SELECT 'symbols', qualname, kind, name, start_line FROM symbols
+UNION ALL SELECT 'calls', caller_name, callee, CAST(callee_id AS VARCHAR), line FROM calls
+UNION ALL SELECT 'imports', i.module, i.kind, f.path, i.line FROM imports i LEFT JOIN files f ON f.id = i.target_id""", "symbols", "calls", "imports"))
 def export_json_rows(spark, sf_dir):
-    """The exported JSON records read back: files by path, symbols by qualified name."""
-    idx = index(spark, sf_dir)
-    got = export.json_rows(idx)
+    """The exported JSON records of all four sections, read back."""
+    got = export.json_rows(index(spark, sf_dir))
     field = lambda name: F.get_json_object("json", "$." + name)
-    files = got.where("section = 'files'").select("section", field("path").alias("a"), field("lang").alias("b"))
-    symbols = got.where("section = 'symbols'").select("section", field("qualname").alias("a"), field("kind").alias("b"))
-    ids = idx.files.select(F.lit("files").alias("section"), F.col("id").alias("number"), F.col("path").alias("a")).unionByName(
-        idx.symbols.select(F.lit("symbols").alias("section"), F.col("id").alias("number"), F.col("qualname").alias("a")))
-    return files.unionByName(symbols).join(ids, ["section", "a"]).select("section", "number", "a", "b")
+    told = {"files": ("path", "lang", "module", "lines"), "symbols": ("qualname", "kind", "name", "start_line"), "calls": ("caller", "callee", "callee_id", "line"), "imports": ("module", "kind", "target_path", "line")}
+    parts = [got.where(F.col("section") == k).select("section", *[field(f).alias(c) for f, c in zip(fields, "abcn", strict=True)]) for k, fields in told.items()]
+    return reduce(DataFrame.unionByName, parts).withColumn("n", F.col("n").cast("long"))
 
 
 @query("export_dot_lines", with_views("""
@@ -519,6 +499,6 @@ def scan_imports(spark, sf_dir):
     return idx.imports.join(paths, "file_id").join(targets, "target_id", "left").select("path", "module", F.array_join("names", ",").alias("names"), "kind", "line", "target")
 
 
-@query("search_symbols", with_views("SELECT id, qualname FROM symbols WHERE doc LIKE '%STEEL%' AND doc LIKE '%Brand#12%'", "symbols"))
+@query("search_symbols", with_views("SELECT id, qualname FROM symbols WHERE doc = 'SMALL Brand#4'", "symbols"))
 def search_symbols_query(spark, sf_dir):
-    return search_symbols(index(spark, sf_dir), "doc:steel doc:brand doc:12", limit=-1).select("id", "qualname")
+    return search_symbols(index(spark, sf_dir), "doc:small doc:brand doc:4", limit=-1).select("id", "qualname")
