@@ -31,14 +31,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/symgraph/{name}-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this package's in the shared folder."""
+    if "/symgraph/" in folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`cut` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/symgraph/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        delete_folder(df.sparkSession, folder)
 
 
 def bounded(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
@@ -88,8 +91,11 @@ def map_texts(docs: DataFrame, keep: list[str], columns: dict[str, tuple[str, pa
     """The columns ``keep``, untouched, with ``columns`` computed from the texts.
 
     ``columns`` gives each new column's Spark and Arrow types; ``fn`` gets a
-    list of texts (None for null) and returns one sequence for each column.
+    list of texts (None for null) and returns one sequence for each column. A
+    new column whose name is among ``keep`` gets underscores added to it.
     """
+    kept = docs.select(*[docs[k] for k in keep])
+    columns = {free_name(kept, k): v for k, v in columns.items()}
     fields = [T.StructField(k, docs.schema[k].dataType) for k in keep]
     fields += [T.StructField(k, T._parse_datatype_string(kind)) for k, (kind, _) in columns.items()]
     kinds = [arrow for _, arrow in columns.values()]

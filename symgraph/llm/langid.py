@@ -11,6 +11,8 @@ rejected.
 Cases: a null text or one without a letter is ``und`` with score 0. Without
 any training text everything is ``und``. Texts are read whole, in slices of
 bounded memory. Ties between centroids go to the language that sorts first.
+Rows that repeat get equal results. An empty table gives no rows. Other columns
+play no part.
 """
 
 from __future__ import annotations
@@ -96,7 +98,7 @@ def training_rows(docs: DataFrame, per_lang: int = TRAIN_ROWS_PER_LANG) -> DataF
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     joined = known.select("doc_id", "lang", "text").join(bounded(cut(sizes, "lang-sizes")), "lang")
-    point = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    point = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     return joined.where(point < per_lang / F.col("n")).select("lang", "text")
 
 

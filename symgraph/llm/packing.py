@@ -9,7 +9,9 @@ of remainders in a task, the last few open windows are all the padding there is.
 
 Cases: a null or empty text is the end id alone. Rows that repeat an id are
 separate documents. An empty table gives no pieces. Very long texts are cut
-into many full windows, dealt to all tasks. Other columns play no part.
+into many full windows, dealt to all tasks. Pieces of equal length are placed in
+the order of their documents, and of windows with equal room the last one
+opened is filled first. Other columns play no part.
 """
 
 from __future__ import annotations

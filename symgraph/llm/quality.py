@@ -6,8 +6,9 @@ with them, or that fails the document-level base rules, is rejected.
 
 Cases: a null text is an empty text, which fails the base rules. Blank lines
 pass. Repeated rows are judged alike and all stay. Texts of any length are
-judged whole. Columns other than the text column are passed through, and
-helper columns take names that the input does not use.
+judged whole. An empty table gives no rows. The input's columns pass through
+unchanged; the added column is called ``quality``, with underscores added where
+the input has a column of that name.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, words
+from .common import SPACE_CHARS, free_name, let, words
 
 #: Symbols that the base statistics count.
 SYMBOLS = "#*$%&|<>"
@@ -139,7 +140,7 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
         )
 
     passing = F.array_join(F.filter(F.split(base, "\n"), lambda line: ~line_fails(line)), "\n")
-    return docs.withColumn("quality", let(statistics(base), lambda s: let(passing, lambda t: verdict(s, t))))
+    return docs.withColumn(free_name(docs, "quality"), let(statistics(base), lambda s: let(passing, lambda t: verdict(s, t))))
 
 
 def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -148,6 +149,6 @@ def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     The verdict passes through a generator, so Spark cannot evaluate the
     cleaning once for a filter and again for the result.
     """
-    judged = clean(docs, text)
-    kept = F.explode(F.filter(F.array("quality"), lambda q: q["kept"]))
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "quality"], kept.alias("quality"))
+    judged, name = clean(docs, text), free_name(docs, "quality")
+    kept = F.explode(F.filter(F.array(name), lambda q: q["kept"]))
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], kept.alias(name))

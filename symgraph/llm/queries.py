@@ -10,14 +10,19 @@ from .common import scratch_path, table
 from .tokens import vocabulary
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts; whatever else the table holds plays no part."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ids")
-    tokenfile.write_ids(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    tokenfile.write_ids(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"))
     return tokenfile.read_ids(spark, path, with_ids=False)
 
 
@@ -27,30 +32,30 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mergedropout.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return mergedropout.round_trip(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=16)
+    return sharding.assign_shards(documents(spark, sf_dir), shards=16)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.link_documents(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return ngramjoin.link_documents(documents(spark, sf_dir), n=4, percent=85)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.clean(table(spark, sf_dir, "documents"))
+    judged = quality.clean(documents(spark, sf_dir))
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
     return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in fields])
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
+    packed = packing.pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    found = linededup.dedup_lines(documents(spark, sf_dir))
     return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.kept_text", 256).alias("kept_sha256"))
 
 

@@ -9,7 +9,8 @@ into the shards. How many of those there are depends on the number of shards,
 not on the data, but for one bundle or so per ``PART_GROUPS`` groups.
 
 Cases: a null text has size 1 and belongs with the empty text. Rows that
-repeat an id are separate rows. An empty table gives no rows. A group larger
+repeat an id are separate rows, and no number of equal rows stands in one
+task's way. An empty table gives no rows. A group larger
 than a shard's even share fills a shard of its own. Other columns play no part.
 """
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 #: Bundles are this share of a shard.
 BUNDLES_PER_SHARD = 512
@@ -126,11 +127,17 @@ def assign_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", tex
     The law is ``bytes``: sizes of shards are near equal. Slots number the
     rows of a shard from 0 without gaps.
     """
+    placed = placed_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("at")), shards)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def placed_rows(docs: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, at, size, text_crc32, shard, slot) for rows (doc_id, text, at), where ``at`` tells rows apart that are equal otherwise."""
     spark = docs.sparkSession
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col("text"), F.lit(""))
     rows = cut(
         docs.select(
-            F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
+            "doc_id", "at", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
             F.xxhash64(body).alias("g1"), F.xxhash64(F.lit(7), body).alias("g2"),
         ),
         "shard-rows",
@@ -158,43 +165,42 @@ def assign_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", tex
     by_bundle = spark.createDataFrame([(k[1], k[2], s) for k, s in shard_of.items() if not k[0]], "part int, bundle int, shard int")
     by_group = spark.createDataFrame([(k[1], k[2], s) for k, s in shard_of.items() if k[0]], "g1 long, g2 long, large_shard int")
     marked = rows.join(F.broadcast(by_group), ["g1", "g2"], "left")
-    alone = marked.where("large_shard IS NOT NULL").select("doc_id", "size", "text_crc32", F.col("large_shard").alias("shard"))
+    alone = marked.where("large_shard IS NOT NULL").select("doc_id", "at", "size", "text_crc32", F.col("large_shard").alias("shard"))
     packed = small.join(F.broadcast(by_bundle), ["part", "bundle"]).select("g1", "g2", "shard")
-    rest = marked.where("large_shard IS NULL").join(packed, ["g1", "g2"]).select("doc_id", "size", "text_crc32", "shard")
+    rest = marked.where("large_shard IS NULL").join(packed, ["g1", "g2"]).select("doc_id", "at", "size", "text_crc32", "shard")
     return with_slots(cut(alone.unionByName(rest), "shard-assigned"))
 
 
 def with_slots(assigned: DataFrame) -> DataFrame:
     """Number the rows of each shard without sorting a whole shard in one task."""
     spark = assigned.sparkSession
-    order = ["shard", "doc_id", "text_crc32"]
+    order = ["shard", "doc_id", "text_crc32", "at"]
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     laid = assigned.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     # The upper bits of this number are the task, the lower 33 count its rows.
-    laid = cut(laid.withColumn("at", F.monotonically_increasing_id()).withColumn("task", F.shiftright("at", 33)), "shard-laid")
-    counts = laid.groupBy("task", "shard").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect()
+    laid = cut(laid.withColumn("row", F.monotonically_increasing_id()).withColumn("task", F.shiftright("row", 33)), "shard-laid")
+    counts = laid.groupBy("task", "shard").agg(F.min("row").alias("first"), F.count("*").alias("n")).collect()
     # Tasks hold ranges of (shard, id), so there are fewer counts than tasks and shards together.
     offsets, filled = [], {}
     for r in sorted(counts, key=lambda r: (r["shard"], r["task"])):
         offsets.append((r["task"], r["shard"], filled.get(r["shard"], 0) - r["first"]))
         filled[r["shard"]] = filled.get(r["shard"], 0) + r["n"]
     shift = F.broadcast(spark.createDataFrame(offsets, "task long, shard int, shift long"))
-    return laid.join(shift, ["task", "shard"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("shift")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    return laid.join(shift, ["task", "shard"]).select("doc_id", "at", "size", "text_crc32", "shard", (F.col("row") + F.col("shift")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write ``docs`` with their shard and slot, one folder for each shard."""
-    placed = assign_shards(docs, shards, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot")
-    body = F.coalesce(F.col(text), F.lit(""))
-    # Rows that repeat an id and a text are numbered on both sides, so that each takes one slot.
-    from pyspark.sql import Window
-
-    left = docs.withColumn("__crc", F.crc32(body)).withColumn("__k", F.row_number().over(Window.partitionBy(doc_id, "__crc").orderBy(doc_id)))
-    right = placed.withColumn("__k2", F.row_number().over(Window.partitionBy("__id", "__crc").orderBy("slot"))).withColumnRenamed("__crc", "__crc2")
-    same = left[doc_id].eqNullSafe(right["__id"]) & (left["__crc"] == right["__crc2"]) & (left["__k"] == right["__k2"])
-    left.join(right, same).drop("__id", "__crc", "__crc2", "__k", "__k2").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` with their shard and slot, one folder for each shard.
+
+    The added columns are called ``shard`` and ``slot``, with underscores added
+    where the input has a column of that name.
+    """
+    at, shard, slot = (free_name(docs, c) for c in ("at", "shard", "slot"))
+    # Written out, so that the numbers stay those of the rows whatever is computed again.
+    rows = cut(docs.withColumn(at, F.monotonically_increasing_id()), "shard-docs")
+    placed = placed_rows(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(at).alias("at")), shards)
+    placed = placed.select(F.col("at").alias(at), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    rows.join(placed, at).drop(at).write.partitionBy(shard).parquet(path)
 
 
 def brute_force(sizes: list[int], capacity: int) -> list[int]:

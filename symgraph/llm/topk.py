@@ -9,7 +9,8 @@ each query's selections from all candidate blocks.
 Cases: a vector that is null, empty or holds a null or non-finite component
 takes no part. Missing trailing components count as zero. Equal scores go to
 the smaller id; rows that repeat an id are separate candidates, but a query
-never meets a row with its own id. Scores wrap like 64-bit integers.
+never meets a row with its own id. Scores wrap like 64-bit integers. Empty
+tables give no rows. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2_048
+QUERY_BLOCK = 16_384
 CANDIDATE_BLOCK = 16_384
 SCALE = 256
 
@@ -91,7 +92,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: in
     candidate_blocks = -(-max(1, candidates.count()) // candidate_block)
 
     def dealt(rows: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("id", "terms"), F.lit(own_blocks)).cast("int").alias(own)
+        # The place in the input takes part, so that rows that repeat are dealt out too.
+        block = F.pmod(F.xxhash64("id", "terms", F.monotonically_increasing_id()), F.lit(own_blocks)).cast("int").alias(own)
         return rows.select("id", "terms", block, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other))
 
     left = dealt(queries, "qb", query_blocks, "cb", candidate_blocks).groupBy("qb", "cb")

@@ -16,7 +16,9 @@ are summed, and the sum is calibrated to a probability on the training rows.
 Cases: null and empty texts have no segment and get the lowest score. Null or
 repeated labels are ignored beyond the first kept by ``max``. A corpus without
 toxic or without clean labels gives a model under which nothing is toxic.
-Texts are scored whole; columns other than id and text pass through.
+Rows that repeat get equal scores, and an empty table gives no rows. Texts are
+scored whole. Of the input's columns those asked for pass through; a new column
+gets underscores added to its name where it would clash with one of them.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +39,10 @@ from .common import bounded, cut, held_out, map_texts
 
 #: At most about this many labelled documents are learnt from.
 TRAIN_ROWS = 20_000
-#: The model keeps this many tokens and prefixes, those with the strongest evidence.
-MODEL_SIZE = 50_000
+#: Tokens and prefixes found in fewer training documents than this say no more than the next shorter prefix.
+LEAST_SUPPORT = 2
+#: Scores of tokens that a worker remembers.
+MEMO_TOKENS = 100_000
 PREFIXES = (3, 4, 5, 6)
 PRIOR = 4.0
 DRIFT = 1.0
@@ -49,22 +54,45 @@ TOKEN_SQL = r"[^\p{L}\p{N}\p{M}]+"
 
 @dataclass
 class ToxicityModel:
-    """Scores by token ("idiot") and prefix ("idio*"), and the calibration."""
+    """Scores by the hash of a token ("idiot") or prefix ("idio*"), and the calibration."""
 
-    scores: dict[str, float] = field(default_factory=dict)
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
     default: float = -DRIFT
     lam: float = 1.0
     k: float = 0.1
     cut: float = math.inf
-
-    def token_score(self, token: str) -> float:
-        found = self.scores.get(token)
-        if found is not None:
-            return found
-        for n in reversed(PREFIXES):
-            if len(token) >= n and (found := self.scores.get(token[:n] + "*")) is not None:
-                return found
-        return self.default
+    memo: dict[str, float] = field(default_factory=dict)
+
+    @staticmethod
+    def hashes(names: list[str]) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(n.encode("utf-8", "replace")) for n in names), np.uint64, len(names))
+
+    def learn(self, scores: dict[str, float]) -> None:
+        keys = self.hashes(list(scores))
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.fromiter(scores.values(), np.float64, len(scores))[order]
+
+    def look_up(self, tokens: list[str]) -> np.ndarray:
+        """The score of each token, or of its longest known prefix."""
+        out, open_ = np.full(len(tokens), self.default), np.ones(len(tokens), dtype=bool)
+        for n in (None, *reversed(PREFIXES)) if len(self.keys) else ():
+            at = np.flatnonzero(open_)
+            if n:
+                at = at[[len(tokens[k]) >= n for k in at.tolist()]] if at.size else at
+            found = self.hashes([tokens[k][:n] + "*" if n else tokens[k] for k in at.tolist()])
+            place = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+            hit = self.keys[place] == found
+            out[at[hit]], open_[at[hit]] = self.values[place[hit]], False
+        return out
+
+    def token_scores(self, tokens: list[str]) -> np.ndarray:
+        new = [t for t in dict.fromkeys(tokens) if t not in self.memo]
+        if len(new) + len(self.memo) > MEMO_TOKENS:
+            self.memo.clear()
+            new = list(dict.fromkeys(tokens))
+        self.memo.update(zip(new, self.look_up(new).tolist(), strict=True))
+        return np.fromiter(map(self.memo.__getitem__, tokens), np.float64, len(tokens))
 
     def probability(self, evidence: float) -> float:
         """0.5 at the calibrated cut; always finite."""
@@ -140,13 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityM
         for k in PREFIXES
     ]
     base = n_toxic / (n_toxic + n_clean)
-    # Evidence: how far the toxic count is from what the base rate would give, in standard errors.
-    z = (F.col("t") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    kept = every.where("n >= 2").orderBy(F.abs(z).desc(), "token").limit(MODEL_SIZE).collect()
-    counts = {r["token"]: (r["t"], r["n"]) for r in kept}
+    # All of them reach the driver; the training rows bound them.
+    kept = every.where(F.col("n") >= LEAST_SUPPORT).toPandas()
+    counts = dict(zip(kept["token"], zip(kept["t"].tolist(), kept["n"].tolist(), strict=True), strict=True))
 
     def share(name: str, length: int) -> float:
         shorter = [k for k in PREFIXES if k < length]
@@ -156,17 +183,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityM
 
     model = ToxicityModel()
     logit = lambda p: math.log(p / (1 - p))
-    for name in counts:
-        p = share(name, len(name) - 1 if name.endswith("*") else len(name) + 1)
-        model.scores[name] = logit(min(max(p, 1e-4), 1 - 1e-4)) - logit(base) - DRIFT
+    shares = {name: share(name, len(name) - 1 if name.endswith("*") else len(name) + 1) for name in counts}
+    model.learn({name: logit(min(max(p, 1e-4), 1 - 1e-4)) - logit(base) - DRIFT for name, p in shares.items()})
     return calibrate(model, train)
 
 
 def calibrate(model: ToxicityModel, train: DataFrame) -> ToxicityModel:
     """Fit lambda, K and the decision cut on the training rows.
 
-    Only histograms reach the driver: token scores in steps of 0.05 on clean
-    rows, and document evidence in half-bit steps by label.
+    Lambda makes the mean of exp(lambda * score) over clean tokens one. K is
+    the likeliest one given the best segment of each clean row: by the law of
+    extreme values a row of n tokens has none above s with probability
+    exp(-K n exp(-lambda s)). Only sums and histograms reach the driver: token
+    scores in steps of 0.05 on clean rows, and evidence in half-bit steps by
+    label.
     """
     lookup = train.sparkSession.sparkContext.broadcast(model)
 
@@ -174,9 +204,9 @@ def calibrate(model: ToxicityModel, train: DataFrame) -> ToxicityModel:
         for pdf in batches:
             seen: dict[int, int] = {}
             for text in pdf["text"]:
-                for token in TOKEN_RE.findall(text.lower()):
-                    step = round(lookup.value.token_score(token) * 20)
-                    seen[step] = seen.get(step, 0) + 1
+                steps, n = np.unique(np.rint(lookup.value.token_scores(TOKEN_RE.findall(text.lower())) * 20).astype(int), return_counts=True)
+                for step, times in zip(steps.tolist(), n.tolist(), strict=True):
+                    seen[step] = seen.get(step, 0) + times
             yield pd.DataFrame({"step": list(seen), "n": list(seen.values())})
 
     clean = train.where("toxic = 0").select("text").mapInPandas(histogram, "step long, n long")
@@ -186,7 +216,7 @@ def calibrate(model: ToxicityModel, train: DataFrame) -> ToxicityModel:
         values, shares = np.array([r["step"] / 20 for r in found]), np.array([r["n"] / total for r in found])
         if (values > 0).any() and float(values @ shares) < 0:
             model.lam = min(4.0, solve_lambda(values, shares))
-            model.k = max(1e-3, float(shares[values > 0].sum()))
+            model.k = fit_k(train.where("toxic = 0"), model)
     scored = segments(train, model, keep=["toxic"])
     steps = scored.groupBy("toxic", F.least(F.lit(400), F.floor(F.col("evidence") * 2)).alias("step")).agg(F.count("*").alias("n")).collect()
     best, model.cut = None, 0.25
@@ -200,6 +230,19 @@ def calibrate(model: ToxicityModel, train: DataFrame) -> ToxicityModel:
     return model
 
 
+def fit_k(clean: DataFrame, model: ToxicityModel) -> float:
+    """The likeliest K: rows over the sum of n exp(-lambda s), for n tokens and best segment s of each row with a token."""
+    lookup = clean.sparkSession.sparkContext.broadcast(model)
+
+    def best(texts: list[str | None]) -> tuple[list[int], list[float]]:
+        scored = [lookup.value.token_scores(TOKEN_RE.findall((t or "").lower())) for t in texts]
+        return list(map(len, scored)), [max((x for _, _, x in maximal_segments(s)), default=0.0) for s in scored]
+
+    rows = map_texts(clean, [], {"n": ("long", pa.int64()), "s": ("double", pa.float64())}, best).where("n > 0")
+    n, total = rows.agg(F.count("*"), F.sum(F.col("n") * F.exp(-F.lit(model.lam) * F.col("s")))).first()
+    return max(1e-3, n / total) if n else model.k
+
+
 def score_text(text: str | None, model: ToxicityModel) -> tuple[float, list[tuple[int, int, float]]]:
     """Evidence of a text and its significant passages as character spans with their scores."""
     found = [(m.start(), m.end()) for m in TOKEN_RE.finditer(text or "")]
@@ -207,7 +250,7 @@ def score_text(text: str | None, model: ToxicityModel) -> tuple[float, list[tupl
         return 0.0, []
     lowered = text.lower()
     same = len(lowered) == len(text)
-    scores = np.array([model.token_score(lowered[s:e] if same else text[s:e].lower()) for s, e in found])
+    scores = model.token_scores([lowered[s:e] if same else text[s:e].lower() for s, e in found])
     chance = math.log(max(model.k * len(found), 1e-9) / MAX_CHANCE)
     spans, evidence = [], 0.0
     for start, end, score in maximal_segments(scores):
