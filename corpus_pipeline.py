@@ -15,29 +15,34 @@ from symgraph.llm.common import bounded, cut, scratch_path, table
 from symgraph.llm.tokens import vocabulary
 
 
+#: What every stage but the last reads and returns; other columns are left behind, whatever their names.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def _with_text(docs: DataFrame, text) -> DataFrame:
     """``docs`` with a new text and its length, in the columns of ``documents``."""
-    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select("doc_id", "text", "lang", "source", "n_chars")
+    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.segments(docs, model, keep=docs.columns).where("score < 0.5").select(*docs.columns)
+    return toxicity.segments(docs, model, keep=COLUMNS).where("score < 0.5").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(quality.kept_documents(docs), F.col("quality.clean_text"))
+    return _with_text(quality.kept_documents(docs.select(*COLUMNS)), F.col("quality.clean_text"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(linededup.dedup_lines(docs), F.col("lines.kept_text"))
+    return _with_text(linededup.dedup_lines(docs.select(*COLUMNS)), F.col("lines.kept_text"))
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays."""
     found = ngramjoin.link_documents(docs, n=5, percent=80)
     gone = bounded(cut(found.where("component_id < doc_id").select("doc_id").distinct(), "near-copies"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +58,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Segment scores, token ids and window places are beyond SQL; tests hold every stage against brute force.
+#: Segment scores, token ids and window places are beyond SQL; tests hold every stage against plain Python.
 ORACLE_SQL = None
 
 
