@@ -9,11 +9,10 @@ come back. What remains is merged as usual, characters without a piece fall
 back to bytes, and the ids decode to the text again whatever was skipped.
 Without dropout the ids are those of the sentencepiece library.
 
-A bounded table holds how a unit is split when given candidates are skipped,
-with all candidates that were offered on the way. An occurrence starts at the
-entry without skips; where its hash skips offered candidates, it moves on to the
-entry with those skipped, until no more are. Entries that are missing go through
-the agenda together as rows of a matrix; long units use a heap each time.
+A bounded table holds each word's characters, its ids without any skip, and all
+candidates offered on the way there. An occurrence whose key skips none of them
+takes those ids. Every other occurrence goes through an agenda of its own: many
+units at once as columns of a matrix, or one by one through a heap if long.
 
 Cases: null and empty texts have no ids. U+2581 in a text is coded as bytes,
 so that it decodes to itself. Texts of any length are coded whole. Rows that
@@ -25,7 +24,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from itertools import chain, islice, pairwise
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +36,21 @@ from .common import map_texts
 
 DROPOUT = 0.1
 SEED = 20_240_607
-#: Entries of the table of splits.
-CACHE_UNITS = 800_000
+#: Units that the table holds; those met after that are worked out anew in each batch.
+CACHE_UNITS = 400_000
 #: Occurrences whose candidates are hashed together.
 HASHED_ROWS = 50_000
-#: Units of up to this many characters are handled as matrix rows.
+#: Units of up to this many characters are handled as columns of a matrix.
 MATRIX_CHARS = 32
-MATRIX_ROWS = 20_000
+MATRIX_COLUMNS = 16_384
 #: A candidate's left, middle and right place in a short unit are the digits of one number to this base.
 _BASE = MATRIX_CHARS + 1
 _SPACE = "▁"
 #: Stands for U+2581 itself; no valid text holds a lone surrogate.
 _LITERAL = "\udc81"
 UNIT_RE = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
-_NONE = np.int64(1 << 40)
+_NONE = np.int32(2**31 - 1)
+_SLOTS = 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _C = np.uint64(0xFF51AFD7ED558CCD)
 _S = np.uint64(33)
@@ -82,7 +83,7 @@ class MergeDropout:
         self.pieces = {self.library.id_to_piece(i): i for i in range(size) if not special[i]}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         scores = np.array([self.library.get_score(i) for i in range(size)])
-        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int64)
+        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
         joins = {}
         for piece, at in self.pieces.items():
             for k in range(1, len(piece)):
@@ -91,16 +92,18 @@ class MergeDropout:
                     joins[left << 32 | right] = at
         self.joins = joins
         keys = np.array(sorted(joins), dtype=np.int64)
-        self.keys, self.targets = keys, np.array([joins[k] for k in keys.tolist()], dtype=np.int64)
-        # A first table by hash answers most lookups of pairs that never join.
-        self.maybe = np.zeros(1 << 22, dtype=bool)
-        self.maybe[self._slot(keys)] = True
-        self.symbol_of = -1 - np.arange(0x110000, dtype=np.int64)
+        self.keys, self.targets = keys, np.array([joins[k] for k in keys.tolist()], dtype=np.int32)
+        # Where a pair stands among the keys, by hash; -1 where no pair has the hash, -2 where several have.
+        slots, at, times = np.unique(self._slot(keys), return_index=True, return_counts=True)
+        self.place = np.full(1 << _SLOTS, -1, np.int32)
+        self.place[slots] = np.where(times == 1, at, -2)
+        self.symbol_of = -1 - np.arange(0x110000, dtype=np.int32)
         for piece, at in self.pieces.items():
             if len(piece) == 1:
                 self.symbol_of[ord(piece)] = at
-        # By unit, or (unit, skipped candidates): ids and the candidates offered, as packed numbers.
-        self.cache: dict[str | tuple[str, bytes], tuple[bytes, bytes]] = {}
+        # The table of units: numbers by unit, and what is known of each number.
+        self.codes: defaultdict[str, int] = defaultdict(count().__next__)
+        self.symbols, self.ids, self.offers = (_Lists(np.int32), _Lists(np.int32), _Lists(np.uint16))
 
     @classmethod
     def of(cls, path: str, dropout: float, seed: int) -> MergeDropout:
@@ -111,7 +114,7 @@ class MergeDropout:
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys >> 32) * 40_503 + (keys & 0xFFFFFFFF) * 60_493) & ((1 << 22) - 1)
+        return ((keys >> 32) * 40_503 + (keys & 0xFFFFFFFF) * 60_493) & ((1 << _SLOTS) - 1)
 
     def keys_of(self, text: str, document: int, units: int) -> np.ndarray:
         """The keys of a text's units."""
@@ -167,147 +170,204 @@ class MergeDropout:
 
     def _join_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two neighbours join to, or -1."""
-        keys = left << 32 | right
-        target = np.full(len(keys), -1, np.int64)
-        at = np.flatnonzero((left >= 0) & (right >= 0))
-        at = at[self.maybe[self._slot(keys[at])]]
-        place = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
-        hit = self.keys[place] == keys[at]
-        target[at[hit]] = self.targets[place[hit]]
+        keys = left.astype(np.int64) << 32 | right
+        target = np.full(len(keys), -1, np.int32)
+        place = self.place.take(self._slot(keys))
+        at = np.flatnonzero((place != -1) & (left >= 0) & (right >= 0))
+        keys, place = keys[at], place[at]
+        if (several := np.flatnonzero(place == -2)).size:
+            place[several] = np.minimum(np.searchsorted(self.keys, keys[several]), len(self.keys) - 1)
+        hit = self.keys.take(place) == keys
+        target[at[hit]] = self.targets.take(place[hit])
         return target
 
+    def _symbols_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The characters of units one after the other, and how many each has."""
+        return self.symbol_of[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)], np.fromiter(map(len, units), np.int64, len(units))
+
     def merge_matrix(self, units: list[str], keys: list[int]) -> list[list[int]]:
         """Short units through the agenda together, each with its own key."""
-        held = np.array(keys, dtype=np.uint64)
-        packed = self._matrix(units, lambda r, left, middle, right: skipped(held[r], left, middle, right, self.dropout))[0]
-        return [np.frombuffer(x, np.int32).tolist() for x in packed]
-
-    def split(self, wanted: list[str | tuple[str, bytes]]) -> list[tuple[bytes, bytes]]:
-        """The table's entries for short units with given candidates skipped."""
-        gone = [x[1] if isinstance(x, tuple) else b"" for x in wanted]
-        sizes = np.array([len(g) // 2 for g in gone])
-        skips = np.full((len(wanted), sizes.max()), -1, np.int32)
-        skips[np.arange(skips.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(gone), np.uint16)
-        drop = lambda r, left, middle, right: (skips[r] == ((left * _BASE + middle) * _BASE + right)[:, None]).any(axis=1)
-        return list(zip(*self._matrix([x[0] if isinstance(x, tuple) else x for x in wanted], drop), strict=True))
-
-    def _matrix(self, units: list[str], drop) -> tuple[list[bytes], list[bytes]]:
-        """Ids and offered candidates of short units: each round takes every row's best candidate."""
-        width = max(map(len, units)) + 1
-        rows = len(units)
-        sizes = np.array([len(u) for u in units])
-        symbols = np.full((rows, width), -(1 << 30), np.int64)
-        symbols[np.arange(width) < sizes[:, None]] = self.symbol_of[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        starts = np.minimum(np.arange(width)[None, :], sizes[:, None]).astype(np.int64)
-        noted = [(np.zeros(0, np.int64), np.zeros(0, np.uint16))]
-        target = np.full((rows, width), -1, np.int64)
-        agenda = np.full((rows, width), _NONE, np.int64)
-        columns = np.arange(width)
-
-        def offer(r: np.ndarray, c: np.ndarray) -> None:
-            joined = self._join_of(symbols[r, c], symbols[r, c + 1])
-            stop = starts[r, np.minimum(c + 2, width - 1)]
-            good = joined >= 0
-            if self.dropout:
-                at = np.flatnonzero(good)
-                left, middle, right = starts[r[at], c[at]], starts[r[at], c[at] + 1], stop[at]
-                noted.append((r[at], ((left * _BASE + middle) * _BASE + right).astype(np.uint16)))
-                good[at] = ~drop(r[at], left, middle, right)
-            target[r, c] = joined
-            agenda[r, c] = np.where(good, self.rank[joined], _NONE)
-
-        r, c = np.nonzero(columns[:-1] < sizes[:, None] - 1)
-        offer(r, c)
-        active = np.arange(rows)
-        while active.size:
-            best = np.argmin(agenda[active], axis=1)
-            going = agenda[active, best] < _NONE
-            active, best = active[going], best[going]
-            if not active.size:
+        flat, sizes = self._matrix(*self._symbols_of(units), np.array(keys, dtype=np.uint64))[:2]
+        return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+
+    def _matrix(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of short units and how many each has; and the candidates offered, packed, and how many for each.
+
+        Row k of each table is the piece that starts at character k of a unit.
+        In each round every column's best candidate is merged. ``keys`` None
+        skips nothing; else offers are not noted.
+        """
+        units, height = len(sizes), int(sizes.max(initial=0)) + 1
+        column = np.repeat(np.arange(units), sizes)
+        row = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        piece = np.full(height * units, -(1 << 30), np.int32)
+        piece[row * units + column] = symbols
+        after = np.repeat(np.arange(1, height + 2, dtype=np.int32), units)
+        before = np.repeat(np.arange(-1, height, dtype=np.int32), units)
+        target = np.full(height * units, -1, np.int32)
+        agenda = np.full((height, units), _NONE, np.int32)
+        queue = agenda.ravel()
+        noted: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def offer(c: np.ndarray, left: np.ndarray) -> None:
+            at = left * units + c
+            middle = after.take(at)
+            under = middle * units + c
+            joined = self._join_of(piece.take(at), piece.take(under))
+            target[at] = joined
+            put = np.where(joined >= 0, self.rank.take(joined) * 64 + left, _NONE)
+            good = np.flatnonzero(joined >= 0)
+            if self.dropout and good.size:
+                end = after.take(under[good])
+                if keys is None:
+                    noted.append((c[good], ((left[good] * _BASE + middle[good]) * _BASE + end).astype(np.uint16)))
+                else:
+                    put[good[skipped(keys.take(c[good]), left[good], middle[good], end, self.dropout)]] = _NONE
+            queue[at] = put
+
+        first = np.flatnonzero(row < sizes.take(column) - 1)
+        offer(column[first], row[first].astype(np.int32))
+        while True:
+            best = agenda.min(axis=0)
+            c = np.flatnonzero(best < _NONE)
+            if not c.size:
                 break
-            symbols[active, best] = target[active, best]
-            for table, fill in ((symbols, -(1 << 30)), (starts, None), (target, -1), (agenda, _NONE)):
-                block = table[active]
-                moved = np.empty_like(block)
-                moved[:, :-1] = block[:, 1:]
-                moved[:, -1] = block[:, -1] if fill is None else fill
-                table[active] = np.where(columns > best[:, None], moved, block)
-            sizes[active] -= 1
-            right = best < sizes[active] - 1
-            agenda[active[~right], best[~right]] = _NONE
-            offer(active[right], best[right])
-            left = best > 0
-            offer(active[left], best[left] - 1)
+            left = best.take(c) & 63
+            at = left * units + c
+            under = after.take(at) * units + c
+            end = after.take(under)
+            piece[at], piece[under] = target.take(at), -(1 << 30)
+            queue[under] = queue[at] = _NONE
+            after[at] = end
+            before[end * units + c] = left
+            right = end < sizes.take(c)
+            offer(c[right], left[right])
+            previous = before.take(at)
+            linked = previous >= 0
+            offer(c[linked], previous[linked])
+        held = np.ascontiguousarray(piece.reshape(height, units).T)
+        inside = held > -(1 << 30)
+        flat, counts = held[inside], inside.sum(axis=1)
+        if (bare := np.flatnonzero(flat < 0)).size:
+            # Characters without a piece become their bytes.
+            spread = [self._ids([s]) for s in flat[bare].tolist()]
+            wide = np.ones(len(flat), np.int64)
+            wide[bare] = list(map(len, spread))
+            sums, ends = np.concatenate(([0], np.cumsum(wide))), np.cumsum(counts)
+            counts = sums[ends] - sums[ends - counts]
+            byte = np.repeat(flat < 0, wide)
+            flat = np.repeat(flat, wide)
+            flat[byte] = list(chain.from_iterable(spread))
+        if not noted:
+            return flat, counts, np.zeros(0, np.uint16), np.zeros(units, np.int64)
         owner, codes = (np.concatenate(x) for x in zip(*noted, strict=True))
-        raw = codes[np.argsort(owner, kind="stable")].tobytes()
-        ends = [0, *(2 * np.cumsum(np.bincount(owner, minlength=rows))).tolist()]
-        places = [raw[a:b] for a, b in pairwise(ends)]
-        inside = columns < sizes[:, None]
-        raw = symbols[inside].astype(np.int32).tobytes()
-        ids = [raw[a:b] for a, b in pairwise([0, *(4 * np.cumsum(sizes)).tolist()])]
-        for k in np.flatnonzero((inside & (symbols < 0)).any(axis=1)).tolist():
-            ids[k] = np.array(self._ids(symbols[k, : sizes[k]].tolist()), np.int32).tobytes()
-        return ids, places
-
-    def _fill(self, wanted: set[str | tuple[str, bytes]]) -> None:
-        """Put missing entries into the table."""
-        short = sorted(wanted, key=lambda x: len(x[0] if isinstance(x, tuple) else x))
-        for at in range(0, len(short), MATRIX_ROWS):
-            part = short[at : at + MATRIX_ROWS]
-            self.cache.update(zip(part, self.split(part), strict=True))
-
-    def _moved(self, nodes: list, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[str, bytes]]]:
-        """Which of the occurrences at ``nodes`` have more candidates skipped, and their next entries."""
-        places = [self.cache[x][1] for x in nodes]
-        counts = np.fromiter(map(len, places), np.int64, len(places)) // 2
-        codes = np.frombuffer(b"".join(places), np.uint16)
-        wide = codes.astype(np.int64)
-        hit = np.flatnonzero(skipped(np.repeat(keys, counts), wide // (_BASE * _BASE), wide // _BASE % _BASE, wide % _BASE, self.dropout))
-        raw = codes[hit].tobytes()
-        owners, sizes = np.unique(np.repeat(np.arange(len(nodes)), counts)[hit], return_counts=True)
-        who, where = [], []
-        for k, (a, b) in zip(owners.tolist(), pairwise([0, *(2 * np.cumsum(sizes)).tolist()]), strict=True):
-            node, now = nodes[k], raw[a:b]
-            if not isinstance(node, tuple):
-                where.append((node, now))
-            elif now == node[1]:
-                continue
-            else:
-                before = np.frombuffer(node[1], np.uint16).tolist()
-                more = set(np.frombuffer(now, np.uint16).tolist()).difference(before)
-                if not more:
-                    continue
-                where.append((node[0], np.array(sorted({*before, *more}), np.uint16).tobytes()))
-            who.append(k)
-        return np.array(who, dtype=np.int64), where
-
-    def encode(self, texts: list[str | None], documents: list[int]) -> list[list[int]]:
-        known, plans, keys = len(self.cache), [], [np.zeros(0, np.uint64)]
+        return flat, counts, codes[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=units)
+
+    def _learn(self, new: list[str]) -> None:
+        """Put new units into the table, in their order."""
+        symbols, sizes = self._symbols_of(new)
+        self.symbols.add(symbols, sizes)
+        order = np.argsort(sizes, kind="stable")
+        parts = [self._matrix(*self.symbols.take(order[at : at + MATRIX_COLUMNS] + len(self.symbols) - len(new)), None) for at in range(0, len(new), MATRIX_COLUMNS)]
+        back = np.argsort(order)
+        for k, lists in ((0, self.ids), (2, self.offers)):
+            made = _Lists(lists.flat.dtype)
+            for part in parts:
+                made.add(part[k], part[k + 1])
+            lists.add(*made.take(back))
+
+    def _skips(self, codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which occurrences have an offered candidate skipped."""
+        places, counts = self.offers.take(codes)
+        wide = places.astype(np.int64)
+        hit = skipped(np.repeat(keys, counts), wide // (_BASE * _BASE), wide // _BASE % _BASE, wide % _BASE, self.dropout)
+        return np.bincount(np.repeat(np.arange(len(codes)), counts)[hit], minlength=len(codes)) > 0
+
+    def encode(self, texts: list[str | None], documents: list[int]) -> list[np.ndarray]:
+        """The ids of each text, as 32-bit arrays; ``documents`` are numbers that stand for the texts' documents."""
+        kept, code = len(self.codes), self.codes.__getitem__
+        numbers, keys, long = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
+        base = 0
         for text, document in zip(texts, documents, strict=True):
             units = UNIT_RE.findall(_SPACE + text.replace(_SPACE, _LITERAL).replace(" ", _SPACE)) if text else []
-            plans.append(units)
             keys.append(self.keys_of(text or "", document, len(units)))
-        nodes, key = list(chain.from_iterable(plans)), np.concatenate(keys)
-        done = {k: np.array(self.merge_heap(u, int(key[k])), np.int32).tobytes() for k, u in enumerate(nodes) if len(u) > MATRIX_CHARS}
-        open_ = np.array([k for k in range(len(nodes)) if k not in done], dtype=np.int64)
-        while open_.size:
-            self._fill({nodes[k] for k in open_.tolist()}.difference(self.cache))
-            moved = []
-            for at in range(0, len(open_) if self.dropout else 0, HASHED_ROWS):
-                part = open_[at : at + HASHED_ROWS]
-                who, where = self._moved([nodes[k] for k in part.tolist()], key[part])
-                moved.append(part[who])
-                for k, node in zip(part[who].tolist(), where, strict=True):
-                    nodes[k] = node
-            open_ = np.concatenate(moved) if moved else np.zeros(0, np.int64)
-        ids = iter([done[k] if k in done else self.cache[x][0] for k, x in enumerate(nodes)])
-        out = [np.frombuffer(b"".join(islice(ids, len(units))), np.int32).tolist() for units in plans]
-        while len(self.cache) > max(CACHE_UNITS, known):
-            self.cache.popitem()
+            if max(map(len, units), default=0) > MATRIX_CHARS:
+                for k, u in enumerate(units):
+                    if len(u) > MATRIX_CHARS:
+                        long.append((base + k, np.array(self.merge_heap(u, int(keys[-1][k])), np.int32)))
+                        units[k] = ""
+            numbers.append(np.fromiter(map(code, units), np.int64, len(units)))
+            base += len(units)
+        counts = [len(n) for n in numbers[1:]]
+        codes, key = np.concatenate(numbers), np.concatenate(keys)
+        self._learn(list(islice(self.codes, kept, None)))
+        lists = _Lists(np.int32)
+        lists.add(*self.ids.whole())
+        # Where each occurrence's ids stand: with its unit's, or with those of an agenda of its own.
+        place = codes.copy()
+        moved = np.concatenate([np.zeros(0, np.int64), *(
+            at + np.flatnonzero(self._skips(codes[at : at + HASHED_ROWS], key[at : at + HASHED_ROWS])) for at in range(0, len(codes) if self.dropout else 0, HASHED_ROWS)
+        )])
+        moved = moved[np.argsort(self.symbols.whole()[1][codes[moved]], kind="stable")]
+        for at in range(0, len(moved), MATRIX_COLUMNS):
+            some = moved[at : at + MATRIX_COLUMNS]
+            place[some] = len(lists) + np.arange(len(some))
+            lists.add(*self._matrix(*self.symbols.take(codes[some]), key[some])[:2])
+        for at, ids in long:
+            place[at] = len(lists)
+            lists.add(ids, np.array([len(ids)]))
+        out, at = [], 0
+        for n in counts:
+            out.append(lists.take(place[at : at + n])[0])
+            at += n
+        if len(self.codes) > CACHE_UNITS:
+            for unit in list(islice(self.codes, kept, None)):
+                del self.codes[unit]
+            self.codes.default_factory = count(kept).__next__
+            for table in (self.symbols, self.ids, self.offers):
+                table.cut(kept)
         return out
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return [self.library.decode(x) if x else "" for x in ids]
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return [self.library.decode(x.tolist()) if len(x) else "" for x in ids]
+
+
+class _Lists:
+    """Lists of numbers, one after the other in ``flat``."""
+
+    def __init__(self, kind: type):
+        self.flat, self.sizes, self.starts = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._more: list[tuple[np.ndarray, np.ndarray]] = []
+        self._n = 0
+
+    def __len__(self) -> int:
+        return self._n
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self._more.append((flat, sizes))
+        self._n += len(sizes)
+
+    def _settle(self) -> None:
+        if self._more:
+            flats, sizes = zip(*self._more, strict=True)
+            self.flat, self.sizes = np.concatenate((self.flat, *flats)), np.concatenate((self.sizes, *sizes)).astype(np.int64)
+            self.starts, self._more = np.cumsum(self.sizes) - self.sizes, []
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        self._settle()
+        return self.flat, self.sizes
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists at the given places, one after the other, and their sizes."""
+        self._settle()
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)], sizes
+
+    def cut(self, n: int) -> None:
+        """Keep the first ``n`` lists."""
+        self._settle()
+        self.sizes, self.starts, self.flat, self._n = self.sizes[:n], self.starts[:n], self.flat[: int(self.sizes[:n].sum())], n
 
 
 def encode_documents(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -336,7 +396,7 @@ def round_trip(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed:
         coder = MergeDropout.of(model_path, dropout, seed)
         coded = coder.encode(*read_rows(rows))
         raw = [t.encode("utf-8") for t in coder.decode(coded)]
-        crcs = [zlib.crc32(np.array(ids, dtype="<u4").tobytes()) for ids in coded]
+        crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in coded]
         return list(map(len, coded)), crcs, list(map(zlib.crc32, raw)), list(map(len, raw))
 
     return map_texts(marked_texts(docs, doc_id, text), ["doc_id"], {k: ("long", pa.int64()) for k in ("n_ids", "ids_crc32", "decoded_crc32", "decoded_bytes")}, run)

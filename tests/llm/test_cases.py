@@ -154,7 +154,42 @@ def test_merge_dropout_agendas_agree():
     assert coder.merge_matrix(units, [1] * len(units)) == [coder.merge_heap(u, 1) for u in units]
     plain = mergedropout.MergeDropout(PIECES, 0.0, 3)
     for text in ("hello there  world", "\n", "  x", "q" * 90, "émigré 12345"):
-        assert plain.encode([text], [0])[0] == plain.library.encode(text)
+        assert plain.encode([text], [0])[0].tolist() == plain.library.encode(text)
+
+
+def test_merge_dropout_against_brute_force(spark, sf_dir):
+    """Whole texts of the table, each unit by a plain scan over neighbours."""
+    coder = mergedropout.MergeDropout(PIECES, mergedropout.DROPOUT, mergedropout.SEED)
+    score = coder.library.get_score
+
+    def brute(unit, key):
+        parts, offered = [(k, k + 1, coder.pieces.get(c), c) for k, c in enumerate(unit)], {}
+
+        def joins(a, b):
+            target = coder.pieces.get(a[3] + b[3]) if a[2] is not None and b[2] is not None else None
+            place = (a[0], b[0], b[1])
+            if target is not None and place not in offered:
+                offered[place] = bool(mergedropout.skipped(*(np.array([x]) for x in (key, *place)), coder.dropout)[0])
+            return None if target is None or offered[place] else target
+
+        while True:
+            found = [(-score(t), k, t) for k in range(len(parts) - 1) if (t := joins(parts[k], parts[k + 1])) is not None]
+            if not found:
+                break
+            _, k, target = min(found)
+            parts[k : k + 2] = [(parts[k][0], parts[k + 1][1], target, parts[k][3] + parts[k + 1][3])]
+        spelt = lambda text: [coder.bytes[b] for c in text for b in ("▁" if c == mergedropout._LITERAL else c).encode()]
+        return [i for _, _, target, text in parts for i in ([target] if target is not None else spelt(text))]
+
+    docs = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() if len(r["text"] or "") < 2_500][:25]
+    docs += [(10**6, "naïve 世界 ▁ x\n\ty  z " + "q" * 50)]
+    table = spark.createDataFrame([tuple(r) for r in docs], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in mergedropout.encode_documents(table, PIECES).collect()}
+    hashed = {r["doc_id"]: int(r["h"], 16) for r in table.select("doc_id", F.lpad(F.hex(F.xxhash64("doc_id")), 16, "0").alias("h")).collect()}
+    for d, text in docs:
+        units = mergedropout.UNIT_RE.findall("▁" + text.replace("▁", mergedropout._LITERAL).replace(" ", "▁")) if text else []
+        keys = coder.keys_of(text, hashed[d], len(units))
+        assert got[d] == [i for u, key in zip(units, keys, strict=True) for i in brute(u, key)], d
 
 
 def test_merge_dropout_splits_every_occurrence_on_its_own(spark):
@@ -163,7 +198,7 @@ def test_merge_dropout_splits_every_occurrence_on_its_own(spark):
     word, text = "▁internationalisation", " ".join(["internationalisation"] * 400)
     keys = [coder.keys_of(text, d, 400).tolist() for d in (1, 2)]
     want = [[coder.merge_heap(word, k) for k in row] for row in keys]
-    assert coder.encode([text, text], [1, 2]) == [[i for ids in row for i in ids] for row in want]
+    assert [x.tolist() for x in coder.encode([text, text], [1, 2])] == [[i for ids in row for i in ids] for row in want]
     assert len({tuple(ids) for row in want for ids in row}) > 20 and want[0] != want[1]
     held = spark.createDataFrame([(k, "internationalisation") for k in range(200)], "doc_id long, text string")
     assert len({tuple(r["ids"]) for r in mergedropout.encode_documents(held, PIECES).collect()}) > 4
