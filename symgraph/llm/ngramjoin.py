@@ -13,7 +13,10 @@ with equal sets are one set with copies. The join runs in steps:
    length that the threshold asks for. Rare n-grams are indexed singly, frequent
    ones in pairs. Two linked sets share a signature: within the shorter prefix
    they share one n-gram if all are rare, else two, of which either one is rare
-   or both are frequent. Signatures with the same members count once.
+   or both are frequent. A set with many frequent n-grams in its prefix would
+   have very many pairs; such a wide set indexes them singly instead, and every
+   set indexes singly, too, those of its frequent ones that some wide set has.
+   Signatures with the same members count once.
 3. Linking. The sets under a signature are compared with one hub of theirs,
    linked sets are merged into components, and this repeats with other hubs.
    Sets that then still stand in different components under one signature are
@@ -51,8 +54,10 @@ MAX_FREQUENT = 1 << 20
 HUB_ROUNDS = 3
 #: A sketch counts a set's n-grams in this many buckets.
 BUCKETS = 512
-#: Sets of one signature that one side of a block holds, about.
-BLOCK = 1_024
+#: Sets of one signature that one side of a block holds, and signatures that a block looks at, about.
+BLOCK, BLOCK_SIGNATURES = 512, 128
+#: A set with more frequent n-grams than this in its prefix indexes them singly.
+PAIRED = 64
 _M = np.uint64(0x9E3779B97F4A7C15)
 _C = np.uint64(0xFF51AFD7ED558CCD)
 _S = np.uint64(33)
@@ -189,29 +194,56 @@ def frequent_tokens(sets: DataFrame, percent: int, bound: int = FREQUENT, most:
     return np.sort(rows["token"].to_numpy(dtype=np.int64))
 
 
-def set_signatures(tokens: np.ndarray, alone: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of one set, whose tokens rise as unsigned numbers; ``alone`` are unique to it."""
+def prefix_classes(tokens: np.ndarray, alone: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rare and the frequent n-grams of a set's prefix; ``tokens`` rise as unsigned numbers, ``alone`` are unique to the set."""
     need = prefix_need(len(tokens), percent) - len(alone)
     tokens = tokens[~np.isin(tokens, alone)]
     at = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
     common = frequent[at] == tokens if len(frequent) else np.zeros(len(tokens), bool)
-    single = tokens[~common][:need]
-    if len(single) == need:
-        return single
-    pairs = tokens[common][: need - len(single) + 1].view(np.uint64)
-    i, j = np.triu_indices(len(pairs), 1)
-    return np.concatenate((single, mixed(pairs[i] * _M + mixed(pairs[j])).view(np.int64)))
+    rare = tokens[~common][:need]
+    return rare, tokens[common][: need - len(rare) + 1] if len(rare) < need else tokens[:0]
+
+
+def set_signatures(tokens: np.ndarray, alone: np.ndarray, frequent: np.ndarray, wide: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures of one set; ``wide`` are the frequent n-grams that wide sets index singly, rising."""
+    rare, common = prefix_classes(tokens, alone, frequent, percent)
+    found = [rare]
+    if len(common) <= PAIRED:
+        pairs = common.view(np.uint64)
+        i, j = np.triu_indices(len(pairs), 1)
+        found.append(mixed(pairs[i] * _M + mixed(pairs[j])).view(np.int64))
+        common = common[np.isin(common, wide)] if len(wide) else common[:0]
+    # Mixed, so that a single one is no rare one's signature.
+    found.append(mixed(common.view(np.uint64) + _M).view(np.int64))
+    return np.concatenate(found)
+
+
+def wide_tokens(sets: DataFrame, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """The frequent n-grams in prefixes of wide sets; no more than there are frequent ones."""
+    if not len(frequent):
+        return frequent
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [prefix_classes(np.asarray(t.values), np.asarray(a.values), shared.value, percent)[1] for t, a in zip(batch.column(0), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([f for f in found if len(f) > PAIRED] or [shared.value[:0]])))], names=["token"])
+
+    # Shorter sets have no prefix that long.
+    long = sets.where(F.col("n") - least_shared(F.col("n"), percent) + 2 > PAIRED)
+    rows = long.select("tokens", "alone").mapInArrow(run, "token long").distinct().toPandas()
+    return np.sort(rows["token"].to_numpy(dtype=np.int64))
 
 
 def signatures(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     """(sig, sid, n)."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+    shared = sets.sparkSession.sparkContext.broadcast((frequent, wide_tokens(sets, frequent, percent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sids, ns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for sid, n, tokens, alone in zip(sids, ns, batch.column(2), batch.column(3), strict=True):
-                found = set_signatures(np.asarray(tokens.values), np.asarray(alone.values), shared.value, percent)
+                found = set_signatures(np.asarray(tokens.values), np.asarray(alone.values), *shared.value, percent)
                 size = len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(size, sid)), pa.array(np.full(size, n))], names=["sig", "sid", "n"])
 
@@ -219,11 +251,12 @@ def signatures(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
 
 
 def distinct_lists(index: DataFrame) -> DataFrame:
-    """(sig, least, width, sid, n, weight) of the signatures that count.
+    """(sig, least, width, sigs, sid, n, weight) of the signatures that count.
 
     Signatures that one set holds alone are left out, and of those with the
     same members one stays. ``least`` is a signature's least member, ``width``
-    the longest list with that one, and ``weight`` how much a set shares.
+    the longest list with that one, ``sigs`` the number of lists with it, and
+    ``weight`` how much a set shares.
     """
     members = index.groupBy("sig").agg(
         F.count("*").alias("size"), F.min("sid").alias("least"), F.max("sid").alias("most"), F.bit_xor(F.xxhash64("sid")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "sid")).alias("h2"),
@@ -231,9 +264,9 @@ def distinct_lists(index: DataFrame) -> DataFrame:
         F.sum(F.shiftright(F.xxhash64(F.lit(11), "sid"), 32)).alias("h3"),
     )
     kept = cut(members.where("least <> most").groupBy("size", "least", "most", "h1", "h2", "h3").agg(F.min("sig").alias("sig"), F.count("*").alias("times")), "kept")
-    kept = kept.join(kept.groupBy("least").agg(F.max("size").alias("width")), "least")
-    lists = cut(index.join(kept.select("sig", "least", "width", (F.col("size") * F.col("times")).alias("part")), "sig"), "lists")
-    return cut(lists.join(lists.groupBy("sid").agg(F.sum("part").alias("weight")), "sid").select("sig", "least", "width", "sid", "n", "weight"), "index")
+    kept = kept.join(kept.groupBy("least").agg(F.max("size").alias("width"), F.count("*").alias("sigs")), "least")
+    lists = cut(index.join(kept.select("sig", "least", "width", "sigs", (F.col("size") * F.col("times")).alias("part")), "sig"), "lists")
+    return cut(lists.join(lists.groupBy("sid").agg(F.sum("part").alias("weight")), "sid").select("sig", "least", "width", "sigs", "sid", "n", "weight"), "index")
 
 
 def fits(a: Column, b: Column, percent: int) -> Column:
@@ -279,17 +312,19 @@ def sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def block_pairs(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components under a signature that their sketches do not rule out.
 
-    ``split`` holds (sig, least, width, sid, comp). Signatures with the same
-    least member are handled together, so a pair that shares many signatures
-    is mostly told once. Members of long lists are dealt into blocks, and every
-    two blocks meet in a group of bounded size.
+    ``split`` holds (sig, least, width, sigs, sid, comp). Signatures with the
+    same least member are handled together, so a pair that shares many
+    signatures is mostly told once. Where there are many of them they are dealt
+    into parts, members of long lists are dealt into blocks, and every two
+    blocks meet for each part in a group of bounded size.
     """
     blocks = F.ceil(F.col("width") / F.lit(BLOCK)).cast("int")
     placed = split.withColumn("own", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = placed.select("least", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "sid", "comp")
-    keys = ["least", "i", "j"]
+    part = F.pmod(F.xxhash64("sig"), F.ceil(F.col("sigs") / F.lit(BLOCK_SIGNATURES))).cast("int").alias("part")
+    cells = placed.select("least", part, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "sid", "comp")
+    keys = ["least", "part", "i", "j"]
     held = cells.select(*keys, "own", "sid", "comp").distinct().join(sets.select("sid", "n", "sketch"), "sid")
-    held = held.toDF(*[f"{c}_" if c in keys else c for c in held.columns]).select("least_", "i_", "j_", *[F.col(c).alias(c) for c in ("own", "sid", "comp", "n", "sketch")])
+    held = held.toDF(*[f"{c}_" if c in keys else c for c in held.columns]).select(*[f"{c}_" for c in keys], *[F.col(c).alias(c) for c in ("own", "sid", "comp", "n", "sketch")])
 
     def meet(signed: pa.Table, table: pa.Table) -> pa.Table:
         i, j = table.column("i_")[0].as_py(), table.column("j_")[0].as_py()
@@ -313,7 +348,7 @@ def block_pairs(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         both = np.concatenate(found, axis=1)
         return pa.table({"a": np.minimum(both[0], both[1]), "b": np.maximum(both[0], both[1])})
 
-    return cells.groupBy(*keys).cogroup(held.groupBy("least_", "i_", "j_")).applyInArrow(meet, "a long, b long")
+    return cells.groupBy(*keys).cogroup(held.groupBy(*[f"{c}_" for c in keys])).applyInArrow(meet, "a long, b long")
 
 
 def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:

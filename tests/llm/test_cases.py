@@ -268,6 +268,34 @@ def test_ngram_join_against_brute_force(spark, monkeypatch):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_links(docs, n, percent)
 
 
+@pytest.mark.parametrize("paired", [0, 5, 64])
+def test_ngram_join_of_wide_and_narrow_sets(spark, monkeypatch, paired):
+    """Sets whose frequent n-grams are too many to pair, beside and linked with sets that pair theirs."""
+    monkeypatch.setattr(ngramjoin.frequent_tokens, "__defaults__", (3, 1 << 20))
+    monkeypatch.setattr(ngramjoin, "PAIRED", paired)
+    rng = random.Random(11)
+    docs = []
+    for _ in range(5):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(30, 70))]
+        for _ in range(9):
+            words = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(300)}"
+            docs.append((len(docs), " ".join(words + [f"x{k}" for k in range(rng.randrange(0, 6))])))
+    for percent in (60, 85):
+        got = ngramjoin.link_documents(spark.createDataFrame(docs, "doc_id long, text string"), 2, percent).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_links(docs, 2, percent)
+
+
+def test_ngram_join_of_many_near_copies_of_a_long_text(spark):
+    """600 near copies of 20,000 words: every n-gram of a prefix is frequent, and no pairs of them are made."""
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda k: F.concat(F.lit("w"), F.when(k == F.col("id") * 30, -F.col("id")).otherwise(k)))).alias("text"))
+    began = time.process_time()
+    got = ngramjoin.link_documents(rows.repartition(8)).collect()
+    assert {(r["n_shingles"], r["component_id"]) for r in got} == {(19_997, 0)} and len(got) == 600
+    assert time.process_time() - began < 60
+
+
 def test_ngram_join_cases(odd, empty):
     rows = ngramjoin.link_documents(odd).collect()
     assert len(rows) == odd.count()
@@ -310,7 +338,7 @@ def test_ngram_join_blocks_of_very_long_sets(spark):
     tokens = rng.integers(0, 2**63, 152_000, dtype=np.int64).astype(np.uint64)
     sets = {1: tokens, 2: tokens[1_500:], 3: np.concatenate((tokens[:50_000], rng.integers(0, 2**63, 101_000, dtype=np.int64).astype(np.uint64))), 4: tokens[:60]}
     held = spark.createDataFrame([(k, len(t), bytearray(ngramjoin.sketch(t))) for k, t in sets.items()], "sid long, n long, sketch binary")
-    split = spark.createDataFrame([(9, 1, 4, k, k) for k in sets], "sig long, least long, width long, sid long, comp long")
+    split = spark.createDataFrame([(9, 1, 4, 1, k, k) for k in sets], "sig long, least long, width long, sigs long, sid long, comp long")
     left = ngramjoin.block_pairs(split, held, 85)
     found = {tuple(r) for r in left.collect()}
     assert (1, 2) in found and not any(b == 4 for _, b in found)
