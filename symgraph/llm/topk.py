@@ -92,9 +92,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: in
     candidate_blocks = -(-max(1, candidates.count()) // candidate_block)
 
     def dealt(rows: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
-        # The place in the input takes part, so that rows that repeat are dealt out too.
-        block = F.pmod(F.xxhash64("id", "terms", F.monotonically_increasing_id()), F.lit(own_blocks)).cast("int").alias(own)
-        return rows.select("id", "terms", block, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other))
+        # The place in the input takes part, so that rows that repeat are dealt out too; it is read before rows are copied.
+        at = F.pmod(F.xxhash64("id", "terms", F.monotonically_increasing_id()), F.lit(own_blocks)).cast("int").alias(own)
+        return rows.select("id", "terms", at).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
 
     left = dealt(queries, "qb", query_blocks, "cb", candidate_blocks).groupBy("qb", "cb")
     right = dealt(candidates, "cb", candidate_blocks, "qb", query_blocks).groupBy("qb", "cb")

@@ -1,6 +1,5 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
-import hashlib
 import random
 import re
 import time
@@ -13,7 +12,9 @@ from pyspark.sql import functions as F
 from symgraph.llm import langid, linededup, mergedropout, ngramjoin, packing, quality, rangecoder, sharding, tokenfile, topk, toxicity
 from symgraph.llm.tokens import Encoder, vocabulary
 
-SCHEMA = "doc_id long, text string, lang string, quality string, lines string, score string"
+#: Names that operators use themselves.
+CLASHES = ["quality", "lines", "score", "evidence", "passages", "foreign", "shard", "slot", "at", "id", "sid", "h1", "batch", "token", "n", "part", "ids"]
+SCHEMA = "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in CLASHES)
 LONG = " ".join(f"w{k % 977}x" for k in range(30_000))
 TEXTS = ["", None, "a", "same words here and there for all to see", "same words here and there for all to see", LONG, LONG + " more", " \n\t ", "x\ny\n\nz", "é 世界 ▁ <|endoftext|>"]
 BPE, PIECES = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
@@ -21,8 +22,9 @@ BPE, PIECES = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(k, t, "en", "q", "l", "s") for k, t in enumerate(TEXTS)]
-    rows += [(3, TEXTS[3], None, None, None, None), (None, "no id at all", "en", None, None, None), (None, None, None, None, None, None)]
+    nulls, more = (None,) * len(CLASHES), tuple(f"own {c}" for c in CLASHES)
+    rows = [(k, t, "en", *more) for k, t in enumerate(TEXTS)]
+    rows += [(3, TEXTS[3], None, *nulls), (None, "no id at all", "en", *nulls), (None, None, None, *nulls)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -43,6 +45,9 @@ def test_toxicity_cases(odd, empty, labels):
     nothing = toxicity.fit(odd, labels.where("toxic = 0"))
     assert {r["predicted"] for r in toxicity.score(odd, nothing).collect()} == {0}
     assert toxicity.segments(odd, model, keep=["doc_id", "lang"]).columns == ["doc_id", "lang", "score", "evidence", "passages"]
+    kept = toxicity.segments(odd, model, keep=["doc_id", "score", "passages"])
+    assert kept.columns == ["doc_id", "score", "passages", "score_", "evidence", "passages_"]
+    assert {r["score"] for r in kept.where("doc_id IS NOT NULL").collect()} == {"own score", None}
 
 
 def test_maximal_segments_against_brute_force():
@@ -68,6 +73,54 @@ def test_maximal_segments_take_linear_time():
     assert time.process_time() - began < 10
 
 
+def test_toxicity_against_brute_force(spark, sf_dir):
+    """Counts, smoothing, segments, calibration and scores again in plain Python, over the whole table."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    texts, marks = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    train = [(texts[d], y) for d, y in marks.items() if d in texts and zlib.crc32(str(d).encode()) % 5]
+    base, counts = sum(y for _, y in train) / len(train), {}
+    for text, y in train:
+        for token in {t for t in re.split(r"[\W_]+", text.lower()) if t}:
+            for name in [token, *(token[:k] + "*" for k in toxicity.PREFIXES if len(token) >= k)]:
+                t, n = counts.get(name, (0, 0))
+                counts[name] = (t + y, n + 1)
+    counts = {k: v for k, v in counts.items() if v[1] >= 2}
+
+    def share(chain):
+        """The share of the last of a chain of prefixes, each the prior of the next."""
+        p = base
+        for name in chain:
+            t, n = counts.get(name, (0, 0))
+            p = (t + toxicity.PRIOR * p) / (n + toxicity.PRIOR)
+        return min(max(p, 1e-4), 1 - 1e-4)
+
+    logit = lambda p: float(np.log(p / (1 - p)))
+
+    def token_score(token):
+        chain = [token[:k] + "*" for k in toxicity.PREFIXES if len(token) >= k] + [token]
+        while chain and chain[-1] not in counts:
+            chain.pop()
+        return logit(share(chain)) - logit(base) - toxicity.DRIFT if chain else -toxicity.DRIFT
+
+    def segments(scores):
+        best = max(((sum(scores[i:j]), i, j) for i in range(len(scores)) if scores[i] > 0 for j in range(i + 1, len(scores) + 1) if scores[j - 1] > 0), default=None)
+        return [] if not best or best[0] <= 0 else segments(scores[: best[1]]) + [best[0]] + segments(scores[best[2] :])
+
+    rows = {r["doc_id"]: r for r in toxicity.segments(docs, model, keep=["doc_id"]).collect()}
+    short = [d for d in texts if len(texts[d]) < 1_500]
+    assert len(short) > 50
+    for d in short:
+        scores = [token_score(t) for t in toxicity.TOKEN_RE.findall(texts[d].lower())]
+        chance = np.log(max(model.k * len(scores), 1e-9) / toxicity.MAX_CHANCE)
+        evidence = sum(max(0.0, model.lam * s - chance) for s in segments(scores))
+        assert rows[d]["evidence"] == pytest.approx(evidence, abs=1e-6)
+        assert rows[d]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(evidence - model.cut, -60, 60))), abs=1e-9)
+    # K is the likeliest one for the best segments of the clean training rows.
+    n_s = [(len(x), max((s for _, _, s in toxicity.maximal_segments(np.array(x))), default=0.0)) for x in ([token_score(t) for t in toxicity.TOKEN_RE.findall(text.lower())] for text, y in train if not y) if x]
+    assert model.k == pytest.approx(max(1e-3, len(n_s) / sum(n * np.exp(-model.lam * s) for n, s in n_s)), rel=1e-6)
+
+
 def test_toxic_passages_are_found(spark):
     rng = random.Random(2)
     clean = [f"{rng.choice('abcdef')}{rng.choice('lmnop')}{k % 40}" for k in range(4000)]
@@ -211,6 +264,8 @@ def test_sharding_cases(odd, empty):
         slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
         assert slots == list(range(len(slots)))
     assert len({r["shard"] for r in rows if r["text_crc32"] == 0}) == 1
+    many = sharding.assign_shards(odd.where("doc_id = 4").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(500)))), 3).collect()
+    assert sorted(r["slot"] for r in many) == list(range(500)) and len({r["shard"] for r in many}) == 1
     assert sharding.assign_shards(empty, 3).count() == 0
 
 
@@ -227,7 +282,10 @@ def test_shards_are_written_whole(spark, odd, tmp_path):
     sharding.write_shards(odd, str(tmp_path / "shards"), 3)
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert back.count() == odd.count()
-    assert back.groupBy("shard", "slot").count().where("count > 1").count() == 0
+    assert back.groupBy("shard_", "slot_").count().where("count > 1").count() == 0
+    assert {r["shard"] for r in back.collect()} == {"own shard", None}
+    sharding.write_shards(odd.select("doc_id", "text"), str(tmp_path / "plain"), 3)
+    assert set(spark.read.parquet(str(tmp_path / "plain")).columns) == {"doc_id", "text", "slot", "shard"}
 
 
 def brute_links(docs, n, percent):
@@ -349,12 +407,14 @@ def test_ngram_join_blocks_of_very_long_sets(spark):
 
 
 def test_quality_cases(odd, empty):
-    judged = quality.clean(odd.drop("quality")).collect()
+    judged = quality.clean(odd).collect()
     assert len(judged) == odd.count()
-    stats = {r["doc_id"]: r["quality"] for r in judged if r["doc_id"] is not None}
+    stats = {r["doc_id"]: r["quality_"] for r in judged if r["doc_id"] is not None}
+    assert {r["quality"] for r in judged} == {"own quality", None}
+    assert quality.kept_documents(odd).columns == [*odd.columns, "quality_"]
     assert stats[1]["n_words"] == 0 and stats[1]["base_failed"] and not stats[1]["kept"]
     assert stats[5]["n_words"] == 30_000 and stats[5]["n_repeat_words"] == 30_000
-    assert quality.clean(empty.drop("quality")).count() == 0
+    assert quality.clean(empty).count() == quality.kept_documents(empty).count() == 0
 
 
 def test_quality_judges_lines(spark):
@@ -365,12 +425,31 @@ def test_quality_judges_lines(spark):
 
 
 def test_line_dedup_cases(odd, empty):
-    docs = odd.drop("lines")
-    rows = linededup.dedup_lines(docs, batches=3, fanout=2).collect()
-    assert len(rows) == odd.count() and set(docs.columns) < set(rows[0].asDict())
-    kept = {r["doc_id"]: r["lines"] for r in rows if r["doc_id"] is not None}
+    found = linededup.dedup_lines(odd, batches=3, fanout=2)
+    rows = found.collect()
+    assert len(rows) == odd.count() and found.columns == [*odd.columns, "lines_"]
+    assert {r["foreign"] for r in rows} == {"own foreign", None} and {r["lines"] for r in rows} == {"own lines", None}
+    kept = {r["doc_id"]: r["lines_"] for r in rows if r["doc_id"] is not None}
     assert (kept[3]["n_dropped"], kept[4]["n_dropped"], kept[4]["kept_text"], kept[1]["n_lines"]) == (0, 1, "", 1)
-    assert linededup.dedup_lines(empty.drop("lines")).count() == 0
+    assert linededup.dedup_lines(empty).count() == 0
+
+
+def test_line_runs_are_joined_in_order_and_dropped(spark, monkeypatch):
+    """No sort or shuffle stands over the scan of a run, and no run is left behind."""
+    plans, write = [], linededup.LineRuns.write
+
+    def watched(runs, rows):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        plans.append(plan[plan.find("== Initial Plan") :] if "== Initial Plan" in plan else plan)
+        return write(runs, rows)
+
+    monkeypatch.setattr(linededup.LineRuns, "write", watched)
+    docs = spark.createDataFrame([(k, "\n".join(f"This is line {(k * 7 + j) % 90} of all" for j in range(5))) for k in range(200)], "doc_id long, text string")
+    linededup.dedup_lines(docs, batches=8, fanout=2)
+    assert max(p.count("symgraph_run") for p in plans) >= 3
+    for plan in plans:
+        assert plan.count("Exchange") <= 2 and plan.count("Sort [") <= 1, plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("symgraph_run")]
 
 
 def test_line_dedup_against_brute_force(spark):
@@ -430,5 +509,35 @@ def test_language_rejects_what_is_far(spark):
     assert model.predict("μμμ λλλ κκκ ιιι θθθ")[2] and model.predict("123 !!")[0] == "und"
 
 
-def test_digest_of_kept_text():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_language_against_brute_force(spark, sf_dir):
+    """N-grams, weights and the nearest centroid again in plain Python."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    fold = lambda c: c if c >= 128 or chr(c).isalpha() else 32
+
+    def vector(text):
+        raw, counts = [], {}
+        for c in f" {text.lower()} ".encode():
+            if not raw or fold(c) != 32 or raw[-1] != 32:
+                raw.append(fold(c))
+        for k, c in enumerate(raw):
+            grams = [c] + ([c * 257 + raw[k + 1] + 65_537] if k + 1 < len(raw) else [])
+            grams += [(c * 257 + raw[k + 1]) * 257 + raw[k + 2] + 16_777_259] if k + 2 < len(raw) else []
+            for g in grams:
+                at = ((g & 0xFFFFFFFF) * 2_654_435_761 & 0xFFFFFFFF) >> 19
+                counts[at] = counts.get(at, 0) + 1
+        weights = {k: float(np.log1p(n)) * float(model.idf[k]) for k, n in counts.items()}
+        size = sum(w * w for w in weights.values()) ** 0.5
+        return {k: w / size for k, w in weights.items()}
+
+    rows = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for d, text in [(r["doc_id"], r["text"]) for r in docs.collect() if r["text"] and len(r["text"]) < 3_000][:60]:
+        if not any(map(str.isalpha, text)):
+            assert rows[d]["lang_pred"] == "und"
+            continue
+        v = vector(text)
+        near = [sum(w * float(c[k]) for k, w in v.items()) for c in model.centroids]
+        assert rows[d]["lang_pred"] == model.langs[model.owner[int(np.argmax(near))]]
+        best = [max(x for x, o in zip(near, model.owner, strict=True) if o == k) for k in range(len(model.langs))]
+        odds = np.exp((np.array(best) - max(best)) * 30)
+        assert rows[d]["score"] == pytest.approx(odds.max() / odds.sum(), abs=1e-4)
