@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -65,13 +65,13 @@ class ToxicityModel:
     memo: dict[str, float] = field(default_factory=dict)
 
     @staticmethod
-    def hashes(names: list[str]) -> np.ndarray:
+    def hashes(names: Sequence[str]) -> np.ndarray:
         return np.fromiter((xxhash.xxh64_intdigest(n.encode("utf-8", "replace")) for n in names), np.uint64, len(names))
 
-    def learn(self, scores: dict[str, float]) -> None:
-        keys = self.hashes(list(scores))
+    def learn(self, names: pd.Series, scores: np.ndarray) -> None:
+        keys = self.hashes(names)
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.fromiter(scores.values(), np.float64, len(scores))[order]
+        self.keys, self.values = keys[order], scores[order]
 
     def look_up(self, tokens: list[str]) -> np.ndarray:
         """The score of each token, or of its longest known prefix."""
@@ -172,22 +172,28 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityM
     for part in parts[1:]:
         every = every.unionByName(part)
     # All of them reach the driver; the training rows bound them.
-    kept = every.where(F.col("n") >= LEAST_SUPPORT).toPandas()
-    counts = dict(zip(kept["token"], zip(kept["t"].tolist(), kept["n"].tolist(), strict=True), strict=True))
-
-    def share(name: str, length: int) -> float:
-        shorter = [k for k in PREFIXES if k < length]
-        parent = share(name[: shorter[-1]] + "*", shorter[-1]) if shorter else base
-        t, m = counts.get(name, (0, 0))
-        return (t + PRIOR * parent) / (m + PRIOR)
-
+    kept = every.where(F.col("n") >= LEAST_SUPPORT).toArrow()
+    names, toxic, held = kept["token"].to_pandas(), *(kept[c].to_numpy().astype(np.float64) for c in ("t", "n"))
+    p = np.clip(smoothed_shares(names, toxic, held, base), 1e-4, 1 - 1e-4)
     model = ToxicityModel()
-    logit = lambda p: math.log(p / (1 - p))
-    shares = {name: share(name, len(name) - 1 if name.endswith("*") else len(name) + 1) for name in counts}
-    model.learn({name: logit(min(max(p, 1e-4), 1 - 1e-4)) - logit(base) - DRIFT for name, p in shares.items()})
+    model.learn(names, np.log(p / (1 - p)) - math.log(base / (1 - base)) - DRIFT)
     return calibrate(model, train)
 
 
+def smoothed_shares(names: pd.Series, toxic: np.ndarray, held: np.ndarray, base: float) -> np.ndarray:
+    """The toxic share of each token and prefix, smoothed by that of its longest shorter prefix, and so on down to ``base``."""
+    places, is_prefix = pd.Index(names), names.str.endswith("*").to_numpy(dtype=bool)
+    length = names.str.len().to_numpy() - is_prefix
+    p = np.full(len(names), base)
+    for k in PREFIXES:
+        at = np.flatnonzero(length >= k + is_prefix)
+        found = places.get_indexer(names.iloc[at].str[:k] + "*") if at.size else at
+        known = found >= 0
+        at, found = at[known], found[known]
+        p[at] = (toxic[found] + PRIOR * p[at]) / (held[found] + PRIOR)
+    return (toxic + PRIOR * p) / (held + PRIOR)
+
+
 def calibrate(model: ToxicityModel, train: DataFrame) -> ToxicityModel:
     """Fit lambda, K and the decision cut on the training rows.
 
