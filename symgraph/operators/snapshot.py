@@ -2,22 +2,24 @@
 
 A snapshot is a folder of Parquet tables. A run compares the digests of all
 files with the current snapshot, scans only what changed, keeps the raw rows
-of what did not, links everything anew and writes the next version. A pointer
-file is replaced last, so readers see the old version or the new one whole.
+of what did not, links everything anew and writes the next version. A row that
+describes the version is written into its folder last, so readers see the old
+version or the new one whole. The version before the current one stays, for
+readers that still hold it; older ones are deleted. All paths are Spark's, so
+an index lives in any store that Spark can write to.
 """
 
 from __future__ import annotations
 
-import json
 import time
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import cut, numbered
+from ..scratch import cut, delete, folders, numbered, temporary
 from ..settings import Settings
 from ..sources.files import discover, with_text
 from . import resolve, scan
@@ -25,6 +27,9 @@ from .graph import Index
 from .search import postings
 
 RAW = ("files", "symbols", "calls", "imports")
+#: Versions that stay.
+KEPT_VERSIONS = 2
+VERSION_SCHEMA = "version string, root string, last_indexed string"
 
 
 class NoIndexError(RuntimeError):
@@ -60,18 +65,32 @@ def merge(before: DataFrame, fresh: DataFrame, kept: DataFrame, key: str = "path
     return before.join(kept.select(key), key, "left_semi").unionByName(fresh)
 
 
-def _pointer(index_path: str) -> Path:
-    return Path(index_path) / "_CURRENT"
+def _versions(spark: SparkSession, index_path: str) -> list[dict]:
+    """The descriptions of complete versions, the newest first."""
+    try:
+        rows = spark.read.schema(VERSION_SCHEMA).json(f"{index_path}/v=*/version")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    return [r.asDict() for r in rows.orderBy(F.desc("version")).collect()]
 
 
-def _read_pointer(index_path: str) -> dict | None:
-    path = _pointer(index_path)
-    return json.loads(path.read_text()) if path.is_file() else None
+def _current(spark: SparkSession, index_path: str) -> dict | None:
+    return next(iter(_versions(spark, index_path)), None)
+
+
+def _prune(spark: SparkSession, index_path: str) -> None:
+    """Delete what is older than the versions that stay, with what failed builds left there."""
+    kept = _versions(spark, index_path)[:KEPT_VERSIONS]
+    for name, folder in folders(spark, f"{index_path}/v=*"):
+        if name < kept[-1]["version"]:
+            delete(spark, folder)
 
 
 def open_index(spark: SparkSession, index_path: str) -> Index:
     """The current snapshot; raises :class:`NoIndexError` and creates nothing if there is none."""
-    current = _read_pointer(index_path)
+    current = _current(spark, index_path)
     if current is None:
         raise NoIndexError(f"no index found at {index_path}")
     tables = [spark.read.parquet(f"{index_path}/{current['version']}/{name}") for name in RAW]
@@ -80,7 +99,7 @@ def open_index(spark: SparkSession, index_path: str) -> Index:
 
 def open_postings(spark: SparkSession, index_path: str) -> DataFrame:
     """The stored search postings of the current snapshot."""
-    return spark.read.parquet(f"{index_path}/{_read_pointer(index_path)['version']}/postings")
+    return spark.read.parquet(f"{index_path}/{_current(spark, index_path)['version']}/postings")
 
 
 def link(spark: SparkSession, raw: dict[str, DataFrame]) -> Index:
@@ -103,11 +122,16 @@ def link(spark: SparkSession, raw: dict[str, DataFrame]) -> Index:
 
 def build(spark: SparkSession, settings: Settings, force: bool = False) -> Report:
     """Bring the index of a source tree up to date."""
+    with temporary(spark):
+        return _build(spark, settings, force)
+
+
+def _build(spark: SparkSession, settings: Settings, force: bool) -> Report:
     if settings.engine == "deep":
         raise ValueError("engine 'deep' needs grammars that this library does not bring; use 'quick' or 'auto'")
     started = time.monotonic()
     base = settings.index_path
-    current = None if force else _read_pointer(base)
+    current = None if force else _current(spark, base)
     text = with_text(discover(spark, settings))
     found = cut(text.select("path", "digest", "lang"), "digests")
     raw = lambda name: spark.read.parquet(f"{base}/{current['version']}/raw_{name}")
@@ -135,10 +159,9 @@ def build(spark: SparkSession, settings: Settings, force: bool = False) -> Repor
         getattr(index, name).write.parquet(f"{base}/{version}/{name}")
     stored = spark.read.parquet(f"{base}/{version}/symbols")
     postings(stored, "id", ("qualname", "name", "doc", "signature")).write.parquet(f"{base}/{version}/postings")
-    pointer = {"version": version, "root": settings.root, "last_indexed": datetime.now(UTC).isoformat(timespec="seconds")}
-    waiting = _pointer(base).with_suffix(".next")
-    waiting.write_text(json.dumps(pointer))
-    waiting.replace(_pointer(base))
+    told = [(version, settings.root, datetime.now(UTC).isoformat(timespec="seconds"))]
+    spark.createDataFrame(told, VERSION_SCHEMA).coalesce(1).write.json(f"{base}/{version}/version")
+    _prune(spark, base)
     langs = spark.read.parquet(f"{base}/{version}/files").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     n = lambda name: fresh[name].count()
     skipped = counts.get("same", 0) if settings.incremental else 0

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +24,46 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Folders of the tables cut within :func:`temporary`, in this thread.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path, system = _path(spark, folder)
+    system.delete(path, True)
+
+
+def folders(spark: SparkSession, pattern: str) -> list[tuple[str, str]]:
+    """Names and paths of the folders that match a pattern."""
+    path, system = _path(spark, pattern)
+    found = [s.getPath() for s in system.globStatus(path) or [] if s.isDirectory()]
+    return [(p.getName(), p.toString()) for p in found]
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables cut inside when the block ends; frames that read them must not outlive it."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for folder in made:
+            delete(spark, folder)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that nothing is computed twice or lost with an executor."""
     path = f"{shared_dir(df.sparkSession)}/symgraph/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 
 import pytest
 
@@ -11,6 +12,7 @@ from symgraph.operators.export import dot_rows, write_dot, write_json
 from symgraph.operators.search import NotAQuery, parse, search_symbols
 from symgraph.operators.snapshot import NoIndexError, build, open_index, open_postings
 from symgraph.plans import fixtures
+from symgraph.scratch import shared_dir
 from symgraph.service import Service, ToolError, TTLCache, serve
 from symgraph.settings import load_settings, write_starter_config
 from symgraph.streaming.reindex import keep_indexed
@@ -128,6 +130,24 @@ def test_refresh(built, spark):
         assert sorted(map(repr, getattr(fresh, name).collect())) == sorted(map(repr, getattr(idx, name).collect()))
 
 
+def test_old_versions_and_scratch_tables_go(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def a():\n    pass\n")
+    index_path = f"file://{tmp_path}/.symgraph/by-scheme"
+    (tmp_path / "symgraph.json").write_text(json.dumps({"index_path": index_path}))
+    settings = load_settings(str(tmp_path))
+    assert settings.index_path == index_path
+    scratch = os.path.join(shared_dir(spark), "symgraph")
+    before = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    kept = []
+    for name in ("a", "b", "c"):
+        (tmp_path / "a.py").write_text(f"def {name}():\n    pass\n")
+        build(spark, settings)
+        kept.append(open_index(spark, index_path))
+    assert names(kept[-1].symbols, "qualname") == [("a.c",)] and names(kept[-2].symbols, "qualname") == [("a.b",)]
+    assert len(os.listdir(tmp_path / ".symgraph" / "by-scheme")) == 2
+    assert set(os.listdir(scratch)) == before
+
+
 def test_stream_indexes_arrivals(spark, tmp_path):
     root = tmp_path / "tree"
     root.mkdir()
