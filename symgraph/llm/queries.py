@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mergedropout, ngramjoin, packing, quality, sharding, tokenfile, topk, toxicity
+from . import langid, linededup, maintext, mergedropout, ngramjoin, packing, quality, resample, sharding, tokenfile, topk, toxicity, wordruns
 from .common import scratch_path, table
 from .tokens import vocabulary
 
@@ -64,6 +64,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    docs = docs.select("doc_id", wordruns.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    return wordruns.digests(wordruns.find_runs(docs, ["doc_id"]))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), orders=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_file": op2_token_file,
@@ -75,6 +90,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_word_runs": op11_word_runs,
+    "op12_resampling": op12_resampling,
+    "op13_main_text": op13_main_text,
 }
 
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
@@ -163,4 +181,41 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS INTEGER)) AS BIGINT
 FROM m GROUP BY r, doc_id
 """
 
-ORACLE_SQL = {"op3_topk": _OP3, "op6_ngram_join": _OP6, "op7_quality_rules": _OP7, "op9_line_dedup": _OP9}
+#: The checksum of each distinct word, byte by byte through the usual table of 256 values.
+_OP12 = r"""
+WITH steps AS (
+  SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) AS v FROM (SELECT unnest(range(256)) AS b)
+), tab AS (SELECT list(v ORDER BY b) AS t FROM steps),
+src AS (
+  SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark
+), numbered AS (SELECT row_number() OVER () AS r, * FROM src),
+w AS (
+  SELECT r, side, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM numbered
+), bytes AS (
+  SELECT word, list_transform(range(1, length(h) // 2 + 1), lambda i: CAST('0x' || h[2 * i - 1 : 2 * i] AS BIGINT)) AS bs FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM w)
+), crc AS (
+  SELECT word, xor(list_reduce(bs, lambda c, x: xor(c // 256, t[CAST(xor(c, x) % 256 AS INTEGER) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, tab
+), f AS (SELECT r, side, bucket FROM w JOIN crc USING (word)),
+n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s, coalesce(sum(t), 0)::DOUBLE AS t FROM n),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((n.t + 1) * (total.s + 10000) / ((n.s + 1) * (total.t + 10000)))) AS BIGINT) AS g FROM n, total),
+doc AS (SELECT r, count(*) AS n_features, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM f JOIN gain USING (bucket) WHERE side = 'd' GROUP BY r),
+scored AS (
+  SELECT r, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM numbered LEFT JOIN doc USING (r) WHERE side = 'd'
+), ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
+#: On the given pages the main text is what the article element holds.
+_OP13 = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&') AS t FROM a),
+s AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, length(text) AS n_chars FROM s
+"""
+
+ORACLE_SQL = {"op3_topk": _OP3, "op6_ngram_join": _OP6, "op7_quality_rules": _OP7, "op9_line_dedup": _OP9, "op12_resampling": _OP12, "op13_main_text": _OP13}
