@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut
+from .store import Store
 
 
 @dataclass(frozen=True)
 class Index:
-    """The four tables and what is known of the run that made them."""
+    """The four tables and what is known of the run that made them; with a store, lookups read only what they need."""
 
     files: DataFrame
     symbols: DataFrame
@@ -20,6 +22,27 @@ class Index:
     imports: DataFrame
     root: str = ""
     last_indexed: str | None = None
+    store: Store | None = None
+
+    @classmethod
+    def of(cls, store: Store) -> Index:
+        return cls(*[store.rows(t) for t in ("files", "symbols", "calls", "imports")], store.told.get("root", ""), store.told.get("last_indexed"), store)
+
+    def get(self, table: str, key: str, *values) -> DataFrame:
+        """Rows of a table whose key is one of a few values, which become literals of the plan."""
+        if self.store is not None:
+            return self.store.get(table, key, list(values))
+        return getattr(self, table).where(F.col(key).isin([v for v in values if v is not None]))
+
+    def lookup(self, table: str, key: str, keys: DataFrame) -> DataFrame:
+        """At least the rows of a table whose key is in the only column of ``keys``."""
+        return self.store.lookup(table, key, keys) if self.store is not None else getattr(self, table)
+
+    def imported(self, name: str) -> DataFrame:
+        """(file_id, module, line) of the imports that list a name."""
+        if self.store is not None:
+            return self.store.get("imported", "name", [name]).select("file_id", "module", "line")
+        return self.imports.where(F.array_contains("names", name)).select("file_id", "module", "line")
 
 
 def top(rows: DataFrame, order: list[str | Column], limit: int | None) -> DataFrame:
@@ -28,63 +51,65 @@ def top(rows: DataFrame, order: list[str | Column], limit: int | None) -> DataFr
     return rows if limit is None or limit < 0 else rows.limit(limit)
 
 
-def find_symbol(index: Index, symbol: str) -> DataFrame:
-    """One row (sym) with the lowest id of that qualified name, else the only symbol of that name; else no row."""
-    named, exact = F.col("name") == symbol, F.col("qualname") == symbol
-    found = index.symbols.where(named | exact).agg(
-        F.min(F.when(exact, F.col("id"))).alias("exact"), F.count(F.when(named, 1)).alias("n"), F.min(F.when(named, F.col("id"))).alias("only")
-    )
-    return found.select(F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("sym")).where("sym IS NOT NULL")
+def find_symbol(index: Index, symbol: str) -> int | None:
+    """The lowest id of that qualified name, else the id of the only symbol of that name, else None."""
+    exact = index.get("symbols", "qualname", symbol).agg(F.min("id").alias("exact"))
+    named = index.get("symbols", "name", symbol).agg(F.count("*").alias("n"), F.min("id").alias("only"))
+    found = exact.crossJoin(named).first()  # one row each
+    return found["exact"] if found["exact"] is not None else found["only"] if found["n"] == 1 else None
 
 
-def find_module(index: Index, module: str) -> DataFrame:
-    """One row (file, module) for a path, a path less its .py, or a module id; else no row."""
-    path = F.col("path")
-    rank = F.when(path == module, 0).when(path == module + ".py", 1).when(F.col("module") == module, 2)
-    found = index.files.where(rank.isNotNull() & F.lit(module != "")).agg(F.min_by(F.struct("id", "module"), F.struct(rank, "id")).alias("f"))
-    return found.where("f IS NOT NULL").select(F.col("f.id").alias("file"), F.coalesce("f.module", F.lit("")).alias("file_module"))
+def find_module(index: Index, module: str) -> tuple[int, str] | None:
+    """(id, module) of the file of a path, of a path less its .py, or of a module id, else None."""
+    if not module:
+        return None
+    by_path = index.get("files", "path", module, module + ".py").select("id", "module", F.when(F.col("path") == module, 0).otherwise(1).alias("rank"))
+    by_module = index.get("files", "module", module).select("id", "module", F.lit(2).alias("rank"))
+    found = by_path.unionByName(by_module).agg(F.min_by(F.struct("id", "module"), F.struct("rank", "id")).alias("f")).first()["f"]
+    return (found["id"], found["module"] or "") if found else None
 
 
-def _paths(index: Index, key: str, path: str = "path") -> DataFrame:
-    return index.files.select(F.col("id").alias(key), F.col("path").alias(path))
+def _paths(index: Index, keys: DataFrame, key: str, path: str = "path") -> DataFrame:
+    return index.lookup("files", "id", keys.select(key)).select(F.col("id").alias(key), F.col("path").alias(path))
 
 
 def callers(index: Index, symbol: str, limit: int | None = 100) -> DataFrame:
     """One row for each call of the symbol."""
-    hit = index.calls.join(F.broadcast(find_symbol(index, symbol)), F.col("callee_id") == F.col("sym"))
-    who = index.symbols.select(F.col("id").alias("caller_id"), "qualname", "kind", F.col("start_line").alias("symbol_line"))
-    rows = hit.select("caller_id", "file_id", "callee", "line").join(who, "caller_id").join(_paths(index, "file_id"), "file_id")
+    hit = index.get("calls", "callee_id", find_symbol(index, symbol)).where("caller_id IS NOT NULL").select("caller_id", "file_id", "callee", "line")
+    who = index.lookup("symbols", "id", hit.select("caller_id")).select(F.col("id").alias("caller_id"), "qualname", "kind", F.col("start_line").alias("symbol_line"))
+    rows = hit.join(who, "caller_id").join(_paths(index, hit, "file_id"), "file_id")
     site = F.concat_ws(":", "path", "line").alias("call_site")
     return top(rows.select("qualname", "kind", "path", "symbol_line", site, "callee", "line"), ["qualname", "line", "path", "callee"], limit)
 
 
 def callees(index: Index, symbol: str, limit: int | None = 100) -> DataFrame:
     """Everything the symbol calls, resolved or not."""
-    hit = index.calls.join(F.broadcast(find_symbol(index, symbol)), F.col("caller_id") == F.col("sym"))
-    target = index.symbols.select(F.col("id").alias("callee_id"), F.col("qualname").alias("target"))
-    rows = hit.select("callee", "callee_id", "file_id", "line").join(target, "callee_id", "left").join(_paths(index, "file_id"), "file_id")
+    hit = index.get("calls", "caller_id", find_symbol(index, symbol)).select("callee", "callee_id", "file_id", "line")
+    target = index.lookup("symbols", "id", hit.select("callee_id")).select(F.col("id").alias("callee_id"), F.col("qualname").alias("target"))
+    rows = hit.join(target, "callee_id", "left").join(_paths(index, hit, "file_id"), "file_id")
     shown = rows.select("callee", "callee_id", F.col("callee_id").isNotNull().alias("resolved"), F.coalesce("target", F.lit("")).alias("target"), "path", "line")
     return top(shown, ["callee", "line", "path", "target"], limit)
 
 
 def deps(index: Index, module: str, limit: int | None = 200) -> DataFrame:
     """What a file imports."""
-    hit = index.imports.join(F.broadcast(find_module(index, module)), F.col("file_id") == F.col("file"))
-    rows = hit.select("module", "kind", "target_id", "line").join(_paths(index, "target_id", "target_path"), "target_id", "left")
+    file, _ = find_module(index, module) or (None, "")
+    hit = index.get("imports", "file_id", file).select("module", "kind", "target_id", "line")
+    rows = hit.join(_paths(index, hit, "target_id", "target_path"), "target_id", "left")
     return top(rows.select("module", "kind", F.coalesce("target_path", F.lit("")).alias("target_path"), "line"), ["line", "module", "target_path", "kind"], limit)
 
 
 def dependents(index: Index, module: str, limit: int | None = 200) -> DataFrame:
     """Files that import the module, then files that import it by name as a member of its package."""
-    target = F.broadcast(find_module(index, module))
-    whole = index.imports.join(target, F.col("target_id") == F.col("file")).select("file_id", "module", "line").join(_paths(index, "file_id"), "file_id")
-    whole = whole.select("path", "module", "line", F.lit(0).alias("rank"))
-    base, name = F.regexp_extract("file_module", r"^(.*)\.[^.]*$", 1), F.substring_index("file_module", ".", -1)
-    own = index.files.select(F.col("id").alias("file_id"), "path", F.col("module").alias("own"))
-    member = index.imports.where(F.size("names") > 0).crossJoin(target.where(F.col("file_module").contains("."))).where(F.array_contains("names", name))
-    member = member.select("file_id", "module", "line", base.alias("base")).join(own, "file_id")
-    near = F.col("own").startswith(F.col("base"))
-    member = member.where((F.col("module") == F.col("base")) | (F.col("module").startswith(".") & near))
+    file, module_id = find_module(index, module) or (None, "")
+    hit = index.get("imports", "target_id", file).select("file_id", "module", "line")
+    whole = hit.join(_paths(index, hit, "file_id"), "file_id").select("path", "module", "line", F.lit(0).alias("rank"))
+    base, dot, name = module_id.rpartition(".")
+    if not dot:
+        return top(whole, ["rank", "path", "line", "module"], limit).select("path", "module", "line")
+    member = index.imported(name).where((F.col("module") == base) | F.col("module").startswith("."))
+    own = index.lookup("files", "id", member.select("file_id")).select(F.col("id").alias("file_id"), "path", F.col("module").alias("own"))
+    member = member.join(own, "file_id").where((F.col("module") == base) | F.col("own").startswith(base))
     first = member.join(whole.select("path").distinct(), "path", "left_anti").groupBy("path").agg(F.min(F.struct("line", "module")).alias("i"))
     both = whole.unionByName(first.select("path", "i.module", "i.line", F.lit(1).alias("rank")))
     return top(both, ["rank", "path", "line", "module"], limit).select("path", "module", "line")
@@ -93,13 +118,15 @@ def dependents(index: Index, module: str, limit: int | None = 200) -> DataFrame:
 def impact(index: Index, symbol: str, depth: int = 3, limit: int | None = 200) -> DataFrame:
     """Symbols that reach the symbol through at most ``depth`` calls, each at its least depth.
 
-    Every hop joins the frontier with the call edges and drops what was seen;
-    it is written out, so a lost executor never costs more than one hop.
+    Every hop looks the frontier up among the calls by their target and drops
+    what was seen; it is written out, so a lost executor never costs more than
+    one hop. A small frontier reads only the files that hold its calls.
     """
-    edges = index.calls.where("caller_id IS NOT NULL AND callee_id IS NOT NULL").select("caller_id", "callee_id").distinct()
-    start = cut(find_symbol(index, symbol).select(F.col("sym").alias("id")), "impact")
+    spark, sym = index.symbols.sparkSession, find_symbol(index, symbol)
+    start = spark.createDataFrame([] if sym is None else [(sym,)], "id long")
     frontier, seen, hops = start, None, []
     for hop in range(1, max(1, depth) + 1):
+        edges = index.lookup("calls", "callee_id", frontier).where("caller_id IS NOT NULL AND callee_id IS NOT NULL")
         reached = edges.join(frontier.withColumnRenamed("id", "callee_id"), "callee_id", "left_semi").select(F.col("caller_id").alias("id")).distinct()
         if seen is not None:
             reached = reached.join(seen, "id", "left_anti")
@@ -109,33 +136,12 @@ def impact(index: Index, symbol: str, depth: int = 3, limit: int | None = 200) -
             break
         hops.append(frontier.withColumn("depth", F.lit(hop)))
         seen = frontier if seen is None else seen.unionByName(frontier)
-    found = hops[0]
-    for more in hops[1:]:
-        found = found.unionByName(more)
-    rows = found.join(index.symbols.select("id", "qualname", "kind", "file_id"), "id").join(_paths(index, "file_id"), "file_id")
+    found = reduce(DataFrame.unionByName, hops)
+    rows = found.join(index.lookup("symbols", "id", found.select("id")).select("id", "qualname", "kind", "file_id"), "id")
+    rows = rows.join(_paths(index, rows, "file_id"), "file_id")
     return top(rows.select("depth", "qualname", "kind", "path"), ["depth", "qualname", "path", "kind"], limit)
 
 
-def impact_recursive(index: Index, symbol: str, depth: int = 3) -> DataFrame:
-    """Like :func:`impact` without a limit, as one recursive query; for small depths, since it follows every walk."""
-    spark = index.symbols.sparkSession
-    edges = index.calls.where("caller_id IS NOT NULL AND callee_id IS NOT NULL").select("caller_id", "callee_id").distinct()
-    edges.createOrReplaceTempView("symgraph_edges")
-    find_symbol(index, symbol).createOrReplaceTempView("symgraph_start")
-    walks = spark.sql(
-        f"""
-        WITH RECURSIVE walk(id, depth) MAX RECURSION LEVEL {max(1, depth) + 1} AS (
-          SELECT e.caller_id, 1 FROM symgraph_edges e JOIN symgraph_start s ON e.callee_id = s.sym
-          UNION ALL
-          SELECT e.caller_id, w.depth + 1 FROM symgraph_edges e JOIN walk w ON e.callee_id = w.id WHERE w.depth < {max(1, depth)}
-        )
-        SELECT w.id, min(w.depth) AS depth FROM walk w LEFT JOIN symgraph_start s ON w.id = s.sym WHERE s.sym IS NULL OR w.depth = 1 GROUP BY w.id
-        """
-    )
-    rows = walks.join(index.symbols.select("id", "qualname", "kind", "file_id"), "id").join(_paths(index, "file_id"), "file_id")
-    return rows.select("depth", "qualname", "kind", "path").orderBy("depth", "qualname", "path", "kind")
-
-
 def languages(index: Index) -> DataFrame:
     return index.files.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang")
 

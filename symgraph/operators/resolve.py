@@ -34,8 +34,8 @@ def _dots(module: Column) -> Column:
     return F.length(module) - F.length(F.ltrim(module, F.lit(".")))
 
 
-def candidate_paths(path: Column, lang: Column, module: Column) -> Column:
-    """Paths that an import may mean, best first."""
+def candidate_paths(path: Column, lang: Column, module: Column, langs: list[str]) -> Column:
+    """Paths that an import may mean, best first; only rules of the languages named are planned."""
     own = folder(path)
     with_ext = lambda base, exts: F.array(*[F.concat(base, F.lit(e)) for e in exts])
 
@@ -43,7 +43,7 @@ def candidate_paths(path: Column, lang: Column, module: Column) -> Column:
     target = normalize_path(_under(own, module))
     bare = F.when(extension(target) != "", F.regexp_replace(target, r"\.[^./]+$", "")).otherwise(target)
     relative = F.lit(None).cast("array<string>")
-    for name in _RELATIVE:
+    for name in sorted(set(_RELATIVE) & set(langs)):
         order = IMPORT_EXTENSIONS[name] + [e for e in ALL_EXTENSIONS if e not in IMPORT_EXTENSIONS[name]]
         tried = with_ext(bare, order)
         found = F.when(extension(target) != "", F.concat(F.array(target), tried)).otherwise(tried)
@@ -66,35 +66,37 @@ def candidate_paths(path: Column, lang: Column, module: Column) -> Column:
         ~first.isin("std", "core", "alloc"), F.array(_under(own, F.concat(first, F.lit(".rs"))), _under(own, F.concat(first, F.lit("/mod.rs"))))
     )
     other = F.lit(None).cast("array<string>")
-    for known in ("javascript", "typescript", "go", "java"):
+    for known in sorted({"javascript", "typescript", "go", "java"} & set(langs)):
         tried = with_ext(name, IMPORT_EXTENSIONS[known])
         other = F.when(lang == known, F.concat(tried, F.array(F.concat(name, F.lit("/main.go")))) if known == "go" else tried).otherwise(other)
 
     is_relative = module.startswith("./") | module.startswith("../")
-    return (
-        F.when(module == "", None)
-        .when(is_relative, relative)
-        .when((lang == "python") & module.startswith("."), from_dots)
-        .when(lang == "python", absolute)
-        .when(lang == "rust", rust)
-        .when(F.replace(module, F.lit("."), F.lit("")) == "", None)
-        .otherwise(other)
-    )
+    found = F.when(module == "", None).when(module.startswith("./") | module.startswith("../"), relative)
+    if "python" in langs:
+        found = found.when((lang == "python") & module.startswith("."), from_dots).when(lang == "python", absolute)
+    if "rust" in langs:
+        found = found.when(lang == "rust", rust)
+    return found.when(F.replace(module, F.lit("."), F.lit("")) == "", None).otherwise(other)
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``imports`` (with file_id and module) with ``target_id``, null where no file fits."""
+def tried_paths(imports: DataFrame, files: DataFrame, langs: list[str] | None = None) -> DataFrame:
+    """(file_id, module, place, tried): the paths that each import may mean, the best first."""
+    langs = list(IMPORT_EXTENSIONS) if langs is None else langs
     asked = imports.select("file_id", "module").distinct().join(files.select(F.col("id").alias("file_id"), "path", "lang"), "file_id")
-    tried = asked.select("file_id", "module", F.posexplode(candidate_paths(F.col("path"), F.col("lang"), F.col("module"))).alias("place", "tried"))
-    tried = tried.withColumn("tried", normalize_path(F.col("tried")))
+    tried = asked.select("file_id", "module", F.posexplode(candidate_paths(F.col("path"), F.col("lang"), F.col("module"), langs)).alias("place", "tried"))
+    return tried.withColumn("tried", normalize_path(F.col("tried")))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """``imports`` (with file_id and module) with ``target_id``, null where no file fits."""
+    tried = tried_paths(imports, files) if tried is None else tried
     hit = tried.join(files.select(F.col("path").alias("tried"), F.col("id").alias("hit")), "tried")
     target = hit.groupBy("file_id", "module").agg(F.min_by("hit", "place").alias("target_id"))
     return imports.drop("target_id").join(target, ["file_id", "module"], "left")
 
 
-def reachable_files(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Distinct (file_id, reach): files that a file imports, and submodules it imports by name."""
-    direct = imports.where(F.col("target_id").isNotNull()).select("file_id", F.col("target_id").alias("reach"))
+def wanted_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Distinct (file_id, module): modules that the names listed by an import may be."""
     own = files.select(F.col("id").alias("file_id"), "path", F.col("module").alias("own"))
     named = imports.where(F.size("names") > 0).select("file_id", "module", F.explode("names").alias("name")).join(own, "file_id")
     # A relative import starts at the package of the file; what follows its dots plays no part.
@@ -103,7 +105,13 @@ def reachable_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     package = F.array_join(F.slice(parts, F.lit(1), F.greatest(depth, F.lit(0))), ".")
     base = F.when(F.col("module").startswith("."), package).otherwise(F.col("module"))
     full = F.when(base == "", F.col("name")).otherwise(F.concat_ws(".", base, "name"))
-    wanted = named.select("file_id", F.explode(F.array(full, F.concat(full, F.lit(".__init__")))).alias("module")).distinct()
+    return named.select("file_id", F.explode(F.array(full, F.concat(full, F.lit(".__init__")))).alias("module")).distinct()
+
+
+def reachable_files(imports: DataFrame, files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Distinct (file_id, reach): files that a file imports, and submodules it imports by name."""
+    direct = imports.where(F.col("target_id").isNotNull()).select("file_id", F.col("target_id").alias("reach"))
+    wanted = wanted_modules(imports, files) if wanted is None else wanted
     first = files.groupBy("module").agg(F.min("id").alias("reach"))
     return direct.unionByName(wanted.join(first, "module").select("file_id", "reach")).distinct()
 
@@ -139,19 +147,19 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, reach:
     asked = asked.join(lang, "file_id")
     symbols = cut(symbols.select("id", "file_id", "name", "qualname").join(lang.select("file_id", "module"), "file_id"), "resolve-symbols")
     by_qualname = symbols.groupBy("file_id", F.col("qualname").alias("callee")).agg(F.count("*").alias("n"), F.min("id").alias("pick"))
-    by_name = symbols.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.min("id").alias("pick"), F.sum("id").alias("ids"))
+    by_name = symbols.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.min("id").alias("pick"), F.bit_xor("id").alias("ids"))
     key = ["file_id", "callee"]
 
     own = by_qualname.select(*key, F.col("pick").alias("by_qualname"))
     named = by_name.where("n = 1").select("file_id", "name", F.col("pick").alias("by_name"))
     unique = symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("anywhere")).where("n = 1").select("name", "anywhere")
     near = asked.join(own, key, "left").join(named, ["file_id", "name"], "left").withColumn("near", F.coalesce("by_qualname", "by_name"))
-    # Other files of the module: all of its symbols of that name less those of the file itself.
-    family = symbols.groupBy("module", "name").agg(F.count("*").alias("all_n"), F.sum("id").alias("all_ids"))
+    # Other files of the module: all of its symbols of that name less those of the file itself; if one is left, its id is what their ids differ by.
+    family = symbols.groupBy("module", "name").agg(F.count("*").alias("all_n"), F.bit_xor("id").alias("all_ids"))
     mine = by_name.select("file_id", "name", F.col("n").alias("own_n"), F.col("ids").alias("own_ids"))
     placed = near.join(family, ["module", "name"], "left").join(mine, ["file_id", "name"], "left").join(unique, "name", "left")
     alone = F.col("lang").isin(*FAMILIES) & (F.col("all_n") - F.coalesce("own_n", F.lit(0)) == 1)
-    far = F.coalesce(F.when(alone, F.col("all_ids") - F.coalesce("own_ids", F.lit(0))), "anywhere")
+    far = F.coalesce(F.when(alone, F.col("all_ids").bitwiseXOR(F.coalesce("own_ids", F.lit(0)))), "anywhere")
     settled = cut(placed.select(*key, "name", "near", far.alias("far")), "resolve-asked")
 
     left = settled.where("near IS NULL")

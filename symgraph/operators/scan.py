@@ -21,6 +21,8 @@ from .intervals import enclosing, nearest_before, next_at_most
 
 BRACES = ("javascript", "typescript", "java", "rust")
 QUOTES = ('"""', "'''")
+SYMBOLS_FOUND = "path string, kind string, name string, qualname string, parent string, start_line int, end_line int, signature string, doc string"
+IMPORTS_FOUND = "path string, rank int, offset int, module string, names array<string>, kind string, line int"
 
 
 def source_lines(files: DataFrame) -> DataFrame:
@@ -50,19 +52,28 @@ def _declared(d: Declaration, lang: str, text: Column) -> Column:
     )
 
 
-def declaration(lang: Column, text: Column) -> Column:
+def languages_of(files: DataFrame) -> list[str]:
+    """The languages among files; the patterns of others need not be planned."""
+    return sorted(r["lang"] for r in files.select("lang").distinct().collect() if r["lang"])
+
+
+def declaration(lang: Column, text: Column, langs: list[str]) -> Column:
     found = F.lit(None)
     for name, patterns in DECLARATIONS.items():
+        if name not in langs:
+            continue
         found = F.when(lang == name, F.coalesce(*[_declared(d, name, text) for d in patterns])).otherwise(found)
     return found
 
 
-def call_text(lang: Column, text: Column) -> Column:
+def call_text(lang: Column, text: Column, langs: list[str]) -> Column:
     """The part of a line in which calls are looked for."""
     body = F.substring(text, F.locate("{", text) + 1, F.length(text))
     braced = F.locate("{", text) > 0
     found = text
     for name, patterns in HEADERS.items():
+        if name not in langs:
+            continue
         rest = [F.when(text.rlike("(?U)" + p), F.regexp_replace(text, "(?U)" + p, "")) for p in patterns]
         if name == "python":
             part = F.coalesce(*rest, text)
@@ -117,10 +128,13 @@ def docstrings(deep: DataFrame) -> DataFrame:
     return two.select("path", "line", doc.alias("doc"))
 
 
-def symbols(files: DataFrame) -> DataFrame:
+def symbols(files: DataFrame, langs: list[str] | None = None) -> DataFrame:
     """(path, kind, name, qualname, parent, start_line, end_line, signature, doc)."""
+    langs = languages_of(files) if langs is None else langs
+    if not langs:
+        return files.sparkSession.createDataFrame([], SYMBOLS_FOUND)
     # Six branches read the lines, so their patterns and sums are worked out once.
-    deep = cut(nesting(source_lines(files)).withColumn("d", declaration(F.col("lang"), F.col("text"))), "scan-lines")
+    deep = cut(nesting(source_lines(files)).withColumn("d", declaration(F.col("lang"), F.col("text"), langs)), "scan-lines")
     items = deep.where("d.symbol").select("path", "lang", "module", "n_lines", "line", "level", "d")
     around = items.join(container_reach(deep), "path").where((F.col("from_line") < F.col("line")) & (F.col("line") <= F.coalesce("last", F.lit(2**31 - 1))))
     outers = around.groupBy("path", "line").agg(F.sort_array(F.collect_list(F.struct("from_line", "outer", "outer_kind"))).alias("outers"))
@@ -151,10 +165,11 @@ def symbols(files: DataFrame) -> DataFrame:
     return told.select("path", "kind", "name", "qualname", "parent", F.col("line").alias("start_line"), "end_line", "signature", F.coalesce("doc", F.lit("")).alias("doc"))
 
 
-def calls(files: DataFrame, found: DataFrame) -> DataFrame:
+def calls(files: DataFrame, found: DataFrame, langs: list[str] | None = None) -> DataFrame:
     """(path, line, place, caller_name, callee) given the symbols found in the files."""
+    langs = languages_of(files) if langs is None else langs
     table = source_lines(files)
-    sites = table.select("path", "lang", "line", F.posexplode(call_sites(call_text(F.col("lang"), F.col("text")))).alias("place", "callee"))
+    sites = table.select("path", "lang", "line", F.posexplode(call_sites(call_text(F.col("lang"), F.col("text"), langs))).alias("place", "callee"))
     sites = sites.where(is_call(F.col("callee"), F.col("lang"))).drop("lang")
     placed = enclosing(sites, found, ["path"], "line", "start_line", "end_line", "qualname", "caller_name")
     return placed.select("path", "line", "place", F.coalesce("caller_name", F.lit("")).alias("caller_name"), "callee")
@@ -182,8 +197,9 @@ def _listed(names: Column) -> Column:
     return F.filter(F.transform(F.split(names, ","), strip), lambda x: x != "")
 
 
-def imports(files: DataFrame) -> DataFrame:
+def imports(files: DataFrame, langs: list[str] | None = None) -> DataFrame:
     """(path, rank, offset, module, names, kind, line); rank and offset give the order in a file."""
+    langs = languages_of(files) if langs is None else langs
     none = F.array().cast("array<string>")
     of = lambda *langs: files.where(F.col("lang").isin(*langs) & F.col("text").isNotNull())
     hits = lambda key, *langs: located(of(*langs), ["path"], IMPORTS[key])
@@ -192,27 +208,28 @@ def imports(files: DataFrame) -> DataFrame:
     def rows(found: DataFrame, rank: int, module: Column, names: Column, kind: str) -> DataFrame:
         return found.select("path", F.lit(rank).alias("rank"), "offset", module.alias("module"), names.alias("names"), F.lit(kind).alias("kind"), "line")
 
+    parts = []
+    if "python" in langs:
+        parts.append(rows(hits("python_module", "python"), 0, part("python_module", 1), none, "module"))
+        parts.append(rows(hits("python_from", "python"), 1, part("python_from", 1), _listed(F.btrim(part("python_from", 2), F.lit("()"))), "from"))
     js = ("javascript", "typescript")
-    clause = F.filter(F.regexp_extract_all(part("js_import", 1), F.lit(IMPORTS["js_name"]), F.lit(0)), lambda x: x != "as")
-    bindings = hits("js_binding", *js).select("path", "offset", part("js_binding", 1).alias("bound"))
-    required = nearest_before(hits("js_require", *js), bindings, ["path"], "offset", "bound", "bound")
-
-    singles = rows(hits("go_single", "go"), 0, part("go_single", 1), none, "module")
-    blocks = hits("go_block", "go").select("path", F.col("offset").alias("start"), part("go_block", 1).alias("inner"))
-    items = located(blocks, ["path", "start"], IMPORTS["go_item"], "inner").withColumn("offset", F.col("start") + F.col("offset"))
-    # An item's line is counted from the block's start by its offset within the brackets.
-    items = items.join(of("go").select("path", "text"), "path").withColumn("line", line_of(F.col("text"), F.col("offset")).cast("int"))
-    grouped = rows(items, 1, part("go_item", 1), none, "module").join(singles.select("path", "module").distinct(), ["path", "module"], "left_anti")
-
-    parts = [
-        rows(hits("python_module", "python"), 0, part("python_module", 1), none, "module"),
-        rows(hits("python_from", "python"), 1, part("python_from", 1), _listed(F.btrim(part("python_from", 2), F.lit("()"))), "from"),
-        rows(hits("js_import", *js), 0, part("js_import", 2), clause, "import"),
-        rows(required, 1, part("js_require", 1), F.coalesce(_listed(F.col("bound")), none), "require"),
-        singles,
-        grouped.select(*singles.columns),
-        rows(hits("java_import", "java"), 0, part("java_import", 1), none, "import"),
-        rows(hits("rust_mod", "rust"), 0, part("rust_mod", 1), none, "mod"),
-        rows(hits("rust_use", "rust"), 1, F.rtrim(strip(F.substring_index(part("rust_use", 1), "::{", 1)), F.lit(";")), none, "use"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    if set(js) & set(langs):
+        clause = F.filter(F.regexp_extract_all(part("js_import", 1), F.lit(IMPORTS["js_name"]), F.lit(0)), lambda x: x != "as")
+        bindings = hits("js_binding", *js).select("path", "offset", part("js_binding", 1).alias("bound"))
+        required = nearest_before(hits("js_require", *js), bindings, ["path"], "offset", "bound", "bound")
+        parts.append(rows(hits("js_import", *js), 0, part("js_import", 2), clause, "import"))
+        parts.append(rows(required, 1, part("js_require", 1), F.coalesce(_listed(F.col("bound")), none), "require"))
+    if "go" in langs:
+        singles = rows(hits("go_single", "go"), 0, part("go_single", 1), none, "module")
+        blocks = hits("go_block", "go").select("path", F.col("offset").alias("start"), part("go_block", 1).alias("inner"))
+        items = located(blocks, ["path", "start"], IMPORTS["go_item"], "inner").withColumn("offset", F.col("start") + F.col("offset"))
+        # An item's line is counted from the block's start by its offset within the brackets.
+        items = items.join(of("go").select("path", "text"), "path").withColumn("line", line_of(F.col("text"), F.col("offset")).cast("int"))
+        grouped = rows(items, 1, part("go_item", 1), none, "module").join(singles.select("path", "module").distinct(), ["path", "module"], "left_anti")
+        parts += [singles, grouped.select(*singles.columns)]
+    if "java" in langs:
+        parts.append(rows(hits("java_import", "java"), 0, part("java_import", 1), none, "import"))
+    if "rust" in langs:
+        parts.append(rows(hits("rust_mod", "rust"), 0, part("rust_mod", 1), none, "mod"))
+        parts.append(rows(hits("rust_use", "rust"), 1, F.rtrim(strip(F.substring_index(part("rust_use", 1), "::{", 1)), F.lit(";")), none, "use"))
+    return reduce(DataFrame.unionByName, parts) if parts else files.sparkSession.createDataFrame([], IMPORTS_FOUND)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import languages as L
 from ..functions import text as X
-from ..operators import export, graph, intervals, resolve, scan, snapshot
+from ..operators import export, graph, intervals, relink, resolve, scan, snapshot
 from ..operators.search import Searcher, parse, postings, search_symbols, stored
+from ..scratch import cut, numbered
 from ..settings import DEFAULT_EXCLUDES
 from ..sources.files import excluded, included
 from . import fixtures
@@ -39,11 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _name(idx: graph.Index, number: int, field: str = "qualname") -> str:
-    return idx.symbols.where(F.col("id") == number).select(field).first()[0]
+    return idx.get("symbols", "id", number).select(field).first()[0]
 
 
 def _file(idx: graph.Index, number: int, field: str = "path") -> str:
-    return idx.files.where(F.col("id") == number).select(field).first()[0]
+    return idx.get("files", "id", number).select(field).first()[0]
 
 
 # ---------------------------------------------------------------- graph queries
@@ -140,12 +141,6 @@ for _depth in (1, 2, 3):
 query("impact_top", with_views(_IMPACT.format(depth=3, limit="LIMIT 200"), "symbols", "calls").replace(")\n\n, walk AS", "),\nwalk AS"))(_impact(3, 200))
 
 
-@query("impact_recursive_cte", ORACLE_SQL["impact_d2"])
-def impact_recursive_cte(spark, sf_dir):
-    idx = index(spark, sf_dir)
-    return graph.impact_recursive(idx, _name(idx, SYMBOL), 2)
-
-
 @query("stats", with_views("""
 SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM calls) AS calls,
   (SELECT count(callee_id) FROM calls) AS calls_resolved, (SELECT count(*) - count(callee_id) FROM calls) AS calls_unresolved,
@@ -224,7 +219,7 @@ SELECT i.id, i.file_id, i.module, (
 ) AS target_id FROM imports i""", "imports").replace("FROM files o,", "FROM (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files) o,"))
 def resolve_imports(spark, sf_dir):
     idx = index(spark, sf_dir)
-    return resolve.resolve_imports(idx.imports, idx.files).select("id", "file_id", "module", "target_id")
+    return resolve.resolve_imports(view(spark, sf_dir, "imports"), idx.files).select("id", "file_id", "module", "target_id")
 
 
 # ---------------------------------------------------------------- maintenance
@@ -477,12 +472,12 @@ def scan_symbols(spark, sf_dir):
 
 
 def _linked(spark) -> graph.Index:
-    from ..scratch import cut
-
-    files = cut(fixtures.files(spark), "fixture")
-    symbols = cut(scan.symbols(files), "fixture-symbols")
-    described = files.drop("text").withColumns({"size": F.lit(0), "digest": F.lit(""), "lines": F.lit(0), "indexed_at": F.lit(None).cast("timestamp")})
-    return snapshot.link(spark, {"files": described, "symbols": symbols, "calls": scan.calls(files, symbols), "imports": scan.imports(files)})
+    files = cut(numbered(fixtures.files(spark), "path"), "fixture")
+    ids = files.select("path", F.col("id").alias("file_id"))
+    found = cut(scan.symbols(files), "fixture-symbols")
+    symbols = cut(relink.symbol_rows(found, ids), "fixture-ids")
+    calls, imports = relink.link_all(files, symbols, relink.with_ids(scan.calls(files, found), ids), relink.with_ids(scan.imports(files), ids))
+    return graph.Index(files, symbols, calls, imports)
 
 
 @query("scan_calls", _values(fixtures.CALLS, "path, line, caller_name, callee, target"))

@@ -6,10 +6,16 @@ orders. The SQL is the same text for Spark and for the checking engine.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.text import last_segment
 from ..operators.graph import Index
-from ..scratch import cut
+from ..operators.relink import imported_names, search_tables
+from ..operators.store import Store, new_segment, write_segment
+from ..scratch import cut, shared_dir
 
 _N = "(SELECT count(*) AS n FROM supplier)"
 _LANGS = ("python", "javascript", "typescript", "go", "java", "rust")
@@ -88,5 +94,23 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    tables = {n: view(spark, sf_dir, n) for n in ("files", "symbols", "calls", "imports")}
-    return Index(*tables.values(), root="/standin", last_indexed="2024-01-01T00:00:00+00:00")
+    """The stand-in as an index with a store of one segment."""
+
+    def make() -> Index:
+        files, symbols, calls, imports = (view(spark, sf_dir, n) for n in ("files", "symbols", "calls", "imports"))
+        empty = {"size": "long", "mtime": "long", "digest": "string", "indexed_at": "timestamp"}
+        rows = {
+            "files": files.withColumns({c: F.lit(None).cast(kind) for c, kind in empty.items()}),
+            "symbols": symbols,
+            "calls": calls.withColumn("name", last_segment(F.col("callee"))),
+            "imports": imports,
+            "imported": imported_names(imports),
+            **search_tables(symbols),
+        }
+        base = f"{shared_dir(spark)}/symgraph/standin-{uuid.uuid4().hex}"
+        segment = write_segment(spark, base, new_segment(0), rows, {}, small=False)
+        n_terms = rows["lengths"].agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
+        told = {"root": "/standin", "last_indexed": "2024-01-01T00:00:00+00:00", "n_symbols": segment["rows"]["symbols"], "n_terms": n_terms}
+        return Index.of(Store(spark, base, {"version": 1, "segments": [segment], **told}))
+
+    return once(spark, sf_dir, "index", make)

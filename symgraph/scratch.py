@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,46 @@ def folders(spark: SparkSession, pattern: str) -> list[tuple[str, str]]:
     return [(p.getName(), p.toString()) for p in found]
 
 
+def files_in(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the files that a pattern matches."""
+    path, system = _path(spark, pattern)
+    return [s.getPath().getName() for s in system.globStatus(path) or [] if s.isFile()]
+
+
+def read_text(spark: SparkSession, name: str) -> str:
+    """A small file whole, without a job."""
+    path, system = _path(spark, name)
+    stream = system.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, name: str, text: str) -> bool:
+    """Create a small file, whole or not at all; False if there is one of that name.
+
+    The text is written beside it and then renamed, which fails in HDFS and
+    its like if the name is taken. A local disk gets a second link to the file
+    instead, since its renames would replace what is there.
+    """
+    path, system = _path(spark, name)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f"_{uuid.uuid4().hex}")
+    system.mkdirs(path.getParent())
+    out = system.create(beside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if system.getUri().getScheme() != "file":
+            return bool(system.rename(beside, path))
+        os.link(beside.toUri().getPath(), path.toUri().getPath())
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        system.delete(beside, False)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Delete the tables cut inside when the block ends; frames that read them must not outlive it."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import graph
 from .operators.search import search_symbols
-from .operators.snapshot import NoIndexError, build, open_index, open_postings
+from .operators.snapshot import NoIndexError, build, open_index
 from .settings import Settings
 
 PROTOCOL = "2024-11-05"
@@ -83,7 +83,7 @@ TOOLS: dict[str, Tool] = {
         "Transitive callers of a symbol",
         lambda s, a: graph.impact(s.index(), a["symbol"], int(a.get("depth", 3)), _limit(a, 200)), ("symbol",), ("depth", "limit"), True,
     ),
-    "search": Tool("Search names, docs and signatures", lambda s, a: search_symbols(s.index(), a["query"], _limit(a, 20), s.postings()), ("query",), ("limit",)),
+    "search": Tool("Search names, docs and signatures", lambda s, a: search_symbols(s.index(), a["query"], _limit(a, 20)), ("query",), ("limit",)),
     "overview": Tool("Counts of the index", lambda s, a: graph.stats(s.index())),
     "reindex": Tool("Refresh the index", lambda s, a: s.reindex(bool(a.get("force", False))), (), ("force",), cached=False),
 }
@@ -101,9 +101,6 @@ class Service:
         except NoIndexError as error:
             raise ToolError(f"{error}; index the project root first") from error
 
-    def postings(self) -> DataFrame:
-        return open_postings(self.spark, self.settings.index_path)
-
     def reindex(self, force: bool) -> dict:
         report = asdict(build(self.spark, self.settings, force))
         self.cache.clear()
@@ -118,7 +115,7 @@ class Service:
         key = json.dumps([name, args], sort_keys=True, default=str)
         if tool.cached and (held := self.cache.get(key)) is not None:
             return held
-        if tool.needs_symbol and graph.find_symbol(self.index(), args["symbol"]).isEmpty():
+        if tool.needs_symbol and graph.find_symbol(self.index(), args["symbol"]) is None:
             raise ToolError(f"unknown symbol: {args['symbol']!r} (try the search tool first)")
         value = tool.run(self, args)
         if isinstance(value, DataFrame):

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.languages import EXTENSIONS, language, module_id
 from ..functions.text import glob_regex, line_count
+from ..scratch import cut
 from ..settings import Settings
 
 
@@ -51,76 +51,86 @@ def included(path: Column, patterns: list[str]) -> Column:
     return _any([(path == b) | path.startswith(b + "/") for b in bases] + [path.rlike(glob_regex(p)) for p in patterns if p])
 
 
-class TreeReader(DataSourceReader):
-    """Walks a source tree, one task for each folder near its top.
+#: Entries that a task lists before it hands folders on to the next round.
+LISTED_AT_ONCE = 5_000
+#: Bytes of content that a task reads, about.
+READ_BYTES = 32 << 20
+LISTED = "folder boolean, path string, size long, mtime long"
+READ = "path string, lang string, size long, mtime long, content binary, error string"
 
-    Excluded folders are not entered, and no content is read for a file that
-    its name or size rules out.
-    """
 
-    def __init__(self, options: dict[str, str]):
-        self.root = options["path"].rstrip("/")
-        self.prune = [re.compile(p) for p in json.loads(options.get("prune", "[]"))]
-        self.suffixes = tuple(json.loads(options.get("suffixes", "[]")))
-        self.most = int(options.get("maxbytes", 2**62))
-
-    def _folders(self, folder: str) -> list[str]:
-        with os.scandir(folder) as entries:
-            return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and not any(p.match(e.name) for p in self.prune))
-
-    def partitions(self) -> list[InputPartition]:
-        top = self._folders(self.root)
-        below = [f for folder in top for f in self._folders(folder)]
-        # Folders of the first two levels give their own files, deeper ones all that lies below.
-        return [InputPartition((f, False)) for f in (self.root, *top)] + [InputPartition((f, True)) for f in below]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, int, bytes]]:
-        start, deep = partition.value
-        waiting = [start]
-        while waiting:
-            folder = waiting.pop()
-            if deep:
-                waiting += self._folders(folder)
-            with os.scandir(folder) as entries:
-                files = [e for e in entries if e.is_file() and (not self.suffixes or e.name.lower().endswith(self.suffixes))]
-            for entry in files:
+def list_tree(spark: SparkSession, root: str, prune: list[str], suffixes: list[str], most: int) -> DataFrame:
+    """(path, size, mtime, listed) of the files of a tree, listed in rounds; folders that cannot be listed are rows too, with ``listed`` false.
+
+    A task lists what lies below the folders it is given until it has seen so
+    many entries, and hands the folders left on to the next round, where they
+    are dealt to all tasks. So a large tree splits wherever it branches, and
+    a small one takes one round. Folders whose name matches a pattern of
+    ``prune`` are not entered; names that Spark would hide are listed. The root
+    must be mounted where tasks run.
+    """
+    root, endings = root.rstrip("/"), tuple(suffixes)
+    tasks = spark.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        barred = [re.compile(p) for p in prune]
+        for batch in batches:
+            waiting, seen, found = [p or "." for p in batch.column("path").to_pylist()], 0, []
+            while waiting and seen < LISTED_AT_ONCE:
+                folder = waiting.pop()
                 try:
-                    size = entry.stat().st_size
-                    if size <= self.most:
-                        with open(entry.path, "rb") as content:
-                            yield os.path.relpath(entry.path, self.root).replace(os.sep, "/"), size, content.read()
+                    with os.scandir(f"{root}/{folder}") as entries:
+                        for e in entries:
+                            seen += 1
+                            path = e.name if folder == "." else f"{folder}/{e.name}"
+                            if e.is_dir(follow_symlinks=False):
+                                waiting += [path] if not any(p.match(e.name) for p in barred) else []
+                            elif e.name.lower().endswith(endings) and e.is_file():
+                                told = e.stat()
+                                found += [(False, path, told.st_size, told.st_mtime_ns)] if told.st_size <= most else []
+                except FileNotFoundError:
+                    continue  # the folder has gone
                 except OSError:
-                    continue  # the file has gone or cannot be read
+                    found.append((None, folder, None, None))
+            found += [(True, path, None, None) for path in waiting]
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            kinds = (pa.bool_(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["folder", "path", "size", "mtime"])
 
+    rounds, waiting = [], spark.createDataFrame([("",)], "path string")
+    while not rounds or not waiting.isEmpty():
+        rounds.append(cut(waiting.repartition(tasks).mapInArrow(run, LISTED), "listing"))
+        waiting = rounds[-1].where("folder").select("path")
+    return reduce(DataFrame.unionByName, rounds).where("folder IS NULL OR NOT folder").select("path", "size", "mtime", F.col("folder").isNotNull().alias("listed"))
 
-class TreeSource(DataSource):
-    """Source trees as (path, size, content), with names that Spark's own file listing would hide.
 
-    The root must be mounted where tasks run.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
+def discover(spark: SparkSession, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(path, lang, size, mtime) of every file to index, without reading any, and (path) of folders that could not be listed."""
+    names = [glob_regex(p) for p in settings.exclude if p and "/" not in p]
+    found = list_tree(spark, settings.root, names, sorted(EXTENSIONS | settings.language_map), settings.max_file_kb * 1024)
+    lang = language(F.col("path"), settings.language_map)
+    keep = ~excluded(F.col("path"), settings.exclude) & included(F.col("path"), settings.include) & lang.isNotNull()
+    return found.where(F.col("listed") & keep).select("path", lang.alias("lang"), "size", "mtime"), found.where("NOT listed").select("path")
 
-    def schema(self) -> str:
-        return "path string, size long, content binary"
 
-    def reader(self, schema) -> TreeReader:
-        return TreeReader(dict(self.options))
+def read_contents(files: DataFrame, root: str) -> DataFrame:
+    """``files`` (path, lang, size, mtime) with ``content``, dealt out by bytes; where it cannot be read it is null, and ``error`` says why."""
+    root, total = root.rstrip("/"), files.agg(F.sum("size")).first()[0] or 0
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, path in enumerate(batch.column("path").to_pylist()):
+                content = error = None
+                try:
+                    with open(f"{root}/{path}", "rb") as held:
+                        content = held.read()
+                except OSError as problem:
+                    error = str(problem)
+                own = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=[*own.schema.names, "content", "error"])
 
-def discover(spark: SparkSession, settings: Settings) -> DataFrame:
-    """(path, lang, size, content) of every file to index."""
-    spark.dataSource.register(TreeSource)
-    names = [glob_regex(p) for p in settings.exclude if p and "/" not in p]
-    found = (
-        spark.read.format("source_tree").option("prune", json.dumps(names)).option("suffixes", json.dumps(sorted(EXTENSIONS | settings.language_map)))
-        .option("maxbytes", settings.max_file_kb * 1024).load(settings.root)
-    )
-    lang = language(F.col("path"), settings.language_map)
-    keep = ~excluded(F.col("path"), settings.exclude) & included(F.col("path"), settings.include) & lang.isNotNull()
-    return found.where(keep).select("path", lang.alias("lang"), "size", "content")
+    dealt = files.select("path", "lang", "size", "mtime").repartition(total // READ_BYTES + 1, "path")
+    return dealt.mapInArrow(run, READ)
 
 
 def decoded(content: Column) -> Column:
@@ -129,6 +139,6 @@ def decoded(content: Column) -> Column:
 
 
 def with_text(found: DataFrame) -> DataFrame:
-    """(path, lang, module, size, digest, lines, text)."""
-    text = found.select("path", "lang", "size", F.sha2("content", 256).alias("digest"), decoded(F.col("content")).alias("text"))
-    return text.select("path", "lang", module_id(F.col("path"), F.col("lang"), F.col("text")).alias("module"), "size", "digest", line_count(F.col("text")).alias("lines"), "text")
+    """(path, lang, module, size, mtime, digest, lines, text) of files with content."""
+    text = found.select("path", "lang", "size", "mtime", F.sha2("content", 256).alias("digest"), decoded(F.col("content")).alias("text"))
+    return text.select("path", "lang", module_id(F.col("path"), F.col("lang"), F.col("text")).alias("module"), "size", "mtime", "digest", line_count(F.col("text")).alias("lines"), "text")

@@ -10,7 +10,7 @@ from symgraph import cli
 from symgraph.operators import graph
 from symgraph.operators.export import dot_rows, write_dot, write_json
 from symgraph.operators.search import NotAQuery, parse, search_symbols
-from symgraph.operators.snapshot import NoIndexError, build, open_index, open_postings
+from symgraph.operators.snapshot import NoIndexError, build, open_index
 from symgraph.plans import fixtures
 from symgraph.scratch import shared_dir
 from symgraph.service import Service, ToolError, TTLCache, serve
@@ -58,8 +58,8 @@ def test_queries_on_the_tree(built, spark):
 
 
 def test_search(built, spark):
-    idx, post = open_index(spark, built[1].index_path), open_postings(spark, built[1].index_path)
-    assert names(search_symbols(idx, "rate", post=post), "qualname")[0] == ("shop.price.rate",)
+    idx = open_index(spark, built[1].index_path)
+    assert names(search_symbols(idx, "rate"), "qualname")[0] == ("shop.price.rate",)
     assert names(search_symbols(idx, "name:basket"), "qualname") == [("shop.basket.Basket",)]
     assert names(search_symbols(idx, "shop.basket.m"), "qualname") == [("shop.basket.make",)]  # no expression: substring
     assert search_symbols(idx, "  ").count() == 0
@@ -115,11 +115,12 @@ def test_command_line(built, capsys):
 def test_refresh(built, spark):
     root, settings, _ = built
     same = build(spark, settings)
-    assert (same.files_changed, same.files_skipped, same.symbols) == (0, 13, 0)
+    assert (same.files_changed, same.files_skipped, same.symbols, same.calls_relinked) == (0, 13, 0, 0)
     (root / "shop" / "price.py").write_text(fixtures.SOURCES["shop/price.py"] + "\n\ndef third(item):\n    return rate(item) / 3\n")
     (root / "web" / "pick.js").unlink()
     changed = build(spark, settings)
     assert (changed.files_changed, changed.files_skipped, changed.files_removed, changed.symbols) == (1, 11, 1, 3)
+    assert changed.calls_relinked == 2  # those of the file that lost its import
     idx = open_index(spark, settings.index_path)
     assert names(graph.callers(idx, "shop.price.rate"), "qualname") == [("shop.basket.Basket.total",), ("shop.price.reduced",), ("shop.price.third",)]
     assert names(graph.deps(idx, "web/dom.js"), "module", "target_path")[0] == ("./pick", "")  # the target is gone
@@ -144,7 +145,9 @@ def test_old_versions_and_scratch_tables_go(spark, tmp_path):
         build(spark, settings)
         kept.append(open_index(spark, index_path))
     assert names(kept[-1].symbols, "qualname") == [("a.c",)] and names(kept[-2].symbols, "qualname") == [("a.b",)]
-    assert len(os.listdir(tmp_path / ".symgraph" / "by-scheme")) == 2
+    left = os.listdir(tmp_path / ".symgraph" / "by-scheme")
+    told = [json.loads(p.read_text()) for p in (tmp_path / ".symgraph" / "by-scheme" / "versions").iterdir() if not p.name.startswith(".")]
+    assert len(told) == 2 and set(left) == {"versions", *(s["name"] for t in told for s in t["segments"])}
     assert set(os.listdir(scratch)) == before
 
 
