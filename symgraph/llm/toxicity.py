@@ -14,7 +14,9 @@ segments reach score s by chance. Each segment's bits above that chance level
 are summed, and the sum is calibrated to a probability on the training rows.
 
 Cases: null and empty texts have no segment and get the lowest score. Null or
-repeated labels are ignored beyond the first kept by ``max``. A corpus without
+repeated labels are ignored beyond the first kept by ``max``; of rows that
+repeat a labelled id one is learnt from. Marks belong to the letters that they
+combine with, in every script. A corpus without
 toxic or without clean labels gives a model under which nothing is toxic.
 Rows that repeat get equal scores, and an empty table gives no rows. Texts are
 scored whole. Of the input's columns those asked for pass through; a new column
@@ -23,19 +25,20 @@ gets underscores added to its name where it would clash with one of them.
 
 from __future__ import annotations
 
+import itertools
 import math
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, held_out, map_texts
+from .common import bounded, cut, held_out, map_texts, slices
 
 #: At most about this many labelled documents are learnt from.
 TRAIN_ROWS = 20_000
@@ -48,8 +51,8 @@ PRIOR = 4.0
 DRIFT = 1.0
 #: Segments with fewer expected chance occurrences than this in their text are significant.
 MAX_CHANCE = 0.05
-TOKEN_RE = re.compile(r"[^\W_]+")
-TOKEN_SQL = r"[^\p{L}\p{N}\p{M}]+"
+#: Letters, digits and the marks that combine with them; training and scoring take the same tokens.
+TOKEN_RE = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 
 
 @dataclass
@@ -147,8 +150,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = bounded(cut(chosen.select(F.col("doc_id").alias("label_id"), "toxic"), "labels"))
-    joined = docs.join(chosen, docs["doc_id"] == F.col("label_id"))
-    return joined.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    joined = docs.join(chosen, docs["doc_id"] == F.col("label_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # Of rows that repeat an id one is learnt from, so the bound holds for rows as well.
+    return joined.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+
+
+def tokens_by_label(train: DataFrame) -> DataFrame:
+    """(token, toxic, n): how many texts of each label hold each token, one row or more for a token."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in itertools.chain.from_iterable(slices(b, 0) for b in batches):
+            seen: dict[tuple[str, int], int] = {}
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                for token in set(TOKEN_RE.findall(text.lower())):
+                    seen[token, toxic] = seen.get((token, toxic), 0) + 1
+            columns = [pa.array([t for t, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int64()), pa.array(seen.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "toxic", "n"])
+
+    return train.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(count, "token string, toxic long, n long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
@@ -157,10 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityM
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
         return ToxicityModel()
-    tokens = F.array_distinct(F.array_remove(F.split(F.lower("text"), TOKEN_SQL), ""))
-    by_word = train.select("toxic", F.explode(tokens).alias("token")).groupBy("token").agg(
-        F.sum("toxic").alias("t"), F.count("*").alias("n")
-    )
+    by_word = tokens_by_label(train).groupBy("token").agg(F.sum(F.col("toxic") * F.col("n")).alias("t"), F.sum("n").alias("n"))
     by_word = cut(by_word, "toxic-words")
     parts = [by_word.select("token", "t", "n")]
     parts += [
