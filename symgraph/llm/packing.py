@@ -6,6 +6,7 @@ window with the least room that still holds them; a segment tree over the
 possible amounts of room finds it. Remainders are dealt to tasks by a hash of
 document and position, and every task packs its share: with tens of thousands
 of remainders in a task, the last few open windows are all the padding there is.
+Equal rows differ in their place in the stored pieces, so they are dealt too.
 
 Cases: a null or empty text is the end id alone. Rows that repeat an id are
 separate documents. An empty table gives no pieces. Very long texts are cut
@@ -109,9 +110,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: i
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece with its sequence_id and its offset there."""
-    pieces = cut(cut_pieces(docs, vocabulary, window, end_id, with_ids, doc_id, text), "pieces")
+    # Places are stored with the pieces, so computing a task again cannot move a piece.
+    made = cut_pieces(docs, vocabulary, window, end_id, with_ids, doc_id, text)
+    pieces = cut(made.withColumn("at", F.monotonically_increasing_id()), "pieces")
     tasks = max(1, -(-pieces.count() // PART_PIECES))
-    dealt = pieces.withColumn("task", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(tasks)).cast("int"))
+    dealt = pieces.withColumn("task", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", "at"), F.lit(tasks)).cast("int")).drop("at")
     schema = T.StructType([*dealt.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(table: pa.Table) -> pa.Table:
