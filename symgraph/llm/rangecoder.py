@@ -278,21 +278,30 @@ def decode_block(body: bytes, n_ids: int) -> np.ndarray:
     return ids
 
 
+_HEAD = struct.Struct("<4sQII")
+
+
 def pack_frame(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
-    """A frame: magic, id count, block size, then length and CRC-32 of each block, then the blocks."""
+    """A frame: magic, id count, block size and block count, then length and CRC-32 of each block, the CRC-32 of all that, and the blocks."""
     blocks = [encode_block(ids[at : at + block]) for at in range(0, len(ids), block)]
-    head = struct.pack("<4sQII", MAGIC, len(ids), block, len(blocks))
+    head = _HEAD.pack(MAGIC, len(ids), block, len(blocks))
     index = b"".join(struct.pack("<II", len(b), zlib.crc32(b)) for b in blocks)
-    return head + index + b"".join(blocks)
+    return head + index + struct.pack("<I", zlib.crc32(head + index)) + b"".join(blocks)
 
 
 def unpack_blocks(frame: bytes) -> Iterator[np.ndarray]:
     """The ids of a frame block by block, as 64-bit integers; raises ValueError on a damaged one."""
-    magic, n, block, count = struct.unpack_from("<4sQII", frame)
-    if magic != MAGIC:
+    if len(frame) < _HEAD.size or frame[:4] != MAGIC:
         raise ValueError("not a frame of coded ids")
-    at = 20 + 8 * count
-    for k, (size, crc) in enumerate(struct.iter_unpack("<II", frame[20:at])):
+    _, n, block, count = _HEAD.unpack_from(frame)
+    at = _HEAD.size + 8 * count
+    if len(frame) < at + 4 or zlib.crc32(frame[:at]) != int.from_bytes(frame[at : at + 4], "little"):
+        raise ValueError("the head's checksum is wrong")
+    parts = list(struct.iter_unpack("<II", frame[_HEAD.size : at]))
+    at += 4
+    if len(frame) != at + sum(size for size, _ in parts):
+        raise ValueError("the frame's length is wrong")
+    for k, (size, crc) in enumerate(parts):
         part = frame[at : at + size]
         if zlib.crc32(part) != crc:
             raise ValueError("a block's checksum is wrong")

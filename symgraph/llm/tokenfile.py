@@ -3,7 +3,7 @@
 Documents are sorted by id over all tasks, encoded, and written as frames: a
 frame holds the ids of consecutive documents in independently readable,
 checksummed blocks (see ``rangecoder``), beside the ids and lengths of its
-documents. Frames are rows of Parquet files, so they live in any store that
+documents, which have a checksum too. A damaged frame raises ValueError. Frames are rows of Parquet files, so they live in any store that
 Spark can write to. Shard and frame numbers give the order of the frames.
 
 Cases: a null or empty text is the end id alone. Rows that repeat an id stay
@@ -30,11 +30,26 @@ from .tokens import Encoder
 END_ID = 2
 #: A frame is closed when it holds this many ids.
 FRAME_IDS = 1 << 22
-FRAME_SCHEMA = "shard int, frame int, doc_ids array<long>, lengths array<int>, n_ids long, body binary"
-_FRAME = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("body", pa.binary())])
+FRAME_SCHEMA = "shard int, frame int, doc_ids array<long>, lengths array<int>, n_ids long, list_crc long, body binary"
+_FRAME = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("list_crc", pa.int64()), ("body", pa.binary())])
 _DOC = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("place", pa.int32()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
 
+def list_crc(names: list[int | None], lengths: list[int]) -> int:
+    """A checksum of a frame's document ids and lengths."""
+    return zlib.crc32(repr((names, lengths)).encode())
+
+
+def checked_ids(row: dict) -> np.ndarray:
+    """The ids of a frame; raises ValueError where they, or its lists of documents and lengths, are damaged."""
+    if row["list_crc"] != list_crc(row["doc_ids"], row["lengths"]):
+        raise ValueError("the checksum of a frame's documents is wrong")
+    ids = unpack_frame(row["body"])
+    if len(ids) != row["n_ids"] or len(ids) != sum(row["lengths"]):
+        raise ValueError("a frame's ids and lengths disagree")
+    return ids
+
+
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", frame_ids: int = FRAME_IDS) -> None:
     """Encode every text and write the frames under ``path``."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -48,7 +63,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
         n = 0
 
         def close() -> pa.RecordBatch:
-            row = [[shard], [frame], [names], [[len(x) for x in held]], [n], [pack_frame(np.concatenate(held))]]
+            lengths = [len(x) for x in held]
+            row = [[shard], [frame], [names], [lengths], [n], [list_crc(names, lengths)], [pack_frame(np.concatenate(held))]]
             return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, _FRAME, strict=True)], schema=_FRAME)
 
         for batch in chain.from_iterable(slices(b, 1) for b in batches):
@@ -76,7 +92,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, sizes = unpack_frame(row["body"]), np.array(row["lengths"], dtype=np.int64)
+                ids, sizes = checked_ids(row), np.array(row["lengths"], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 raw = ids.astype("<u4").tobytes()
                 crcs = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
