@@ -153,9 +153,11 @@ def line_table(docs: DataFrame, doc_id: str, text: str, bounds: list[int]) -> It
     )
     path = scratch_path(spark, "lines")
     lines = held.where("h IS NOT NULL").select("id", "text_hash", "place", "h.h1", "h.h2", number.cast("int").alias("batch"))
-    lines.write.partitionBy("batch").parquet(path)
-    yield spark.read.schema(lines.schema).parquet(path)
-    delete_folder(spark, path)
+    try:
+        lines.write.partitionBy("batch").parquet(path)
+        yield spark.read.schema(lines.schema).parquet(path)
+    finally:
+        delete_folder(spark, path)
 
 
 def foreign_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int | None = None, fanout: int = FANOUT) -> DataFrame:

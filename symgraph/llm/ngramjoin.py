@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, discard, join_by_key, map_texts
+from .common import bounded, cut, discard, free_name, join_by_key, map_texts
 
 #: Share of the hash space whose n-grams are counted in step 1.
 COUNTED = 0.3
@@ -95,8 +95,8 @@ def prefix_need(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def read_sets(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, sid, n, sample): each document's set id, set size and counted n-grams.
+def read_sets(docs: DataFrame, n: int, doc_id: str, text: str, with_hash: bool = False) -> DataFrame:
+    """(doc_id, sid, n, sample): each document's set id, set size and counted n-grams; on request with ``text_hash``.
 
     The sample is null where this task has emitted the same set before, and for
     rows with a null id, which never stand for their set.
@@ -128,7 +128,7 @@ def read_sets(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
     known = F.col(doc_id).cast("long")
     # The first character tells whether the row has an id.
     marked = F.concat(F.when(known.isNull(), "-").otherwise("+"), F.coalesce(F.col(text).cast("string"), F.lit("")))
-    given = docs.select(known.alias("doc_id"), marked.alias("text"))
+    given = docs.select(known.alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), marked.alias("text"))
     state: list = []
 
     def once(texts: list[str]) -> tuple[list, list, list]:
@@ -136,7 +136,11 @@ def read_sets(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
             state.append(sets())
         return state[0](texts)
 
-    return map_texts(given, ["doc_id"], columns, once)
+    return map_texts(given, ["doc_id", "text_hash"] if with_hash else ["doc_id"], columns, once)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def survivors(read: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -403,20 +407,55 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return labels
 
 
-def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
-    read = cut(read_sets(docs, n, doc_id, text), "read-sets")
+def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", with_component: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+
+    Rows that repeat an id can be in several components with one
+    ``component_id``. With ``with_component`` the columns ``component``, which
+    tells components apart, and ``text_hash`` (see :func:`text_hash`) follow.
+    """
+    read = cut(read_sets(docs, n, doc_id, text, with_component), "read-sets")
     sets, left = survivors(read, percent)
-    members = cut(read.select("doc_id", "sid", "n"), "members")
+    more = ["text_hash"] if with_component else []
+    members = cut(read.select("doc_id", "sid", "n", *more), "members")
     discard(read)
     tokens = cut(set_tokens(docs, left, n, doc_id, text), "set-tokens")
     index = cut(signatures(tokens, frequent_tokens(tokens, percent), percent), "index")
     labels = components(distinct_lists(index), tokens, percent)
     placed = sets.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    known = cut(placed.join(least, "comp").select("sid", "component_id", "copies"), "set-components")
+    label = [F.col("comp").alias("component")] if with_component else []
+    known = cut(placed.join(least, "comp").select("sid", "component_id", *label, "copies"), "set-components")
     in_sets = members.where("doc_id IS NOT NULL AND sid IS NOT NULL")
     total = sets.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     linked = join_by_key(in_sets, known, "sid", "copies", total)
     alone = members.where("doc_id IS NULL OR sid IS NULL").withColumn("component_id", F.col("doc_id"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    if not with_component:
+        return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = alone.withColumn("component", F.lit(None).cast("long"))
+    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "component", "text_hash")
+
+
+def one_of_each(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: of its smallest id, that of the least text hash.
+
+    Decisions are by id and text, so where rows repeat an id, one that resembles
+    nothing stays whatever becomes of the others. Of equal rows one stays. Rows
+    without an id or without words are linked with nothing and stay.
+    """
+    found = cut(link_documents(docs, n, percent, doc_id, text, with_component=True).where("component IS NOT NULL").drop("n_shingles"), "near-links")
+    later = found.where("component_id < doc_id").select("doc_id", "text_hash")
+    first = found.where("component_id = doc_id").groupBy("component").agg(F.min("text_hash").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    several = cut(found.where("component_id = doc_id").join(first, "component").select("doc_id", "text_hash", "first"), "near-several")
+    gone = bounded(cut(later.unionByName(several.where("text_hash <> first").select("doc_id", "text_hash")).distinct(), "near-gone"))
+    twice = several.where("text_hash = first").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1")
+    twice = cut(twice.select("doc_id", "text_hash"), "near-twice")
+    key, h = free_name(docs, "__id"), free_name(docs, "__hash")
+    marked = docs.withColumns({key: F.col(doc_id).cast("long"), h: text_hash(F.col(text))})
+    of = lambda df: df.select(F.col("doc_id").alias(key), F.col("text_hash").alias(h))
+    left = marked.join(of(gone), [key, h], "left_anti")
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    pairs = bounded(of(twice))
+    once = left.join(pairs, [key, h], "left_semi").dropDuplicates([key, h])
+    return left.join(pairs, [key, h], "left_anti").unionByName(once).select(*docs.columns)
