@@ -3,6 +3,12 @@
 Toxic documents go, then documents of low quality and failing lines of the
 others, then lines that an earlier document holds, then all but one document
 of each group of near copies; what is left is packed into token windows.
+
+Cases: null and empty texts fail the quality rules. Rows with a null id pass
+every stage on their texts alone and are linked with nothing. Rows that repeat
+an id are judged one by one, by their own texts; of equal rows one stays behind
+the n-gram join. Texts are read whole. An empty table gives no pieces. Columns
+other than those of ``documents`` are left behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.llm import linededup, ngramjoin, packing, quality, toxicity
-from symgraph.llm.common import bounded, cut, scratch_path, table
+from symgraph.llm.common import delete_folder, scratch_path, table
 from symgraph.llm.tokens import vocabulary
+from symgraph.scratch import temporary
 
 
 #: What every stage but the last reads and returns; other columns are left behind, whatever their names.
@@ -40,9 +47,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays."""
-    found = ngramjoin.link_documents(docs, n=5, percent=80)
-    gone = bounded(cut(found.where("component_id < doc_id").select("doc_id").distinct(), "near-copies"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return ngramjoin.one_of_each(docs.select(*COLUMNS), n=5, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what earlier stages wrote is deleted once the next has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
