@@ -8,6 +8,11 @@ language of the nearest centroid by cosine wins; a text farther from it than
 almost all training texts of that language are from theirs is flagged as
 rejected.
 
+A model of up to ``MODEL_LANGS`` languages is broadcast whole. A larger one
+stays a stored table, and texts are compared with one block of languages after
+another, each carrying the best so far along with the row; the result is the
+same, whatever the number of languages.
+
 Cases: a null text or one without a letter is ``und`` with score 0. Without
 any training text everything is ``und``. Texts are read whole, in slices of
 bounded memory. Ties between centroids go to the language that sorts first.
@@ -26,12 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import numbered
 from .common import bounded, cut, held_out, map_texts
 
 #: About this many training texts per language are used.
 TRAIN_ROWS_PER_LANG = 1_500
 DIMS = 1 << 13
 CENTROIDS = 4
+#: Languages of a model, or block of one, that is broadcast: at most 32 MB of centroids.
+MODEL_LANGS = 256
+#: Blocks that are compared with in one pass over the rows.
+BLOCKS_A_PASS = 8
+#: How fast a language's odds fall with its cosine.
+SHARPNESS = 30.0
 ROUNDS = 8
 #: This share of a language's training texts may lie beyond its rejection distance.
 REJECT_SHARE = 0.005
@@ -69,16 +81,32 @@ class LangModel:
     owner: np.ndarray
     radius: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, rejected)."""
+    def nearest(self, text: str | None) -> tuple[str, float, float, bool]:
+        """(language, cosine, sum of all languages' odds against it, rejected); ``und`` for what has no language."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
-            return "und", 0.0, False
+            return "und", -1.0, 0.0, False
         cosines = self.centroids @ unit(ngram_counts(text), self.idf)
         at = int(np.argmax(cosines))
         best = np.full(len(self.langs), -1.0)
         np.maximum.at(best, self.owner, cosines)
-        odds = np.exp((best - best.max()) * 30.0)
-        return self.langs[self.owner[at]], float(odds[self.owner[at]] / odds.sum()), bool(cosines[at] < self.radius[at])
+        return self.langs[self.owner[at]], float(cosines[at]), float(np.exp((best - best.max()) * SHARPNESS).sum()), bool(cosines[at] < self.radius[at])
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, rejected)."""
+        lang, _, odds, rejected = self.nearest(text)
+        return lang, 1.0 / odds if odds else 0.0, rejected
+
+
+@dataclass
+class LargeModel:
+    """Centroids as a stored table (lang, j, centre, radius, block), for more languages than one broadcast holds."""
+
+    centres: DataFrame
+    idf: np.ndarray
+    blocks: int
+
+    def block(self, number: int) -> LangModel:
+        return small_model(self.centres.where(F.col("block") == number).orderBy("lang", "j").collect(), self.idf)
 
 
 def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -97,12 +125,23 @@ def training_rows(docs: DataFrame, per_lang: int = TRAIN_ROWS_PER_LANG) -> DataF
     """About ``per_lang`` texts of each language outside the held-out fold: (lang, text)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    joined = known.select("doc_id", "lang", "text").join(bounded(cut(sizes, "lang-sizes")), "lang")
-    point = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    joined = known.select("doc_id", "lang", "text", F.monotonically_increasing_id().alias("__at")).join(bounded(cut(sizes, "lang-sizes")), "lang")
+    # Rows are drawn one by one, equal ones by their place in the input, so that a sample is as small as it should be.
+    point = F.pmod(F.xxhash64("doc_id", "text", "__at"), F.lit(1 << 20)) / float(1 << 20)
     return joined.where(point < per_lang / F.col("n")).select("lang", "text")
 
 
-def fit(docs: DataFrame, per_lang: int = TRAIN_ROWS_PER_LANG) -> LangModel:
+def small_model(found: list, idf: np.ndarray) -> LangModel:
+    """A model of rows (lang, j, centre, radius) in order."""
+    langs = sorted({r["lang"] for r in found})
+    return LangModel(
+        langs, idf,
+        np.array([np.frombuffer(r["centre"], dtype=np.float32) for r in found]).reshape(len(found), DIMS),
+        np.array([langs.index(r["lang"]) for r in found], dtype=int), np.array([r["radius"] for r in found]),
+    )
+
+
+def fit(docs: DataFrame, per_lang: int = TRAIN_ROWS_PER_LANG) -> LangModel | LargeModel:
     train = cut(training_rows(docs, per_lang), "lang-train")
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,20 +166,43 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_ROWS_PER_LANG) -> LangModel:
         return pd.DataFrame(rows, columns=["lang", "j", "centre", "radius"])
 
     # A group holds one language's bounded training sample.
-    found = train.groupBy("lang").applyInPandas(cluster, "lang string, j int, centre binary, radius double").orderBy("lang", "j").collect()
-    langs = sorted({r["lang"] for r in found})
-    return LangModel(
-        langs, idf,
-        np.array([np.frombuffer(r["centre"], dtype=np.float32) for r in found]).reshape(len(found), DIMS),
-        np.array([langs.index(r["lang"]) for r in found], dtype=int), np.array([r["radius"] for r in found]),
-    )
+    centres = cut(train.groupBy("lang").applyInPandas(cluster, "lang string, j int, centre binary, radius double"), "lang-centres")
+    langs = centres.select("lang").distinct()
+    n = langs.count()
+    if n <= MODEL_LANGS:
+        return small_model(centres.orderBy("lang", "j").collect(), idf)
+    placed = numbered(langs, "lang", name="at").select("lang", F.floor((F.col("at") - 1) / MODEL_LANGS).cast("int").alias("block"))
+    return LargeModel(cut(centres.join(placed, "lang").repartitionByRange("block"), "lang-blocks"), idf, -(-n // MODEL_LANGS))
 
 
 COLUMNS = {"lang_pred": ("string", pa.string()), "score": ("double", pa.float64()), "rejected": ("boolean", pa.bool_())}
 
 
-def identify(docs: DataFrame, model: LangModel) -> DataFrame:
+_BEST = {"lang_pred": ("string", pa.string()), "cosine": ("double", pa.float64()), "odds": ("double", pa.float64()), "rejected": ("boolean", pa.bool_())}
+
+
+def _by_blocks(docs: DataFrame, model: LargeModel) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected), block by block; ties go to the earlier one, whose languages sort first."""
+    best = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.lit(None).cast(kind).alias(f"b_{c}") for c, (kind, _) in _BEST.items()])
+    for number in range(model.blocks):
+        lookup = docs.sparkSession.sparkContext.broadcast(model.block(number))
+        nearest = lambda texts, lookup=lookup: tuple(zip(*map(lookup.value.nearest, texts), strict=True)) or ([], [], [], [])
+        both = map_texts(best, best.columns, _BEST, nearest)
+        better = F.col("b_cosine").isNull() | (F.col("cosine") > F.col("b_cosine"))
+        weight = lambda x, top: F.exp((F.col(x) - top) * SHARPNESS)
+        top = F.greatest("cosine", "b_cosine")
+        odds = F.col("odds") * weight("cosine", top) + F.coalesce(F.col("b_odds") * weight("b_cosine", top), F.lit(0.0))
+        chosen = {c: F.when(better, F.col(c)).otherwise(F.col(f"b_{c}")) for c in ("lang_pred", "cosine", "rejected")} | {"odds": odds}
+        best = both.select("doc_id", "text", *[chosen[c].alias(f"b_{c}") for c in _BEST])
+        best = cut(best, "lang-best") if number % BLOCKS_A_PASS == BLOCKS_A_PASS - 1 else best
+    score = F.when(F.col("b_odds") > 0, 1.0 / F.col("b_odds")).otherwise(F.lit(0.0))
+    return best.select("doc_id", F.col("b_lang_pred").alias("lang_pred"), score.alias("score"), F.col("b_rejected").alias("rejected"))
+
+
+def identify(docs: DataFrame, model: LangModel | LargeModel) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row of ``docs``."""
+    if isinstance(model, LargeModel):
+        return _by_blocks(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
     lookup = docs.sparkSession.sparkContext.broadcast(model)
     predict = lambda texts: tuple(zip(*map(lookup.value.predict, texts), strict=True)) or ([], [], [])
     scored = map_texts(docs, ["doc_id"], COLUMNS, predict)

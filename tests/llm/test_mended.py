@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from symgraph.llm import ngramjoin, packing, rangecoder, tokenfile, toxicity
+from symgraph.llm import langid, ngramjoin, packing, rangecoder, tokenfile, toxicity
 from symgraph.llm.tokens import vocabulary
 
 BPE = vocabulary("byte_bpe_50k.json")
@@ -83,3 +83,15 @@ def test_ids_with_several_texts_lose_only_near_copies(spark, sf_dir):
     assert ngramjoin.one_of_each(docs.where("false"), 5, 80).count() == 0
     same = spark.createDataFrame([(8, t), (8, t + " x"), (9, t)], "doc_id long, text string")
     assert [r["doc_id"] for r in ngramjoin.one_of_each(same, 5, 80).collect()] == [8]
+
+
+def test_models_of_many_languages_are_used_in_blocks(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(spark.createDataFrame([(None, None, "en"), (-1, "12 34", "en"), (-1, "12 34", "en")], docs.schema))
+    whole = langid.fit(docs)
+    monkeypatch.setattr(langid, "MODEL_LANGS", 1)
+    monkeypatch.setattr(langid, "BLOCKS_A_PASS", 2)
+    large = langid.fit(docs)
+    assert isinstance(large, langid.LargeModel) and large.blocks == len(whole.langs) > 2
+    told = lambda model: sorted(repr((r["doc_id"], r["lang_pred"], round(r["score"], 6), r["rejected"])) for r in langid.identify(docs, model).collect())
+    assert told(large) == told(whole)
