@@ -26,39 +26,43 @@ ALL_EXTENSIONS = sorted({e for own in IMPORT_EXTENSIONS.values() for e in own})
 
 # Words that look like calls but are none, by language.
 NOT_CALLS = {
-    "python": (
-        "def class if elif else for while with return import from raise except assert yield lambda not and or in is "
-        "pass break continue del global nonlocal try finally match case async await type"
-    ).split(),
-    "javascript": (
-        "function if for while switch catch return typeof instanceof delete void import require export in of do else "
-        "try finally throw case default extends yield await async class const let var static get set new super "
-        "interface type enum namespace declare"
-    ).split(),
-    "go": (
-        "if for switch func go defer return case select range var const type import package else break continue "
-        "fallthrough map chan interface struct goto default"
-    ).split(),
-    "java": (
-        "if for while switch return new try catch finally throw import package class interface extends implements "
-        "public private protected static void super this assert synchronized instanceof do else case default break "
-        "continue enum record sealed final abstract native volatile transient strictfp"
-    ).split(),
-    "rust": (
-        "if for while fn return impl struct enum trait match let mut use mod pub unsafe ref where loop else move const "
-        "static async await dyn type in union crate super break continue extern macro_rules"
-    ).split(),
+    "python": [
+        "def", "class", "if", "elif", "else", "for", "while", "with", "return", "import", "from", "raise", "except", "assert", "yield",
+        "lambda", "not", "and", "or", "in", "is", "pass", "break", "continue", "del", "global", "nonlocal", "try", "finally", "match",
+        "case", "async", "await", "type",
+    ],
+    "javascript": [
+        "function", "if", "for", "while", "switch", "catch", "return", "typeof", "instanceof", "delete", "void", "import", "require",
+        "export", "in", "of", "do", "else", "try", "finally", "throw", "case", "default", "extends", "yield", "await", "async", "class",
+        "const", "let", "var", "static", "get", "set", "new", "super", "interface", "type", "enum", "namespace", "declare",
+    ],
+    "go": [
+        "if", "for", "switch", "func", "go", "defer", "return", "case", "select", "range", "var", "const", "type", "import", "package",
+        "else", "break", "continue", "fallthrough", "map", "chan", "interface", "struct", "goto", "default",
+    ],
+    "java": [
+        "if", "for", "while", "switch", "return", "new", "try", "catch", "finally", "throw", "import", "package", "class", "interface",
+        "extends", "implements", "public", "private", "protected", "static", "void", "super", "this", "assert", "synchronized",
+        "instanceof", "do", "else", "case", "default", "break", "continue", "enum", "record", "sealed", "final", "abstract", "native",
+        "volatile", "transient", "strictfp",
+    ],
+    "rust": [
+        "if", "for", "while", "fn", "return", "impl", "struct", "enum", "trait", "match", "let", "mut", "use", "mod", "pub", "unsafe",
+        "ref", "where", "loop", "else", "move", "const", "static", "async", "await", "dyn", "type", "in", "union", "crate", "super",
+        "break", "continue", "extern", "macro_rules",
+    ],
 }
 NOT_CALLS["typescript"] = NOT_CALLS["javascript"]
 
 # Words that never name a method in JavaScript and TypeScript.
-NOT_METHODS = (
-    "if for while switch catch return function class import export const let var new delete typeof instanceof in of do "
-    "else try finally throw case default extends yield await async interface type enum namespace declare super this void"
-).split()
+NOT_METHODS = [
+    "if", "for", "while", "switch", "catch", "return", "function", "class", "import", "export", "const", "let", "var", "new", "delete",
+    "typeof", "instanceof", "in", "of", "do", "else", "try", "finally", "throw", "case", "default", "extends", "yield", "await", "async",
+    "interface", "type", "enum", "namespace", "declare", "super", "this", "void",
+]
 
 # Words that begin a Java statement, never a return type.
-NOT_RETURN_TYPES = "new return throw switch if for while catch synchronized".split()
+NOT_RETURN_TYPES = ["new", "return", "throw", "switch", "if", "for", "while", "catch", "synchronized"]
 
 
 def extension(path: Column) -> Column:

@@ -26,13 +26,12 @@ class Declaration:
 
 
 # Declaration patterns, tried in this order on each line.
-_MODIFIERS = "public|private|protected|static|readonly|async|get|set|abstract|override|declare"
 _CLASS_JS = r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"
 _FUNCTION_JS = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)"
 _ARROW_JS = r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\(([^)]*)\)|\w+)\s*=>"
 _INTERFACE_JS = r"^\s*(?:export\s+)?interface\s+(\w+)"
 _TYPE_JS = r"^\s*(?:export\s+)?type\s+(\w+)\s*="
-_METHOD_JS = r"^\s{2,}(?:(?:" + _MODIFIERS + r")\s+)*(\w+)\s*\(([^)]*)\)[^{]*\{"
+_METHOD_JS = r"^\s{2,}(?:(?:public|private|protected|static|readonly|async|get|set|abstract|override|declare)\s+)*(\w+)\s*\(([^)]*)\)[^{]*\{"
 _CLASS_PY = r"^[ \t]*class\s+(\w+)\s*(?:\([^)]*\))?\s*:"
 _DEF_PY = r"^[ \t]*(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)[^:]*:"
 _FN_RS = r"^\s*(?:pub(?:\s*\([^)]*\))?\s+)?fn\s+(\w+)\s*\(([^)]*)\)"

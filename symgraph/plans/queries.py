@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import languages as L
 from ..functions import text as X
-from ..operators import export, graph, intervals, relink, resolve, scan, snapshot
+from ..operators import export, graph, intervals, ranked, resolve, scan, snapshot
 from ..operators.search import Searcher, parse, postings, search_symbols, stored
-from ..scratch import cut, numbered
+from ..scratch import cut
 from ..settings import DEFAULT_EXCLUDES
 from ..sources.files import excluded, included
-from . import fixtures
+from . import sources
 from .standin import index, once, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,13 +275,19 @@ def call_sites(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(X.call_sites(F.col("html"))).alias("callee"))
 
 
-_SAMPLES = ["track", "if", "console.log", "for", "new", "std::fmt", "function", "this.open", "range", "print"]
+_KEYWORDS = ", ".join(f"('{lang}', '{w}')" for lang in sorted(L.NOT_CALLS) for w in sorted(L.NOT_CALLS[lang]))
+_LANGS = ", ".join(f"('{lang}')" for lang in sorted(L.NOT_CALLS))
 
 
-@query("keyword_filter", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{lang}', '{w}')" for lang in sorted(L.NOT_CALLS) for w in _SAMPLES if w.split(".")[0].split("::")[0] not in L.NOT_CALLS[lang]) + ") t(lang, callee)")
+@query("keyword_filter", f"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_]+')) AS callee FROM documents),
+k AS (SELECT * FROM (VALUES {_KEYWORDS}) v(lang, word))
+SELECT l.lang, w.callee || CASE WHEN length(w.callee) % 2 = 0 THEN '.x' ELSE '' END AS callee
+FROM w, (VALUES {_LANGS}) l(lang) WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.lang = l.lang AND k.word = w.callee)""")
 def keyword_filter(spark, sf_dir):
-    rows = spark.createDataFrame([(lang, w) for lang in L.NOT_CALLS for w in _SAMPLES], "lang string, callee string")
+    """The words of all documents as call targets in every language, half of them as heads of a chain."""
+    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_]+"), F.lit(0))).alias("w")).distinct()
+    rows = found.select(F.explode(F.array(*map(F.lit, sorted(L.NOT_CALLS)))).alias("lang"), F.concat("w", F.when(F.length("w") % 2 == 0, ".x").otherwise("")).alias("callee"))
     return rows.where(X.is_call(F.col("callee"), F.col("lang")))
 
 
@@ -310,12 +316,15 @@ def module_ids(spark, sf_dir):
     return pages.select("page_id", "path", L.module_id(F.col("path"), F.lit("python"), F.lit("")).alias("module"))
 
 
-_PATHS = {"a/../../b": None, "web/../a/./b": "a/b", "./x": "x", "..": None, "a/b/../../c": "c", "a//b": "a/b", "": "", "a/..": ""}
-
-
-@query("path_normalize", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else repr(v)})" for k, v in _PATHS.items()) + ") t(path, folded)")
+@query("path_normalize", r"""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN path WHEN 2 THEN 'up/' || path ELSE path || '/last' END AS folded
+FROM (SELECT page_id, rtrim(regexp_replace(url, '^[a-z]+://', ''), '/') AS path FROM pages)""")
 def path_normalize(spark, sf_dir):
-    return spark.createDataFrame([(k,) for k in _PATHS], "path string").select("path", X.normalize_path(F.col("path")).alias("folded"))
+    """Addresses with steps to here and up put in, which fold to known ones."""
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    steps = [F.concat(F.lit("a/../../"), path), F.concat(F.lit("./x/../"), path), F.concat(F.lit("up//./"), path, F.lit("/y/..")), F.concat(path, F.lit("/a/b/../../last/."))]
+    made = F.element_at(F.array(*steps), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", X.normalize_path(made).alias("folded"))
 
 
 @query("last_segments", with_views(
@@ -461,39 +470,86 @@ def export_dot_lines(spark, sf_dir):
 
 # ---------------------------------------------------------------- scanning
 
-def _values(rows: list[tuple], names: str) -> str:
-    lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") t({names})"
-
-
-@query("scan_symbols", _values(fixtures.SYMBOLS, "path, kind, name, qualname, parent, start_line, end_line, signature, doc"))
+@query("scan_symbols", sources.SYMBOLS_SQL)
 def scan_symbols(spark, sf_dir):
-    return scan.symbols(fixtures.files(spark))
+    return scan.symbols(sources.files(spark, sf_dir))
 
 
-def _linked(spark) -> graph.Index:
-    files = cut(numbered(fixtures.files(spark), "path"), "fixture")
-    ids = files.select("path", F.col("id").alias("file_id"))
-    found = cut(scan.symbols(files), "fixture-symbols")
-    symbols = cut(relink.symbol_rows(found, ids), "fixture-ids")
-    calls, imports = relink.link_all(files, symbols, relink.with_ids(scan.calls(files, found), ids), relink.with_ids(scan.imports(files), ids))
-    return graph.Index(files, symbols, calls, imports)
-
-
-@query("scan_calls", _values(fixtures.CALLS, "path, line, caller_name, callee, target"))
+@query("scan_calls", sources.CALLS_SQL)
 def scan_calls(spark, sf_dir):
-    idx = _linked(spark)
-    paths, names = idx.files.select(F.col("id").alias("file_id"), "path"), idx.symbols.select(F.col("id").alias("callee_id"), F.col("qualname").alias("target"))
-    return idx.calls.join(paths, "file_id").join(names, "callee_id", "left").select("path", "line", "caller_name", "callee", "target")
+    files = cut(sources.files(spark, sf_dir), "sources")
+    return scan.calls(files, cut(scan.symbols(files), "source-symbols")).select("path", "line", "caller_name", "callee")
 
 
-@query("scan_imports", _values(fixtures.IMPORTS, "path, module, names, kind, line, target"))
+@query("scan_imports", sources.IMPORTS_SQL)
 def scan_imports(spark, sf_dir):
-    idx = _linked(spark)
-    paths, targets = idx.files.select(F.col("id").alias("file_id"), "path"), idx.files.select(F.col("id").alias("target_id"), F.col("path").alias("target"))
-    return idx.imports.join(paths, "file_id").join(targets, "target_id", "left").select("path", "module", F.array_join("names", ",").alias("names"), "kind", "line", "target")
+    return scan.imports(sources.files(spark, sf_dir)).select("path", "module", F.array_join("names", ",").alias("names"), "kind", "line")
 
 
 @query("search_symbols", with_views("SELECT id, qualname FROM symbols WHERE doc = 'SMALL Brand#4'", "symbols"))
 def search_symbols_query(spark, sf_dir):
     return search_symbols(index(spark, sf_dir), "doc:small doc:brand doc:4", limit=-1).select("id", "qualname")
+
+
+@query("search_substring", with_views("SELECT id, qualname FROM symbols WHERE lower(qualname || chr(0) || name || chr(0) || doc) LIKE '%nickel brand#4_%'", "symbols"))
+def search_substring(spark, sf_dir):
+    """A text that is no expression is sought as a substring, by the letter pieces that it is made of."""
+    return search_symbols(index(spark, sf_dir), "nickel Brand#4_", limit=-1).select("id", "qualname")
+
+
+def _document_postings(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return rows, *once(spark, sf_dir, "postings", lambda: stored(postings(rows, "doc_id", ("text", "source")), "doc_id"))
+
+
+@query("search_top_k", _POSTINGS + _hits(_word("idiot"), _word("with"), _word("moron")) + _SCORED + "SELECT doc_id, round(-score, 6) AS score FROM score ORDER BY round(-score, 6) DESC, doc_id LIMIT 20")
+def search_top_k(spark, sf_dir):
+    """The best rows for three words; blocks of rows that cannot hold any of them are skipped."""
+    rows, post, _ = _document_postings(spark, sf_dir)
+    kept = once(spark, sf_dir, "ranked", lambda: ranked.Ranked(post, "doc_id", F.floor(F.col("doc_id") / 64)))
+    return kept.top(["idiot", "with", "moron"], 20, rows.count())[0]
+
+
+@query("search_near", _POSTINGS.rstrip().rstrip(",") + """
+SELECT a.doc_id, a.col, CAST(min(greatest(a.pos, b.pos, c.pos) - least(a.pos, b.pos, c.pos) - 2) AS INTEGER) AS least
+FROM post a JOIN post b ON b.doc_id = a.doc_id AND b.col = a.col AND abs(b.pos - a.pos) <= 12 JOIN post c ON c.doc_id = a.doc_id AND c.col = a.col AND abs(c.pos - a.pos) <= 12
+WHERE a.term = 'the' AND b.term = 'of' AND c.term = 'with' GROUP BY ALL HAVING min(greatest(a.pos, b.pos, c.pos) - least(a.pos, b.pos, c.pos) - 2) <= 10""")
+def search_near(spark, sf_dir):
+    """Documents in which three words stand near one another, in any order."""
+    rows, post, lengths = _document_postings(spark, sf_dir)
+    return ranked.search_near(Searcher(rows, "doc_id", ("text", "source"), post, lengths), ["of", "with", "the"], 10)
+
+
+# ---------------------------------------------------------------- imports in all languages, and small functions
+
+@query("resolve_imports_languages", sources.LINKED_SQL)
+def resolve_imports_languages(spark, sf_dir):
+    """Imports of six languages: dotted, relative with and without a suffix, by path, and such as lead nowhere."""
+    files, imports = sources.linked(spark, sf_dir)
+    return resolve.resolve_imports(imports, cut(files, "linked-files")).select("file_id", "module", "target_id", "line")
+
+
+@query("dependents_relative", sources.RELATIVE_SQL)
+def dependents_relative(spark, sf_dir):
+    """Who imports a module by name from its own package, with a relative import."""
+    files = cut(sources.linked(spark, sf_dir)[0], "linked-files")
+    none = files.where("false")
+    first = files.where("lang = 'python'").agg(F.min("id")).first()[0]
+    path = files.where(F.col("id") == first + len(sources.TEMPLATES)).select("path").first()
+    return graph.dependents(graph.Index(files, none, none, sources.relative_imports(files)), path[0] if path else "", limit=None)
+
+
+@query("imported_names", with_views("SELECT file_id, module, unnest(names) AS name, line FROM imports", "imports"))
+def imported_names(spark, sf_dir):
+    return index(spark, sf_dir).store.rows("imported").select("file_id", "module", "name", "line")
+
+
+@query("stats_map", with_views("""
+SELECT '{' || string_agg('"' || lang || '":' || n, ',' ORDER BY lang) || '}' AS languages FROM (SELECT lang, count(*) AS n FROM files GROUP BY lang)"""))
+def stats_map(spark, sf_dir):
+    return graph.stats(index(spark, sf_dir)).select(F.to_json("languages").alias("languages"))
+
+
+@query("dot_escape", r"""SELECT page_id, sha256(replace(replace(html, '\', '\\'), '"', '\"')) AS escaped FROM pages WHERE html IS NOT NULL""")
+def dot_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.sha2(X.dot_escape(F.col("html")), 256).alias("escaped"))

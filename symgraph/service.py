@@ -66,8 +66,15 @@ class Tool:
         return {"type": "object", "properties": kinds, "required": list(self.required)}
 
 
+#: Rows that a tool tells at most; an answer that would be longer is refused, not cut.
+MOST_ROWS = 100_000
+
+
 def _rows(df: DataFrame) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.collect()]
+    found = df.limit(MOST_ROWS + 1).collect()
+    if len(found) > MOST_ROWS:
+        raise ToolError(f"the answer has more than {MOST_ROWS} rows; give a limit, or use the library")
+    return [r.asDict(recursive=True) for r in found]
 
 
 def _limit(args: dict, default: int) -> int:
