@@ -64,7 +64,8 @@ TEMPLATES = [
         "type S{p} struct {\n}\ntype R{p} interface {\n}\nfunc (s *S{p}) Find{p}(k string) string {\n\treturn low{q}.Up(k)\n}\nfunc Serve{p}(k string) {\n\ttrim{q}(k)\n}",
         (("type", "S{p}", "", 0, 1, "", ""), ("interface", "R{p}", "", 2, 3, "", ""), ("method", "Find{p}", "S{p}", 4, 6, "k string", ""), ("function", "Serve{p}", "", 7, 9, "k string", "")),
         ((5, "S{p}.Find{p}", "low{q}.Up"), (8, "Serve{p}", "trim{q}")),
-        ((2, "fmt{f}", "", "module"), (4, "strings{f}", "", "module")),
+        # An item of a block is counted from the block's first letter by its place within the brackets.
+        ((2, "fmt{f}", "", "module"), (3, "strings{f}", "", "module")),
     ),
     Template(
         "java", "java", "com.s{f}", "package com.s{f};\nimport java.util.L{f};",
