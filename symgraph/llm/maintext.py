@@ -25,9 +25,10 @@ them, as pages often leave them open.
 
 Cases: a null or empty page and a page without text give an empty text. Pages
 cut off in the middle of a tag, comment or script are read up to there. Pages
-of any length and depth are read whole, in time linear in their length. Repeated rows give equal results; an empty table gives no
-rows. Columns asked for pass through; a new column gets underscores added where
-its name would clash with one of them.
+of any length and depth are read whole, in time linear in their length. Repeated
+rows give equal results; an empty table gives no rows. Columns asked for pass
+through; a new column gets underscores added where its name would clash with
+one of them.
 """
 
 from __future__ import annotations
@@ -48,7 +49,6 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 #: Elements whose content is no markup.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that are nodes of the tree; all others only format text.
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
