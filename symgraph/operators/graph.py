@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut
-from .store import Store
+from .store import LITERALS, Store, few_values
 
 
 @dataclass(frozen=True)
@@ -124,21 +124,29 @@ def impact(index: Index, symbol: str, depth: int = 3, limit: int | None = 200) -
     """
     spark, sym = index.symbols.sparkSession, find_symbol(index, symbol)
     start = spark.createDataFrame([] if sym is None else [(sym,)], "id long")
-    frontier, seen, hops = start, None, []
+    # The frontier's ids while they are few enough to be literals.
+    frontier, few, seen, hops, found_ids = start, [] if sym is None else [sym], None, [], []
     for hop in range(1, max(1, depth) + 1):
-        edges = index.lookup("calls", "callee_id", frontier).where("caller_id IS NOT NULL AND callee_id IS NOT NULL")
-        reached = edges.join(frontier.withColumnRenamed("id", "callee_id"), "callee_id", "left_semi").select(F.col("caller_id").alias("id")).distinct()
+        if few is not None:
+            edges = index.get("calls", "callee_id", *few)
+        else:
+            edges = index.calls.join(frontier.withColumnRenamed("id", "callee_id"), "callee_id", "left_semi")
+        reached = edges.where("caller_id IS NOT NULL AND callee_id IS NOT NULL").select(F.col("caller_id").alias("id")).distinct()
         if seen is not None:
             reached = reached.join(seen, "id", "left_anti")
         # From the second hop on, the start itself is no news either.
         frontier = cut(reached.join(start, "id", "left_anti") if hop > 1 else reached, "impact")
-        if hop > 1 and frontier.isEmpty():
+        few = few_values(frontier)
+        if few == [] and hop > 1:
             break
+        found_ids = None if few is None or found_ids is None else found_ids + few
         hops.append(frontier.withColumn("depth", F.lit(hop)))
         seen = frontier if seen is None else seen.unionByName(frontier)
     found = reduce(DataFrame.unionByName, hops)
-    rows = found.join(index.lookup("symbols", "id", found.select("id")).select("id", "qualname", "kind", "file_id"), "id")
-    rows = rows.join(_paths(index, rows, "file_id"), "file_id")
+    known = found_ids is not None and len(found_ids) <= LITERALS
+    symbols = (index.get("symbols", "id", *found_ids) if known else index.symbols).select("id", "qualname", "kind", "file_id")
+    paths = _paths(index, symbols, "file_id") if known else index.files.select(F.col("id").alias("file_id"), "path")
+    rows = found.join(symbols, "id").join(paths, "file_id")
     return top(rows.select("depth", "qualname", "kind", "path"), ["depth", "qualname", "path", "kind"], limit)
 
 
