@@ -173,9 +173,9 @@ def _build(spark: SparkSession, settings: Settings, force: bool) -> Report:
         left = store.lookup("lengths", "file_id", touched).agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
         gone = store.lookup("symbols", "file_id", touched).count()
         more = rows["lengths"].agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
-        report.symbols, report.imports = fresh_segment["rows"]["symbols"], fresh["imports"].count()
+        report.symbols, report.imports = fresh_segment["rows"].get("symbols", 0), fresh["imports"].count()
         report.calls = fresh["calls"].count()
-        report.calls_relinked = fresh_segment["rows"]["calls"] - report.calls
+        report.calls_relinked = fresh_segment["rows"].get("calls", 0) - report.calls
         totals = {"n_symbols": totals["n_symbols"] - gone + report.symbols, "n_terms": totals["n_terms"] - left[1] + more}
         first = store.mergeable(fresh_segment)
         segments = [*store.segments, fresh_segment]

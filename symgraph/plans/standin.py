@@ -110,7 +110,7 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
         base = f"{shared_dir(spark)}/symgraph/standin-{uuid.uuid4().hex}"
         segment = write_segment(spark, base, new_segment(0), rows, {}, small=False)
         n_terms = rows["lengths"].agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
-        told = {"root": "/standin", "last_indexed": "2024-01-01T00:00:00+00:00", "n_symbols": segment["rows"]["symbols"], "n_terms": n_terms}
+        told = {"root": "/standin", "last_indexed": "2024-01-01T00:00:00+00:00", "n_symbols": segment["rows"].get("symbols", 0), "n_terms": n_terms}
         return Index.of(Store(spark, base, {"version": 1, "segments": [segment], **told}))
 
     return once(spark, sf_dir, "index", make)
