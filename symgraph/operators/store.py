@@ -279,9 +279,11 @@ def next_version(store: Store, segments: list[dict], **told) -> dict:
 def merged(store: Store, first: int, fresh: dict) -> tuple[Store, dict[str, DataFrame], dict[str, DataFrame]]:
     """What segments from number ``first`` on and the segment ``fresh`` are together: a store over both, rows, dead owners."""
     both = Store(store.spark, store.base, next_version(store, [*store.segments, fresh]))
-    rows = {t: both.rows(t, first=first) for t in fresh["rows"]}
+    # A table may have rows, or owners that are gone, in any of them.
+    held = {"files"}.union(*(s["rows"] for s in both.segments[first:]))
+    rows = {t: both.rows(t, first=first) for t in LAYOUTS if t in held}
     if first == 0:
         return both, rows, {}
-    dead = {t: d for t in fresh["rows"] if (d := both._dead(t, first - 1)) is not None}
+    dead = {t: d for t in LAYOUTS if (d := both._dead(t, first - 1)) is not None}
     return both, rows, dead
 
