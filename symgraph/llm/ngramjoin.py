@@ -19,8 +19,11 @@ with equal sets are one set with copies. The join runs in steps:
    Signatures with the same members count once.
 3. Linking. The sets under a signature are compared with one hub of theirs,
    linked sets are merged into components, and this repeats with other hubs.
-   Sets that then still stand in different components under one signature are
-   compared in blocks by their sketches, which bound the intersection from
+   Where very many components are then left under one signature, its list is
+   replaced by lists of that signature and one n-gram more, drawn from prefixes
+   longer by one; two sets that share k n-grams and are linked share a further
+   one there. Sets that still stand in different components under one signature
+   are compared in blocks by their sketches, which bound the intersection from
    above; only pairs that the bound lets pass become rows and are verified.
    No link is lost, and a group of near copies never becomes rows of all pairs.
 
@@ -54,8 +57,11 @@ MAX_FREQUENT = 1 << 20
 HUB_ROUNDS = 3
 #: A sketch counts a set's n-grams in this many buckets.
 BUCKETS = 512
-#: Sets of one signature that one side of a block holds, and signatures that a block looks at, about.
+#: Sets that one side of a block holds, and signatures that a block looks at, about.
 BLOCK, BLOCK_SIGNATURES = 512, 128
+#: A list with more components is replaced by lists of longer combinations, of up to so many n-grams; in blocks
+#: each of its sets would be copied more often than its prefix has n-grams.
+LONG, DEEPEST = 1 << 16, 5
 #: A set with more frequent n-grams than this in its prefix indexes them singly.
 PAIRED = 64
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -198,28 +204,50 @@ def frequent_tokens(sets: DataFrame, percent: int, bound: int = FREQUENT, most:
     return np.sort(rows["token"].to_numpy(dtype=np.int64))
 
 
-def prefix_classes(tokens: np.ndarray, alone: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rare and the frequent n-grams of a set's prefix; ``tokens`` rise as unsigned numbers, ``alone`` are unique to the set."""
-    need = prefix_need(len(tokens), percent) - len(alone)
+def in_order(tokens: np.ndarray, alone: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's rare and its frequent n-grams, each rising; ``tokens`` rise as unsigned numbers, ``alone`` are unique to the set and left out."""
     tokens = tokens[~np.isin(tokens, alone)]
     at = np.minimum(np.searchsorted(frequent, tokens), max(0, len(frequent) - 1))
     common = frequent[at] == tokens if len(frequent) else np.zeros(len(tokens), bool)
-    rare = tokens[~common][:need]
-    return rare, tokens[common][: need - len(rare) + 1] if len(rare) < need else tokens[:0]
+    return tokens[~common], tokens[common]
 
 
-def set_signatures(tokens: np.ndarray, alone: np.ndarray, frequent: np.ndarray, wide: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of one set; ``wide`` are the frequent n-grams that wide sets index singly, rising."""
+def prefix_classes(tokens: np.ndarray, alone: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rare and the frequent n-grams of a set's prefix."""
+    need = prefix_need(len(tokens), percent) - len(alone)
+    rare, common = in_order(tokens, alone, frequent)
+    rare = rare[:need]
+    return rare, common[: need - len(rare) + 1] if len(rare) < need else tokens[:0]
+
+
+def named_signatures(tokens: np.ndarray, alone: np.ndarray, frequent: np.ndarray, wide: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Signatures of one set, each kind with a row of n-grams for each; ``wide`` are the frequent ones that wide sets index singly, rising."""
     rare, common = prefix_classes(tokens, alone, frequent, percent)
-    found = [rare]
+    found = [(rare, rare[:, None])]
     if len(common) <= PAIRED:
         pairs = common.view(np.uint64)
         i, j = np.triu_indices(len(pairs), 1)
-        found.append(mixed(pairs[i] * _M + mixed(pairs[j])).view(np.int64))
-        common = common[np.isin(common, wide)] if len(wide) else common[:0]
+        found.append((mixed(pairs[i] * _M + mixed(pairs[j])).view(np.int64), np.stack((common[i], common[j]), axis=1)))
+        # Small sets under a low threshold may be linked by a single one.
+        if -(-len(tokens) * percent // 100) > 1:
+            common = common[np.isin(common, wide)] if len(wide) else common[:0]
     # Mixed, so that a single one is no rare one's signature.
-    found.append(mixed(common.view(np.uint64) + _M).view(np.int64))
-    return np.concatenate(found)
+    found.append((mixed(common.view(np.uint64) + _M).view(np.int64), common[:, None]))
+    return found
+
+
+def set_signatures(tokens: np.ndarray, alone: np.ndarray, frequent: np.ndarray, wide: np.ndarray, percent: int) -> np.ndarray:
+    return np.concatenate([sigs for sigs, _ in named_signatures(tokens, alone, frequent, wide, percent)])
+
+
+def extended(parts: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The combination ``parts`` with each further n-gram of ``prefix``: signatures and their n-grams."""
+    more = prefix[~np.isin(prefix, parts)]
+    rows = np.sort(np.concatenate((np.broadcast_to(parts, (len(more), len(parts))), more[:, None]), axis=1), axis=1)
+    sig = np.full(len(rows), rows.shape[1], np.uint64)
+    for column in rows.T:
+        sig = mixed(sig * _M + mixed(np.ascontiguousarray(column).view(np.uint64) + _C))
+    return sig.view(np.int64), rows
 
 
 def wide_tokens(sets: DataFrame, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -239,9 +267,9 @@ def wide_tokens(sets: DataFrame, frequent: np.ndarray, percent: int) -> np.ndarr
     return np.sort(rows["token"].to_numpy(dtype=np.int64))
 
 
-def signatures(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def signatures(sets: DataFrame, frequent: np.ndarray, wide: np.ndarray, percent: int) -> DataFrame:
     """(sig, sid, n)."""
-    shared = sets.sparkSession.sparkContext.broadcast((frequent, wide_tokens(sets, frequent, percent)))
+    shared = sets.sparkSession.sparkContext.broadcast((frequent, wide))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,6 +282,85 @@ def signatures(sets: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
     return sets.select("sid", "n", "tokens", "alone").mapInArrow(run, "sig long, sid long, n long")
 
 
+def longer_signatures(wanted: DataFrame, sets: DataFrame, frequent: np.ndarray, wide: np.ndarray, percent: int) -> DataFrame:
+    """(sig, sid, n, parts, deeper): the signatures (sig, sid, parts) with one n-gram more.
+
+    ``parts`` is null for signatures of :func:`signatures`. A set that may be
+    linked by no more n-grams than its signature has keeps that one as well,
+    with ``deeper`` false.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast((frequent, wide))
+    given = wanted.groupBy("sid").agg(F.collect_list(F.struct("sig", "parts")).alias("wanted")).join(sets.select("sid", "n", "tokens", "alone"), "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, wide = shared.value
+        for batch in batches:
+            for sid, n, asked, tokens, alone in zip(*(batch.column(k) for k in range(5)), strict=True):
+                sid, n, asked = sid.as_py(), n.as_py(), asked.as_py()
+                tokens, alone = np.asarray(tokens.values), np.asarray(alone.values)
+                known = [(w["sig"], np.array(w["parts"], np.int64)) for w in asked if w["parts"] is not None]
+                first = np.array([w["sig"] for w in asked if w["parts"] is None], np.int64)
+                for sigs, parts in named_signatures(tokens, alone, frequent, wide, percent) if len(first) else ():
+                    at = np.isin(sigs, first)
+                    known += zip(sigs[at].tolist(), parts[at], strict=True)
+                ordered = np.concatenate(in_order(tokens, alone, frequent))
+                need = prefix_need(len(tokens), percent) - len(alone)
+                told: set[int] = set()
+                for sig, parts in known:
+                    # Linked sets share len(parts) + 1 n-grams within this reach.
+                    found, rows = extended(parts, ordered[: need + len(parts)])
+                    # The same combination may come from several that it extends.
+                    new = np.array([x not in told for x in found.tolist()], bool)
+                    told.update(found.tolist())
+                    found, rows = found[new], rows[new]
+                    deeper = np.ones(len(found), bool)
+                    if -(-n * percent // 100) <= len(parts):
+                        found, deeper = np.append(found, sig), np.append(deeper, False)
+                    held = [*map(list, rows.tolist()), *[parts.tolist()] * (len(found) - len(rows))]
+                    size = len(found)
+                    columns = [pa.array(found, pa.int64()), pa.array(np.full(size, sid)), pa.array(np.full(size, n)), pa.array(held, pa.list_(pa.int64())), pa.array(deeper)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["sig", "sid", "n", "parts", "deeper"])
+
+    return given.select("sid", "n", "wanted", "tokens", "alone").mapInArrow(run, "sig long, sid long, n long, parts array<long>, deeper boolean")
+
+
+def long_lists(rows: DataFrame) -> DataFrame:
+    """(sig) of the lists (sig, sid, comp) with more than LONG components."""
+    large = rows.groupBy("sig").agg(F.count("*").alias("size")).where(F.col("size") > LONG).select("sig")
+    large = cut(large, "large")
+    if large.isEmpty():
+        return large
+    comps = rows.join(large, "sig", "left_semi").select("sig", "comp").distinct()
+    return cut(comps.groupBy("sig").agg(F.count("*").alias("size")).where(F.col("size") > LONG).select("sig"), "long")
+
+
+def shortened(split: DataFrame, labels: DataFrame, sets: DataFrame, classes: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """``split`` with its long lists replaced by lists of longer combinations, of which those within one component go."""
+    long = long_lists(split)
+    if long.isEmpty():
+        return split
+    kept = split.join(long, "sig", "left_anti").select("sig", "least", "sigs", "sid", "comp")
+    asked = split.join(long, "sig", "left_semi").select("sig", "sid", F.lit(None).cast("array<long>").alias("parts"))
+    done = []
+    for _ in range(DEEPEST - 2):
+        rows = cut(longer_signatures(asked, sets, *classes, percent), "longer")
+        placed = rows.join(labels, "sid")
+        long = long_lists(placed.where("deeper").select("sig", "sid", "comp"))
+        done.append(rows.join(long, "sig", "left_anti").select("sig", "sid", "n"))
+        asked = rows.where("deeper").join(long, "sig", "left_semi").select("sig", "sid", "parts")
+        if long.isEmpty():
+            break
+    else:
+        # Blocks take what is still long.
+        done.append(rows.join(long, "sig", "left_semi").select("sig", "sid", "n"))
+    index = done[0]
+    for more in done[1:]:
+        index = index.unionByName(more)
+    lists = distinct_lists(index.distinct()).join(labels, "sid")
+    apart = lists.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
+    return kept.unionByName(lists.join(apart, "sig", "left_semi").select("sig", "least", "sigs", "sid", "comp"))
+
+
 def distinct_lists(index: DataFrame) -> DataFrame:
     """(sig, least, width, sigs, sid, n, weight) of the signatures that count.
 
@@ -316,29 +423,35 @@ def sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def block_pairs(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components under a signature that their sketches do not rule out.
 
-    ``split`` holds (sig, least, width, sigs, sid, comp). Signatures with the
-    same least member are handled together, so a pair that shares many
-    signatures is mostly told once. Where there are many of them they are dealt
-    into parts, members of long lists are dealt into blocks, and every two
-    blocks meet for each part in a group of bounded size.
+    ``split`` holds (sig, least, sigs, sid, comp). Signatures with the same
+    least member are handled together, dealt into parts where there are many, so
+    a pair that shares many signatures is mostly told once. The sets of a part
+    are one row each. They are dealt into blocks of bounded size, of which every
+    two meet, but for those of the part's largest component among themselves.
     """
-    blocks = F.ceil(F.col("width") / F.lit(BLOCK)).cast("int")
-    placed = split.withColumn("own", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     part = F.pmod(F.xxhash64("sig"), F.ceil(F.col("sigs") / F.lit(BLOCK_SIGNATURES))).cast("int").alias("part")
-    cells = placed.select("least", part, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "sid", "comp")
+    held = cut(split.groupBy("least", part, "sid").agg(F.min("comp").alias("comp"), F.collect_list("sig").alias("held")), "held")
+    sizes = held.groupBy("least", "part", "comp").agg(F.count("*").alias("size")).groupBy("least", "part")
+    sizes = sizes.agg(F.max(F.struct("size", "comp")).alias("most"), F.sum("size").alias("all")).where("most.size < all")
+    several = F.col("all") > BLOCK
+    rest = F.when(several, F.ceil((F.col("all") - F.col("most.size")) / F.lit(BLOCK))).otherwise(1).cast("int")
+    large = F.when(several, F.ceil(F.col("most.size") / F.lit(BLOCK))).otherwise(0).cast("int")
+    placed = held.join(sizes.select("least", "part", F.when(several, F.col("most.comp")).alias("most"), rest.alias("rest"), large.alias("large")), ["least", "part"])
+    among = F.coalesce(F.col("comp") == F.col("most"), F.lit(False))
+    own = F.when(among, F.col("rest") + F.pmod(F.xxhash64("sid"), F.greatest("large", F.lit(1)))).otherwise(F.pmod(F.xxhash64("sid"), "rest")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("rest") + F.when(among, 0).otherwise(F.col("large")) - 1))
+    known = placed.withColumn("own", own).join(sets.select("sid", "n", "sketch"), "sid")
+    cells = known.withColumn("other", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     keys = ["least", "part", "i", "j"]
-    held = cells.select(*keys, "own", "sid", "comp").distinct().join(sets.select("sid", "n", "sketch"), "sid")
-    held = held.toDF(*[f"{c}_" if c in keys else c for c in held.columns]).select(*[f"{c}_" for c in keys], *[F.col(c).alias(c) for c in ("own", "sid", "comp", "n", "sketch")])
 
-    def meet(signed: pa.Table, table: pa.Table) -> pa.Table:
-        i, j = table.column("i_")[0].as_py(), table.column("j_")[0].as_py()
+    def meet(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         own, sid, comp, n = (table.column(c).to_numpy() for c in ("own", "sid", "comp", "n"))
         counts = sketch_table(table.column("sketch").to_pylist())
-        order = np.argsort(sid)
-        row = order[np.searchsorted(sid, signed.column("sid").to_numpy(), sorter=order)]
-        sigs = np.unique(signed.column("sig").to_numpy(), return_inverse=True)[1]
+        lists = table.column("held").combine_chunks()
+        sigs = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
         holds = np.zeros((len(sid), int(sigs.max()) + 1), np.float32)
-        holds[row, sigs] = 1
+        holds[np.repeat(np.arange(len(sid)), lists.value_lengths().to_numpy()), sigs] = 1
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         found = [np.zeros((2, 0), np.int64)]
         for at in range(0, len(left), 256):
@@ -346,13 +459,15 @@ def block_pairs(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = (holds[part] @ holds[right].T > 0) & (comp[part][:, None] != comp[right][None, :])
             if i == j:
                 good &= sid[part][:, None] < sid[right][None, :]
+            if not good.any():
+                continue
             good &= bound_allows(counts[part], counts[right], n[part], n[right], percent)
             x, y = np.nonzero(good)
             found.append(np.stack((sid[part[x]], sid[right[y]])))
         both = np.concatenate(found, axis=1)
         return pa.table({"a": np.minimum(both[0], both[1]), "b": np.maximum(both[0], both[1])})
 
-    return cells.groupBy(*keys).cogroup(held.groupBy(*[f"{c}_" for c in keys])).applyInArrow(meet, "a long, b long")
+    return cells.select(*keys, "own", "sid", "comp", "n", "sketch", "held").groupBy(*keys).applyInArrow(meet, "a long, b long")
 
 
 def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -378,8 +493,8 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(moved.select("sid", F.coalesce("root", "comp").alias("comp")), "labels")
 
 
-def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, comp) of the sets in ``index``, which comes from :func:`distinct_lists`.
+def components(index: DataFrame, sets: DataFrame, classes: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """(sid, comp) of the sets in ``index``, which comes from :func:`distinct_lists`; ``classes`` are the frequent and the wide n-grams.
 
     The first hub of a list is the member that shares most, later ones stand
     for components at random.
@@ -395,7 +510,8 @@ def components(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             met = placed.join(hubs, "sig").where((F.col("comp") != F.col("hub.comp")) & fits(F.col("n"), F.col("hub.n"), percent))
             pairs = met.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b"))
         else:
-            pairs = block_pairs(placed.join(hubs.select("sig"), "sig", "left_semi"), sets, percent)
+            split = cut(placed.join(hubs.select("sig"), "sig", "left_semi").select("sig", "least", "sigs", "sid", "comp"), "split")
+            pairs = block_pairs(shortened(split, labels, sets, classes, percent), sets, percent)
         pairs = pairs.distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
@@ -420,8 +536,10 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str =
     members = cut(read.select("doc_id", "sid", "n", *more), "members")
     discard(read)
     tokens = cut(set_tokens(docs, left, n, doc_id, text), "set-tokens")
-    index = cut(signatures(tokens, frequent_tokens(tokens, percent), percent), "index")
-    labels = components(distinct_lists(index), tokens, percent)
+    frequent = frequent_tokens(tokens, percent)
+    classes = frequent, wide_tokens(tokens, frequent, percent)
+    index = cut(signatures(tokens, *classes, percent), "index")
+    labels = components(distinct_lists(index), tokens, classes, percent)
     placed = sets.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
     label = [F.col("comp").alias("component")] if with_component else []
