@@ -11,8 +11,8 @@ from symgraph.llm import ngramjoin
 from .test_cases import brute_links
 
 
-@pytest.mark.parametrize("percent", [50, 85])
-def test_ngram_join_with_longer_combinations(spark, monkeypatch, percent):
+@pytest.mark.parametrize("percent, n", [(50, 1), (85, 2)])
+def test_ngram_join_with_longer_combinations(spark, monkeypatch, percent, n):
     """Every list of more than three components is replaced by longer combinations, down to small blocks."""
     monkeypatch.setattr(ngramjoin.frequent_tokens, "__defaults__", (2, 1 << 20))
     for name, value in (("LONG", 3), ("HUB_ROUNDS", 1), ("BLOCK", 4), ("BLOCK_SIGNATURES", 2)):
@@ -28,9 +28,8 @@ def test_ngram_join_with_longer_combinations(spark, monkeypatch, percent):
                 words[rng.randrange(len(words))] = f"w{rng.randrange(12)}"
             docs.append((len(docs), " ".join(words)))
     docs += [(len(docs) + k, text) for k, text in enumerate(("p0", "p0 p1", "p0 p1 p2", "p1 p2"))]
-    for n in (1, 2):
-        got = ngramjoin.link_documents(spark.createDataFrame(docs, "doc_id long, text string"), n, percent).collect()
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_links(docs, n, percent)
+    got = ngramjoin.link_documents(spark.createDataFrame(docs, "doc_id long, text string"), n, percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_links(docs, n, percent)
 
 
 def test_ngram_join_splits_one_signature_of_many_unlinked_sets(spark, monkeypatch):
