@@ -121,16 +121,24 @@ def _over_reach(asked: DataFrame, held: DataFrame, reach: DataFrame, name: str)
 
     ``held`` has one row (file_id, name, n, pick) for each file and name. A name
     that few files hold is looked up there first, and the files that hold it
-    are then sought among those reached. For a name that many files hold, the
-    files reached come first. So rows stay few for each call either way.
+    are then sought among those reached. For names that many files hold, the
+    files reached come first: from file to file go either the names asked for
+    in the one or those held in the other, whichever are fewer, and each only
+    once for all calls that ask for it.
     """
+    columns = ["file_id", name, "n", "pick"]
     files = held.groupBy(name).agg((F.count("*") > HELD_BY_MANY).alias("many"))
-    known = asked.select("file_id", "callee", name).join(files, name)
-    at = held.select(F.col("file_id").alias("reach"), name, "n", "pick")
-    rare = known.where("NOT many").join(at, name).join(reach, ["file_id", "reach"], "left_semi")
-    common = known.where("many").join(reach, "file_id").join(at, ["reach", name])
-    columns = ["file_id", "callee", "n", "pick"]
-    return rare.select(*columns).unionByName(common.select(*columns)).groupBy("file_id", "callee").agg(F.sum("n").alias("n"), F.min("pick").alias("pick"))
+    known = asked.select("file_id", name).distinct().join(files, name)
+    at = held.select(F.col("file_id").alias("reach"), name, "n", "pick").join(files, name)
+    rare = known.where("NOT many").join(at.where("NOT many"), name).join(reach, ["file_id", "reach"], "left_semi")
+    wanted, there = known.where("many").select("file_id", name), at.where("many").drop("many")
+    ways = reach.join(wanted.groupBy("file_id").agg(F.count("*").alias("asks")), "file_id")
+    ways = cut(ways.join(there.groupBy("reach").agg(F.count("*").alias("holds")), "reach"), "resolve-ways")
+    sent = ways.where("asks < holds").join(wanted, "file_id").join(there, ["reach", name])
+    fetched = ways.where("asks >= holds").join(there, "reach")
+    found = rare.select(*columns).unionByName(sent.select(*columns)).unionByName(fetched.select(*columns))
+    summed = found.groupBy("file_id", name).agg(F.sum("n").alias("n"), F.min("pick").alias("pick"))
+    return asked.select(*dict.fromkeys(["file_id", "callee", name])).join(summed, ["file_id", name]).select("file_id", "callee", "n", "pick")
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, reach: DataFrame) -> DataFrame:
