@@ -244,7 +244,7 @@ class StoredSearcher(Searcher):
         return self.store.get("postings", "term", [word], prefix)
 
     def size(self) -> DataFrame:
-        return self.rows.sparkSession.createDataFrame([(self.store.told["n_symbols"], self.store.told["n_terms"])], "rows long, terms long")
+        return self.rows.sparkSession.createDataFrame([self.store.searched()], "rows long, terms long")
 
     def lengths_of(self, keys: DataFrame) -> DataFrame:
         return self.store.lookup("lengths", "id", keys).select("id", "d")

@@ -25,6 +25,7 @@ from __future__ import annotations
 import bisect
 import json
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from weakref import WeakKeyDictionary
@@ -120,39 +121,42 @@ def new_segment(number: int) -> str:
     return f"s-{number:012d}-{uuid.uuid4().hex}"
 
 
+def _lay(rows: DataFrame, path: str, table: str, key: str, small: bool = False) -> None:
+    """Write one layout of a table."""
+    held = rows.select(*[c.split()[0] for c in STORED[table].split(", ")])
+    tie = [c for c in ("id", "file_id") if c in held.columns and c != key]
+    laid = held.coalesce(1) if small else held.repartitionByRange(key, *tie)
+    laid.sortWithinPartitions(key, *tie).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/{table}/by_{key}")
+
+
+def _ends(spark: SparkSession, path: str, table: str, key: str) -> DataFrame:
+    """The least and greatest key and the number of rows of every file of a layout."""
+    held = spark.read.schema(STORED[table]).parquet(f"{path}/{table}/by_{key}").groupBy(F.col("_metadata.file_name").alias("file"))
+    low, high = F.min(key), F.max(key)
+    text = _is_text(table, key)
+    none = [F.lit(None).cast("string"), F.lit(None).cast("string")] if not text else [F.lit(None).cast("long"), F.lit(None).cast("long")]
+    agg = held.agg(low.alias("low"), high.alias("high"), F.count("*").alias("n"))
+    ends = [*none, F.col("low"), F.col("high")] if text else [F.col("low"), F.col("high"), *none]
+    names = ("low_id", "high_id", "low_text", "high_text")
+    return agg.select(F.lit(table).alias("table"), F.lit(key).alias("key"), "file", *[e.alias(n) for e, n in zip(ends, names, strict=True)], "n")
+
+
 def write_segment(spark: SparkSession, base: str, name: str, rows: dict[str, DataFrame], dead: dict[str, DataFrame], small: bool) -> dict:
     """Write the rows of every table in all its layouts, and the owners whose older rows they replace."""
     path = f"{base}/{name}"
 
     keys = {t: LAYOUTS[t][:1] if small else LAYOUTS[t] for t in rows}
 
-    def lay(table: str, key: str) -> None:
-        held = rows[table].select(*[c.split()[0] for c in STORED[table].split(", ")])
-        tie = [c for c in ("id", "file_id") if c in held.columns and c != key]
-        laid = held.coalesce(1) if small else held.repartitionByRange(key, *tie)
-        laid.sortWithinPartitions(key, *tie).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/{table}/by_{key}")
-
     def lay_dead() -> None:
         parts = [df.select(F.lit(t).alias("table"), F.col(df.columns[0]).cast("long").alias("owner")) for t, df in dead.items()]
         named = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], DEAD)
         named.distinct().coalesce(1).write.parquet(f"{path}/dead")
 
     with ThreadPoolExecutor(8) as pool:
-        jobs = [pool.submit(lay, t, k) for t in rows for k in keys[t]] + [pool.submit(lay_dead)]
+        jobs = [pool.submit(_lay, rows[t], path, t, k, small) for t in rows for k in keys[t]] + [pool.submit(lay_dead)]
         for job in jobs:
             job.result()
-    parts = []
-    for table in rows:
-        for key in keys[table]:
-            held = spark.read.schema(STORED[table]).parquet(f"{path}/{table}/by_{key}").groupBy(F.col("_metadata.file_name").alias("file"))
-            low, high = F.min(key), F.max(key)
-            text = _is_text(table, key)
-            none = [F.lit(None).cast("string"), F.lit(None).cast("string")] if not text else [F.lit(None).cast("long"), F.lit(None).cast("long")]
-            agg = held.agg(low.alias("low"), high.alias("high"), F.count("*").alias("n"))
-            ends = [*none, F.col("low"), F.col("high")] if text else [F.col("low"), F.col("high"), *none]
-            names = ("low_id", "high_id", "low_text", "high_text")
-            parts.append(agg.select(F.lit(table).alias("table"), F.lit(key).alias("key"), "file", *[e.alias(n) for e, n in zip(ends, names, strict=True)], "n"))
-    bounds = reduce(DataFrame.unionByName, parts)
+    bounds = reduce(DataFrame.unionByName, [_ends(spark, path, t, k) for t in rows for k in keys[t]])
     if not small:
         bounds.coalesce(1).write.parquet(f"{path}/bounds")
         bounds = spark.read.parquet(f"{path}/bounds")
@@ -184,6 +188,16 @@ def settled(keys: DataFrame, name: str) -> DataFrame:
     return local
 
 
+def _ranges(bounds: DataFrame) -> dict[tuple, list[tuple]]:
+    """By table and key: (low, high, file) in order."""
+    held: dict = {}
+    for r in bounds.collect():
+        low, high = (r["low_text"], r["high_text"]) if _is_text(r["table"], r["key"]) else (r["low_id"], r["high_id"])
+        if low is not None:
+            held.setdefault((r["table"], r["key"]), []).append((low, high, r["file"]))
+    return {k: sorted(v) for k, v in held.items()}
+
+
 class Store:
     """The tables of one version; ``told`` is None for an index that has none yet."""
 
@@ -222,12 +236,7 @@ class Store:
     def _files(self, segment: dict, table: str, key: str) -> list[tuple]:
         """(low, high, file) in order, for files with any key; read once for each segment."""
         if segment["name"] not in self._bounds:
-            held: dict = {}
-            for r in self.spark.read.schema(BOUNDS).parquet(f"{self.base}/{segment['name']}/bounds").collect():
-                low, high = (r["low_text"], r["high_text"]) if _is_text(r["table"], r["key"]) else (r["low_id"], r["high_id"])
-                if low is not None:
-                    held.setdefault((r["table"], r["key"]), []).append((low, high, r["file"]))
-            self._bounds[segment["name"]] = {k: sorted(v) for k, v in held.items()}
+            self._bounds[segment["name"]] = _ranges(self.spark.read.schema(BOUNDS).parquet(f"{self.base}/{segment['name']}/bounds"))
         return self._bounds[segment["name"]].get((table, key), [])
 
     def get(self, table: str, key: str, values: list, prefix: bool = False) -> DataFrame:
@@ -261,6 +270,10 @@ class Store:
         keys = keys.select(F.col(keys.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct()
         return self.rows(table, key).join(keys, key, "left_semi").select(*self._none(table).columns)
 
+    def searched(self) -> tuple[int, int]:
+        """How many symbols and search terms there are."""
+        return self.told["n_symbols"], self.told["n_terms"]
+
     def mergeable(self, fresh: dict) -> int:
         """From which segment on the segments and a new one of these rows should be one; their number if none."""
         size = lambda s: sum(s["rows"].values())
@@ -271,6 +284,36 @@ class Store:
         return first
 
 
+class LazyStore(Store):
+    """A store over tables that lie somewhere else; each layout is written when a lookup first asks for it.
+
+    ``tables`` has a function for each table that gives its rows. Whole tables
+    are read as they are given, so a query pays only for the keys it uses.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, tables: dict[str, Callable[[], DataFrame]], told: dict):
+        segment = {"name": new_segment(0), "rows": dict.fromkeys(tables, 0), "dead": [], "small": False}
+        super().__init__(spark, base, {"version": 1, "segments": [segment], **told})
+        self._tables = tables
+
+    def rows(self, table: str, key: str | None = None, first: int = 0) -> DataFrame:
+        return self._tables[table]().select(*[c.split()[0] for c in STORED[table].split(", ")])
+
+    def _files(self, segment: dict, table: str, key: str) -> list[tuple]:
+        held = self._bounds.setdefault(segment["name"], {})
+        if (table, key) not in held:
+            path = f"{self.base}/{segment['name']}"
+            _lay(self.rows(table), path, table, key)
+            held[table, key] = _ranges(_ends(self.spark, path, table, key)).get((table, key), [])
+        return held[table, key]
+
+    def searched(self) -> tuple[int, int]:
+        if "n_terms" not in self.told:
+            n_terms = self.rows("lengths").agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
+            self.told |= {"n_symbols": self.rows("symbols").count(), "n_terms": n_terms}
+        return super().searched()
+
+
 def next_version(store: Store, segments: list[dict], **told) -> dict:
     """The description of the version after ``store``'s with these segments."""
     return store.told | {"version": store.told["version"] + 1, "segments": segments} | told

@@ -1,6 +1,10 @@
 """What queries write and send grows no faster than their tables."""
 
+import os
+
 from symgraph.operators import resolve
+from symgraph.plans import standin
+from symgraph.plans.queries import QUERIES
 
 
 def test_few_held_names_answer_many_calls(spark, monkeypatch):
@@ -25,3 +29,17 @@ def test_few_held_names_answer_many_calls(spark, monkeypatch):
         assert most <= 4_000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def laid_out(index):
+    store = index.store
+    folder = f"{store.base}/{store.segments[0]['name']}"
+    return sorted(f"{t}/{k}" for t in (os.listdir(folder) if os.path.isdir(folder) else []) if os.path.isdir(f"{folder}/{t}") for k in os.listdir(f"{folder}/{t}"))
+
+
+def test_queries_write_only_the_layouts_they_ask_for(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(standin, "_STORED", {})
+    QUERIES["first_by_id"](spark, sf_dir).collect()
+    assert laid_out(standin.index(spark, sf_dir)) == []
+    QUERIES["callees"](spark, sf_dir).collect()
+    assert [x for x in laid_out(standin.index(spark, sf_dir)) if x.startswith(("calls", "imports", "grams", "postings"))] == ["calls/by_caller_id"]
