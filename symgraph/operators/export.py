@@ -11,26 +11,35 @@ from ..functions.text import dot_escape
 from .graph import Index
 
 
-def json_sections(index: Index) -> dict[str, DataFrame]:
-    """The exported tables, each in a fixed order."""
+#: The order of each exported table.
+ORDER = {"files": ["path"], "symbols": ["qualname", "file", "start_line"], "calls": ["file", "line", "callee", "caller"], "imports": ["file", "line", "module"]}
+
+
+def json_tables(index: Index) -> dict[str, DataFrame]:
+    """The exported tables."""
     files, paths = index.files, index.files.select(F.col("id").alias("file_id"), F.col("path").alias("file"))
     targets = files.select(F.col("id").alias("target_id"), F.col("path").alias("target_path"))
     symbols = index.symbols.join(paths, "file_id")
     calls = index.calls.join(paths, "file_id")
     imports = index.imports.join(paths, "file_id").join(targets, "target_id", "left")
     return {
-        "files": files.select("path", "lang", "module", "lines").orderBy("path"),
-        "symbols": symbols.select("qualname", "name", "kind", "parent", "start_line", "end_line", "signature", "file").orderBy("qualname", "file", "start_line"),
-        "calls": calls.select(F.col("caller_name").alias("caller"), "callee", "callee_id", "line", "file").orderBy("file", "line", "callee", "caller"),
-        "imports": imports.select("module", "kind", "line", "file", "target_path").orderBy("file", "line", "module"),
+        "files": files.select("path", "lang", "module", "lines"),
+        "symbols": symbols.select("qualname", "name", "kind", "parent", "start_line", "end_line", "signature", "file"),
+        "calls": calls.select(F.col("caller_name").alias("caller"), "callee", "callee_id", "line", "file"),
+        "imports": imports.select("module", "kind", "line", "file", "target_path"),
     }
 
 
+def json_sections(index: Index) -> dict[str, DataFrame]:
+    """The exported tables, each in a fixed order."""
+    return {name: rows.orderBy(*ORDER[name]) for name, rows in json_tables(index).items()}
+
+
 def json_rows(index: Index) -> DataFrame:
-    """(section, json): one row for each exported record."""
+    """(section, json): one row for each exported record, in no order."""
     parts = [
         rows.select(F.lit(name).alias("section"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
-        for name, rows in json_sections(index).items()
+        for name, rows in json_tables(index).items()
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -449,9 +449,8 @@ UNION ALL SELECT 'imports', i.module, i.kind, f.path, i.line FROM imports i LEFT
 def export_json_rows(spark, sf_dir):
     """The exported JSON records of all four sections, read back."""
     got = export.json_rows(index(spark, sf_dir))
-    field = lambda name: F.get_json_object("json", "$." + name)
     told = {"files": ("path", "lang", "module", "lines"), "symbols": ("qualname", "kind", "name", "start_line"), "calls": ("caller", "callee", "callee_id", "line"), "imports": ("module", "kind", "target_path", "line")}
-    parts = [got.where(F.col("section") == k).select("section", *[field(f).alias(c) for f, c in zip(fields, "abcn", strict=True)]) for k, fields in told.items()]
+    parts = [got.where(F.col("section") == k).select("section", F.json_tuple("json", *fields).alias(*"abcn")) for k, fields in told.items()]
     return reduce(DataFrame.unionByName, parts).withColumn("n", F.col("n").cast("long"))
 
 

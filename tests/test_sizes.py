@@ -2,7 +2,7 @@
 
 import os
 
-from symgraph.operators import resolve
+from symgraph.operators import export, resolve
 from symgraph.plans import standin
 from symgraph.plans.queries import QUERIES
 
@@ -43,3 +43,10 @@ def test_queries_write_only_the_layouts_they_ask_for(spark, sf_dir, monkeypatch)
     assert laid_out(standin.index(spark, sf_dir)) == []
     QUERIES["callees"](spark, sf_dir).collect()
     assert [x for x in laid_out(standin.index(spark, sf_dir)) if x.startswith(("calls", "imports", "grams", "postings"))] == ["calls/by_caller_id"]
+
+
+def test_export_rows_are_not_sorted(spark, sf_dir):
+    index = standin.index(spark, sf_dir)
+    assert "Sort " not in export.json_rows(index)._jdf.queryExecution().optimizedPlan().toString()
+    paths = [r["path"] for r in export.json_sections(index)["files"].collect()]
+    assert paths == sorted(paths)
