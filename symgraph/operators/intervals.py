@@ -24,6 +24,8 @@ from ..scratch import cut
 BLOCK = 256
 #: Tasks of a range partitioning are numbered below two to this power.
 TASK_BITS = 20
+#: Events that a task of :func:`enclosing` holds, about; larger inputs have more tasks.
+TASK_EVENTS = 200_000
 
 
 def _open(field: T.StructField, name: str | None = None) -> T.StructField:
@@ -85,10 +87,13 @@ def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], at: str, sta
     told = ["__start", "__end", "__value", "__id"]
     events = [held.select(*keys, F.col(c).alias("__at"), F.lit(k).alias("__kind"), *told) for c, k in (("__start", 0), ("__end", 2))]
     nothing = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in told]
-    events.append(asked.select(*keys, F.col(at).cast("long").alias("__at"), F.lit(1).alias("__kind"), *nothing))
     # At one place spans begin before points and end after them; those that begin there come by value.
     order = [*keys, "__at", "__kind", "__value", "__id"]
-    laid = events[0].unionByName(events[1]).unionByName(events[2]).repartitionByRange(*order).sortWithinPartitions(*order)
+    asked = cut(asked, "points")
+    n_events = 2 * held.count() + asked.count()
+    events.append(asked.select(*keys, F.col(at).cast("long").alias("__at"), F.lit(1).alias("__kind"), *nothing))
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_events // TASK_EVENTS))
+    laid = events[0].unionByName(events[1]).unionByName(events[2]).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     fields = [_open(held.schema[k]) for k in keys] + [T.StructField("__at", T.LongType()), T.StructField("__kind", T.IntegerType()), T.StructField("__task", T.IntegerType())]
     fields += [T.StructField("__id", T.LongType()), T.StructField("__start", T.LongType()), _open(held.schema["__value"])]
 
@@ -96,7 +101,7 @@ def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], at: str, sta
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        # The whole stretch of one task; range partitioning bounds it.
+        # The whole stretch of one task; the number of tasks bounds it.
         table = pa.Table.from_batches(batches).combine_chunks()
         column = lambda c: table.column(c).chunk(0)
         kinds, places = column("__kind").to_numpy(), column("__at").to_numpy()

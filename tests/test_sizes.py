@@ -2,7 +2,9 @@
 
 import os
 
-from symgraph.operators import export, resolve
+from pyspark.sql import functions as F
+
+from symgraph.operators import export, intervals, resolve
 from symgraph.plans import standin
 from symgraph.plans.queries import QUERIES
 
@@ -50,3 +52,15 @@ def test_export_rows_are_not_sorted(spark, sf_dir):
     assert "Sort " not in export.json_rows(index)._jdf.queryExecution().optimizedPlan().toString()
     paths = [r["path"] for r in export.json_sections(index)["files"].collect()]
     assert paths == sorted(paths)
+
+
+def test_more_events_are_swept_by_more_tasks(spark, monkeypatch):
+    swept, plain = [], intervals.cut
+    monkeypatch.setattr(intervals, "TASK_EVENTS", 100, raising=False)
+    monkeypatch.setattr(intervals, "cut", lambda df, name: swept.append(plain(df, name)) or swept[-1] if name == "swept" else plain(df, name))
+    points = spark.range(2_000).selectExpr("id % 3 AS k", "id AS at")
+    spans = spark.range(2_000).selectExpr("id % 3 AS k", "id AS first", "id + id % 50 AS last", "id AS value")
+    found = intervals.enclosing(points, spans, ["k"], "at", "first", "last", "value", "found")
+    expected = points.alias("p").join(spans.alias("s"), F.expr("p.k = s.k AND p.at BETWEEN s.first AND s.last")).groupBy("p.k", "p.at").agg(F.max("s.value").alias("found"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    assert swept[0].select("__task").distinct().count() >= 40
