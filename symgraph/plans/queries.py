@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import languages as L
 from ..functions import text as X
-from ..operators import export, graph, intervals, ranked, resolve, scan, snapshot
+from ..operators import export, graph, intervals, ranked, relink, resolve, scan, snapshot
 from ..operators.search import Searcher, parse, postings, search_symbols, stored
-from ..scratch import cut
+from ..scratch import cut, numbered
 from ..settings import DEFAULT_EXCLUDES
 from ..sources.files import excluded, included
 from . import sources
@@ -474,15 +474,32 @@ def scan_symbols(spark, sf_dir):
     return scan.symbols(sources.files(spark, sf_dir))
 
 
+def _source_files(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The files with ids, and (path, file_id)."""
+    files = cut(numbered(sources.files(spark, sf_dir), "path"), "sources")
+    return files, files.select("path", F.col("id").alias("file_id"))
+
+
 @query("scan_calls", sources.CALLS_SQL)
 def scan_calls(spark, sf_dir):
-    files = cut(sources.files(spark, sf_dir), "sources")
-    return scan.calls(files, cut(scan.symbols(files), "source-symbols")).select("path", "line", "caller_name", "callee")
+    """Calls found in the sources, linked to the symbols found there."""
+    files, ids = _source_files(spark, sf_dir)
+    found = cut(scan.symbols(files), "source-symbols")
+    symbols = cut(relink.symbol_rows(found, ids), "source-ids")
+    asked = cut(relink.with_ids(scan.calls(files, found), ids), "source-calls")
+    calls, _ = relink.link_all(files.drop("text"), symbols, asked, relink.with_ids(scan.imports(files), ids))
+    names = symbols.select(F.col("id").alias("callee_id"), F.col("qualname").alias("target"))
+    return calls.join(ids, "file_id").join(names, "callee_id", "left").select("path", "line", "caller_name", "callee", "target")
 
 
 @query("scan_imports", sources.IMPORTS_SQL)
 def scan_imports(spark, sf_dir):
-    return scan.imports(sources.files(spark, sf_dir)).select("path", "module", F.array_join("names", ",").alias("names"), "kind", "line")
+    """Imports found in the sources, linked to the files."""
+    files, ids = _source_files(spark, sf_dir)
+    imports = resolve.resolve_imports(cut(relink.with_ids(scan.imports(files), ids), "source-imports"), files.drop("text"))
+    targets = ids.select(F.col("file_id").alias("target_id"), F.col("path").alias("target"))
+    linked = imports.join(ids, "file_id").join(targets, "target_id", "left")
+    return linked.select("path", "module", F.array_join("names", ",").alias("names"), "kind", "line", "target")
 
 
 @query("search_symbols", with_views("SELECT id, qualname FROM symbols WHERE doc = 'SMALL Brand#4'", "symbols"))

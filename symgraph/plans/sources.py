@@ -1,7 +1,8 @@
 """Source texts in six languages made from the supplier and part tables, and what scanning them gives.
 
 A supplier is a file and each of its parts a stretch of lines in it. In the
-templates {f} stands for the file, {p} for the part and {q} for the one after.
+templates {f} stands for the file, {g} for the next one of its language, {p}
+for the part and {q} for the one after, which lies in another file.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ class Template:
     symbols: tuple = ()
     # (line, caller, callee)
     calls: tuple = ()
-    # (line from 1, module, names, kind)
+    # (line from 1, module, names, kind, path of the target)
     imports: tuple = ()
 
     @property
@@ -39,25 +40,25 @@ class Template:
 
 TEMPLATES = [
     Template(
-        "python", "py", "src{f}", "import os{f}\nfrom pkg{f} import a{f}, b{f}",
-        "class K{p}:\n    '''Doc of {p}.'''\n    def m{p}(self, a):\n        \"\"\"Says {p}.\"\"\"\n        return helper{q}(a) if a else None\ndef g{p}(x, y={p}):\n    return K{p}(x)",
+        "python", "py", "src{f}", "import os{f}\nfrom src{g} import a{f}, b{f}",
+        "class K{p}:\n    '''Doc of {p}.'''\n    def m{p}(self, a):\n        \"\"\"Says {p}.\"\"\"\n        return h{q}(a) if a else None\ndef g{p}(x, y={p}):\n    return K{p}(x)",
         (("class", "K{p}", "", 0, 4, "", "Doc of {p}."), ("method", "m{p}", "K{p}", 2, 4, "self, a", "Says {p}."), ("function", "g{p}", "", 5, 6, "x, y={p}", "")),
-        ((4, "K{p}.m{p}", "helper{q}"), (6, "g{p}", "K{p}")),
-        ((1, "os{f}", "", "module"), (2, "pkg{f}", "a{f},b{f}", "from")),
+        ((4, "K{p}.m{p}", "h{q}"), (6, "g{p}", "K{p}")),
+        ((1, "os{f}", "", "module", ""), (2, "src{g}", "a{f},b{f}", "from", "src{g}.py")),
     ),
     Template(
-        "javascript", "js", "src{f}", "import { u{f}, v{f} as w{f} } from './src{f}x'\nconst { z{f} } = require('lib{f}')",
+        "javascript", "js", "src{f}", "import { u{f}, v{f} as w{f} } from './src{g}'\nconst { z{f} } = require('lib{f}')",
         "export class C{p} {\n  run{p}(a, b) {\n    return this.stop{q}(a)\n  }\n}\nexport function f{p}(x) {\n  if (x) { other{q}(x) }\n}\nconst h{p} = (t) => f{p}(t)",
         (("class", "C{p}", "", 0, 4, "", ""), ("method", "run{p}", "C{p}", 1, 4, "a, b", ""), ("function", "f{p}", "", 5, 7, "x", ""), ("function", "h{p}", "", 8, 8, "t", "")),
         ((2, "C{p}.run{p}", "this.stop{q}"), (6, "f{p}", "other{q}"), (8, "h{p}", "f{p}")),
-        ((1, "./src{f}x", "u{f},v{f},w{f}", "import"), (2, "lib{f}", "z{f}", "require")),
+        ((1, "./src{g}", "u{f},v{f},w{f}", "import", "src{g}.js"), (2, "lib{f}", "z{f}", "require", "")),
     ),
     Template(
-        "typescript", "ts", "src{f}", "import './side{f}'",
+        "typescript", "ts", "src{f}", "import './src{g}'",
         "export interface I{p} {\n  id: number\n}\nexport type T{p} = string\nexport function f{p}(x: I{p}) {\n  return make{q}(x)\n}",
         (("interface", "I{p}", "", 0, 2, "", ""), ("type", "T{p}", "", 3, 3, "", ""), ("function", "f{p}", "", 4, 6, "x: I{p}", "")),
         ((5, "f{p}", "make{q}"),),
-        ((1, "./side{f}", "", "import"),),
+        ((1, "./src{g}", "", "import", "src{g}.ts"),),
     ),
     Template(
         "go", "go", "pkg{f}", 'package pkg{f}\nimport "fmt{f}"\nimport (\n\t"strings{f}"\n)',
@@ -65,30 +66,30 @@ TEMPLATES = [
         (("type", "S{p}", "", 0, 1, "", ""), ("interface", "R{p}", "", 2, 3, "", ""), ("method", "Find{p}", "S{p}", 4, 6, "k string", ""), ("function", "Serve{p}", "", 7, 9, "k string", "")),
         ((5, "S{p}.Find{p}", "low{q}.Up"), (8, "Serve{p}", "trim{q}")),
         # An item of a block is counted from the block's first letter by its place within the brackets.
-        ((2, "fmt{f}", "", "module"), (3, "strings{f}", "", "module")),
+        ((2, "fmt{f}", "", "module", ""), (3, "strings{f}", "", "module", "")),
     ),
     Template(
         "java", "java", "com.s{f}", "package com.s{f};\nimport java.util.L{f};",
         "public class J{p} {\n    static int add{p}(int a, int b) {\n        return sum{q}(a, b);\n    }\n}",
         (("class", "J{p}", "", 0, 4, "", ""), ("method", "add{p}", "J{p}", 1, 4, "int a, int b", "")),
         ((2, "J{p}.add{p}", "sum{q}"),),
-        ((2, "java.util.L{f}", "", "import"),),
+        ((2, "java.util.L{f}", "", "import", ""),),
     ),
     Template(
-        "rust", "rs", "src{f}", "use std::fmt{f};\nmod part{f};",
+        "rust", "rs", "src{f}", "use std::fmt{f};\nmod src{g};",
         "pub struct P{p} {\n    x: f64,\n}\npub trait Q{p} {\n    fn area{p}(&self) -> f64 {\n        0.0\n    }\n}\nimpl P{p} {\n    pub fn new{p}() -> f64 {\n        dist{q}(0.0)\n    }\n}\npub fn top{p}(a: f64) -> f64 {\n    a.root{q}()\n}",
         (
             ("type", "P{p}", "", 0, 2, "", ""), ("interface", "Q{p}", "", 3, 12, "", ""), ("method", "area{p}", "Q{p}", 4, 8, "&self", ""),
             ("method", "new{p}", "P{p}", 9, 12, "", ""), ("function", "top{p}", "", 13, 15, "a: f64", ""),
         ),
         ((10, "P{p}.new{p}", "dist{q}"), (14, "top{p}", "a.root{q}")),
-        ((1, "std::fmt{f}", "", "use"), (2, "part{f}", "", "mod")),
+        ((1, "std::fmt{f}", "", "use", ""), (2, "src{g}", "", "mod", "src{g}.rs")),
     ),
 ]
 
 
 def _filled(template: str, f: Column, p: Column | None = None) -> Column:
-    out = F.replace(F.lit(template), F.lit("{f}"), f.cast("string"))
+    out = F.replace(F.replace(F.lit(template), F.lit("{f}"), f.cast("string")), F.lit("{g}"), (f + len(TEMPLATES)).cast("string"))
     if p is not None:
         out = F.replace(F.replace(out, F.lit("{p}"), p.cast("string")), F.lit("{q}"), (p + 1).cast("string"))
     return out
@@ -139,12 +140,25 @@ SELECT path, kind, {_put("name")} AS name, module || '.' || {_put("CASE WHEN out
   CAST(before + k * size + first + 1 AS INTEGER) AS start_line, CAST(before + k * size + last + 1 AS INTEGER) AS end_line, {_put("signature")} AS signature, {_put("doc")} AS doc
 FROM parts JOIN t USING (l)"""
 
-CALLS_SQL = _BASE + _values([(k, *c) for k, t in enumerate(TEMPLATES) for c in t.calls], "t(l, line, caller, callee)") + f"""
-SELECT path, CAST(before + k * size + line + 1 AS INTEGER) AS line, module || '.' || {_put("caller")} AS caller_name, {_put("callee")} AS callee FROM parts JOIN t USING (l)"""
-
-IMPORTS_SQL = _BASE + _values([(k, *i) for k, t in enumerate(TEMPLATES) for i in t.imports], "t(l, line, asked, names, kind)") + """
-SELECT path, replace(asked, '{f}', f::VARCHAR) AS module, replace(names, '{f}', f::VARCHAR) AS names, kind, CAST(line AS INTEGER) AS line FROM files JOIN t USING (l)"""
+#: A call means the symbol of its name in its own file, else the only one of that name.
+CALLS_SQL = (
+    _BASE
+    + _values([(k, *c) for k, t in enumerate(TEMPLATES) for c in t.calls], "t(l, line, caller, callee)")
+    + ",\n"
+    + _values([(k, *s[1:3]) for k, t in enumerate(TEMPLATES) for s in t.symbols], "named(l, name, outer_name)")
+    + f""",
+symbols AS (SELECT f, {_put("name")} AS name, module || '.' || {_put("CASE WHEN outer_name = '' THEN name ELSE outer_name || '.' || name END")} AS qualname FROM parts JOIN named USING (l)),
+own AS (SELECT f, name, min(qualname) AS target FROM symbols GROUP BY f, name HAVING count(*) = 1),
+alone AS (SELECT name, min(qualname) AS target FROM symbols GROUP BY name HAVING count(*) = 1),
+found AS (SELECT f, path, CAST(before + k * size + line + 1 AS INTEGER) AS line, module || '.' || {_put("caller")} AS caller_name, {_put("callee")} AS callee FROM parts JOIN t USING (l))
+SELECT path, line, caller_name, callee, coalesce(own.target, alone.target) AS target FROM found
+LEFT JOIN own ON own.f = found.f AND own.name = regexp_extract(callee, '[^.]*$') LEFT JOIN alone ON alone.name = regexp_extract(callee, '[^.]*$')"""
+)
 
+_ASKED = "replace(replace({}, '{{f}}', files.f::VARCHAR), '{{g}}', (files.f + %d)::VARCHAR)" % len(TEMPLATES)
+IMPORTS_SQL = _BASE + _values([(k, *i) for k, t in enumerate(TEMPLATES) for i in t.imports], "t(l, line, asked, names, kind, target)") + f"""
+SELECT files.path, {_ASKED.format("asked")} AS module, replace(names, '{{f}}', files.f::VARCHAR) AS names, kind, CAST(line AS INTEGER) AS line, other.path AS target
+FROM files JOIN t ON t.l = files.l LEFT JOIN files other ON other.path = {_ASKED.format("t.target")}"""
 
 # ---------------------------------------------------------------- imports in all languages
 

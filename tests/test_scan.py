@@ -68,3 +68,12 @@ def test_globs():
     for pattern in ("*.min.js", "a?c", "[ab]*", "[!a]b", "x/**/y", "[", "a.b"):
         for name in ("q.min.js", "abc", "bcd", "cb", "ab", "x/1/2/y", "[", "a.b", "axb"):
             assert bool(re.match(glob_regex(pattern), name)) == fnmatch.fnmatchcase(name, pattern), (pattern, name)
+
+
+def test_scanned_calls_and_imports_are_linked(spark, sf_dir):
+    from symgraph.plans.queries import QUERIES
+
+    calls = {(r["path"], r["callee"]): r["target"] for r in QUERIES["scan_calls"](spark, sf_dir).collect()}
+    assert calls["src1.js", "other2"] is None and calls["src0.py", "K10"] == "src0.K10" and calls["src0.py", "h1"] == "src1.h1"
+    targets = {r["module"]: r["target"] for r in QUERIES["scan_imports"](spark, sf_dir).where("path = 'src1.js'").collect()}
+    assert targets == {"./src7": "src7.js", "lib1": None}
