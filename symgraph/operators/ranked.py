@@ -12,11 +12,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import cut
-from .search import K1, LEAST_IDF, B
+from .search import K1, LEAST_IDF, B, tasks_for
 
 #: Scores are rounded to so many digits, and equal ones go by key.
 DIGITS = 6
@@ -47,11 +47,13 @@ class Ranked:
     def __init__(self, post: DataFrame, key: str, block_of: Column, name: str = "ranked"):
         """``post`` are :func:`search.postings`; ``block_of`` is a row's block, told by its key."""
         self.key = key
-        counted = cut(post.groupBy("term", key).agg(F.count("*").alias("f")), f"{name}-counts")
-        lengths = cut(counted.groupBy(key).agg(F.sum("f").alias("d")), f"{name}-lengths")
-        self.n_terms = lengths.agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
-        rows = counted.join(lengths, key).withColumn("block", block_of)
-        self.rows = cut(rows.repartitionByRange("term", "block", key).sortWithinPartitions("term", "block", key), f"{name}-rows")
+        tasks = tasks_for(post)
+        # By key, so that counts and lengths need one shuffle.
+        counted = post.select(key, "term").repartition(tasks, key).groupBy(key, "term").agg(F.count("*").alias("f"))
+        counted = cut(counted.withColumn("d", F.sum("f").over(Window.partitionBy(key))), f"{name}-counts")
+        self.n_terms = counted.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+        rows = counted.withColumn("block", block_of)
+        self.rows = cut(rows.repartitionByRange(tasks, "term", "block", key).sortWithinPartitions("term", "block", key), f"{name}-rows")
         # Parts grow with f and fall with d, whatever the mean length is; pairs that no other beats in both bound the block.
         shape = self.rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("f").alias("most_f"), F.min("d").alias("least_d"))
         self.blocks = cut(shape.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), f"{name}-blocks")

@@ -143,10 +143,20 @@ def grams_of_pattern(text: str) -> list[str]:
     return sorted({p[i : i + GRAM] for p in parts for i in range(len(p) - GRAM + 1)})
 
 
+#: Rows of a task that sorts postings, about; larger inputs have more tasks.
+TASK_ROWS = 1_000_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """In how many tasks to sort rows that are stored: as many as shuffles have, and more where there are many rows."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+
+
 def stored(post: DataFrame, key: str, name: str = "postings") -> tuple[DataFrame, DataFrame]:
     """Postings written out in order of their terms, so that a lookup reads only the stretches that may hold its term, and (key, d), each row's number of terms."""
-    laid = cut(post.repartitionByRange("term", key).sortWithinPartitions("term", key), name)
-    return laid, cut(laid.groupBy(key).agg(F.count("*").alias("d")), f"{name}-lengths")
+    held = cut(post, f"{name}-found")  # texts are split once, not again for the bounds of ranges
+    laid = cut(held.repartitionByRange(tasks_for(held), "term", key).sortWithinPartitions("term", key), name)
+    return laid, cut(held.groupBy(key).agg(F.count("*").alias("d")), f"{name}-lengths")
 
 
 def _phrases(query, scored: bool = False) -> list[Phrase]:

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from symgraph.operators import ranked
+from symgraph.operators import ranked, search
 from symgraph.operators.search import Searcher, postings
 
 
@@ -53,3 +53,15 @@ def test_near_against_brute_force(spark):
                 if widths and min(widths) - len(words) <= between:
                     expected[k, col] = min(widths) - len(words)
         assert got == expected, words
+
+
+def test_more_postings_are_sorted_in_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(search, "TASK_ROWS", 50, raising=False)
+    rows = spark.createDataFrame([(k // 2, f"t{k} a") for k in range(400)], "id long, text string")
+    post = postings(rows, "id", ("text",))
+    laid, lengths = search.stored(post, "id")
+    kept = ranked.Ranked(laid, "id", F.floor(F.col("id") / 16))
+    for df in (laid, kept.rows):
+        assert df.select(F.input_file_name()).distinct().count() > 8
+    assert laid.count() == 800 and lengths.where("d <> 4").count() == 0 and kept.n_terms == 800
+    assert kept.rows.where("d <> 4 OR f <> IF(term = 'a', 2, 1)").count() == 0 and kept.rows.count() == 600
