@@ -99,15 +99,19 @@ def map_texts(docs: DataFrame, keep: list[str], columns: dict[str, tuple[str, pa
     fields = [T.StructField(k, docs.schema[k].dataType) for k in keep]
     fields += [T.StructField(k, T._parse_datatype_string(kind)) for k, (kind, _) in columns.items()]
     kinds = [arrow for _, arrow in columns.values()]
-    place = len(keep)
+    width = len(keep)
+    # Texts that pass through anyway are sent once: batches of whole texts are what these tasks' memory goes to.
+    if text in keep and docs.schema[text].dataType == T.StringType():
+        place, given = keep.index(text), kept
+    else:
+        place, given = width, docs.select(*[docs[k] for k in keep], docs[text].cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in itertools.chain.from_iterable(slices(b, place) for b in batches):
             made = fn(batch.column(place).to_pylist())
-            arrays = [batch.column(i) for i in range(place)] + [pa.array(c, type=t) for c, t in zip(made, kinds, strict=True)]
+            arrays = [batch.column(i) for i in range(width)] + [pa.array(c, type=t) for c, t in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *columns])
 
-    given = docs.select(*[docs[k] for k in keep], docs[text].cast("string").alias("__text"))
     return given.mapInArrow(run, T.StructType(fields))
 
 

@@ -16,7 +16,7 @@ from itertools import chain, count, islice
 import numpy as np
 
 #: Distinct pieces whose ids a worker keeps; pieces met after that are encoded anew in each batch.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 #: New pieces that are encoded as one text.
 JOINED_PIECES = 200
 #: Where a cut before every space would be wrong: the space is followed by white space or the end.
