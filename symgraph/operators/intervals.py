@@ -255,9 +255,10 @@ def _first_later(asked: DataFrame, stops: DataFrame, keys: list[str], width: int
 
 def next_at_most(items: DataFrame, stops: DataFrame, keys: list[str], at: str, level: str, out: str, inclusive: bool = False) -> DataFrame:
     """``items`` with the first later place in ``stops`` whose level is at most their own, null if there is none. Places are whole numbers."""
-    asked = items.select(*keys, F.col(at).alias("__p"), F.col(level).alias("__l")).distinct()
-    marks = stops.groupBy(*keys, F.col(at).alias("__at")).agg(F.min(level).alias("__level"))
-    least, most = stops.agg(F.min(at), F.max(at)).first()
+    # Both are read at every depth of blocks.
+    asked = cut(items.select(*keys, F.col(at).alias("__p"), F.col(level).alias("__l")).distinct(), "asked")
+    marks = cut(stops.groupBy(*keys, F.col(at).alias("__at")).agg(F.min(level).alias("__level")), "marks")
+    least, most = marks.agg(F.min("__at"), F.max("__at")).first()
     width = int(most - least) + 1 if least is not None else 0
     found = _first_later(asked, marks, keys, width, inclusive)
     found = found.withColumnRenamed("__p", at).withColumnRenamed("__l", level).withColumnRenamed("__found", out)

@@ -147,11 +147,12 @@ def symbols(files: DataFrame, langs: list[str] | None = None) -> DataFrame:
     kind = F.when((F.col("lang") == "python") & (F.col("d.kind") == "function") & (last_outer == "class"), "method").when(
         (F.col("lang") == "rust") & (F.col("d.kind") == "function") & (F.size("outers") > 0), "method"
     ).otherwise(F.col("d.kind"))
-    named = held.select(
+    # Nearly every step below asks for these rows several times, and so would find the containers around them each time.
+    named = cut(held.select(
         "path", "lang", "n_lines", "line", "level", kind.alias("kind"), F.col("d.name").alias("name"), F.col("d.signature").alias("signature"),
         F.when(F.size(inner) > 0, F.array_join(F.concat(prefix, inner), ".")).otherwise("").alias("parent"),
         F.array_join(F.concat(prefix, inner, F.array("d.name")), ".").alias("qualname"),
-    )
+    ), "scan-named")
 
     braced = named.where(F.col("lang") != "python")
     braced = next_at_most(braced, braced.select("path", "line", "level"), ["path"], "line", "level", "stop")
