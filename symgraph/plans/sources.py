@@ -104,7 +104,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers, parts = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "part"))
     n = F.broadcast(suppliers.agg(F.count("*").alias("n")))  # one row
     held = parts.crossJoin(n).groupBy((F.col("p_partkey") % F.col("n")).alias("f")).agg(F.sort_array(F.collect_list("p_partkey")).alias("ps"))
-    each = suppliers.select(F.col("s_suppkey").alias("f"), (F.col("s_suppkey") % len(TEMPLATES)).alias("l")).join(held, "f", "left")
+    named = suppliers.select(F.col("s_suppkey").alias("f"), (F.col("s_suppkey") % len(TEMPLATES)).alias("l"))
+    # Texts are far larger than the rows that they are made from, so by those rows' size all would be made in one task.
+    each = named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "f").join(held, "f", "left")
     path = lang = text = F.lit(None).cast("string")
     for k, t in enumerate(TEMPLATES):
         mine = F.col("l") == k
