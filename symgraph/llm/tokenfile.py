@@ -30,6 +30,8 @@ from .tokens import Encoder
 END_ID = 2
 #: A frame is closed when it holds this many ids.
 FRAME_IDS = 1 << 22
+#: Bytes of text that are encoded at a time, about; they stay in Arrow's form.
+ENCODED_BYTES = 8 << 20
 FRAME_SCHEMA = "shard int, frame int, doc_ids array<long>, lengths array<int>, n_ids long, list_crc long, body binary"
 _FRAME = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("list_crc", pa.int64()), ("body", pa.binary())])
 _DOC = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("place", pa.int32()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int64()))])
@@ -67,8 +69,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
             row = [[shard], [frame], [names], [lengths], [n], [list_crc(names, lengths)], [pack_frame(np.concatenate(held))]]
             return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, _FRAME, strict=True)], schema=_FRAME)
 
-        for batch in chain.from_iterable(slices(b, 1) for b in batches):
-            encoded = Encoder.of(vocabulary).encode(batch.column(1).to_pylist(), end_id)
+        for batch in chain.from_iterable(slices(b, 1, ENCODED_BYTES) for b in batches):
+            encoded = Encoder.of(vocabulary).encode(batch.column(1), end_id)
             for name, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 names.append(name)
                 held.append(ids)
@@ -94,9 +96,9 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
             for row in batch.to_pylist():
                 ids, sizes = checked_ids(row), np.array(row["lengths"], dtype=np.int64)
                 ends = np.cumsum(sizes)
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B") if len(ids) else b""
                 crcs = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                each = np.split(ids, ends[:-1]) if with_ids else [None] * len(sizes)
+                each = np.split(ids.astype(np.int64), ends[:-1]) if with_ids else [None] * len(sizes)
                 columns = [[row["shard"]] * len(sizes), [row["frame"]] * len(sizes), range(len(sizes)), row["doc_ids"], ends - sizes, sizes, crcs, each]
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, _DOC, strict=True)], schema=_DOC)
 
