@@ -164,7 +164,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None] | pa.Array, end_id: int) -> list[np.ndarray]:
         """The ids of each text (none for a null) and ``end_id``, as 32-bit arrays."""
-        given = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        given = pc.fill_null(texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         uneven = pc.match_substring_regex(given, UNEVEN_RE)
         split = pc.split_pattern(given.filter(pc.invert(uneven)), " ")
         bounds, pieces = split.offsets.to_numpy(), split.flatten()

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from symgraph.llm import rangecoder
 from symgraph.llm.tokens import Encoder, vocabulary
@@ -44,6 +45,14 @@ def test_ids_are_those_of_whole_texts():
         assert [x.tolist() for x in encoder.encode(texts, 7)] == [[*e.ids, 7] for e in found]
 
 
+def test_batches_without_texts_or_with_odd_ones_alone():
+    encoder = Encoder(vocabulary("byte_bpe_50k.json"))
+    odd = ["a  b", " ", "x "]
+    assert encoder.encode([], 7) == [] and encoder.encode([None], 7)[0].tolist() == [7]
+    for texts in (odd, pa.array(odd, pa.large_string()), pa.array(["y", *odd])[1:]):
+        assert [x.tolist() for x in encoder.encode(texts, 7)] == [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in odd]
+
+
 def test_frames_have_the_bytes_they_had():
     ids = np.arange(40_000) * np.arange(40_000) % 1_009 + 70_000 * (np.arange(40_000) % 97 == 0)
     frame = rangecoder.pack_frame(ids)
