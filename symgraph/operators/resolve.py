@@ -8,12 +8,14 @@ occurs everywhere costs one row, not one for each pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.languages import ALL_EXTENSIONS, IMPORT_EXTENSIONS, extension
 from ..functions.text import last_segment, normalize_path
-from ..scratch import cut
+from ..scratch import cut, temporary
 
 #: Languages in which files of one module share names without imports.
 FAMILIES = ("java", "go", "javascript", "typescript")
@@ -116,6 +118,15 @@ def reachable_files(imports: DataFrame, files: DataFrame, wanted: DataFrame | No
     return direct.unionByName(wanted.join(first, "module").select("file_id", "reach")).distinct()
 
 
+def _by_file(*parts: DataFrame) -> DataFrame:
+    """All rows of all parts, those of a file in one task.
+
+    What one part tells the others about a file and something more is then read
+    by windows, which need no other exchange; a join on both would have one.
+    """
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition("file_id")
+
+
 def _over_reach(asked: DataFrame, held: DataFrame, reach: DataFrame, name: str) -> DataFrame:
     """(file_id, callee, n, pick): the symbols under ``name`` in all files that each asking file reaches.
 
@@ -128,7 +139,7 @@ def _over_reach(asked: DataFrame, held: DataFrame, reach: DataFrame, name: str)
     """
     columns = ["file_id", name, "n", "pick"]
     files = held.groupBy(name).agg((F.count("*") > HELD_BY_MANY).alias("many"))
-    known = asked.select("file_id", name).distinct().join(files, name)
+    known = asked.select("file_id", name).repartition(name).distinct().join(files, name)
     at = held.select(F.col("file_id").alias("reach"), name, "n", "pick").join(files, name)
     rare = known.where("NOT many").join(at.where("NOT many"), name).join(reach, ["file_id", "reach"], "left_semi")
     wanted, there = known.where("many").select("file_id", name), at.where("many").drop("many")
@@ -147,33 +158,66 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, reach:
     Rules, best first: a symbol of the same file by qualified name, then by
     unique name; of a reachable file by qualified name, then by unique name
     over all of them; of another file of the same module by unique name; of
-    the whole index by unique name. Ties go to the lowest id. Each rule sees
-    only the calls that those before it left open.
+    the whole index by unique name. Ties go to the lowest id. Rules that look
+    beyond the file see only the calls that the file itself left open.
+
+    Texts asked for are sent once, to the names that symbols have; what no
+    symbol has goes no further, and the rest goes on by numbers of names. The
+    calls themselves are sent once, by file, to the answers.
     """
+    with temporary(calls.sparkSession) as lasting:
+        best, callers = _answers(calls, symbols, files, reach)
+        best, callers = lasting(best, "resolve-best"), lasting(callers, "resolve-callers")
+    given = calls.drop("caller_id", "callee_id")
+    told = _by_file(given.withColumn("__call", F.lit(True)), best, callers)
+    told = told.withColumn("callee_id", F.max("callee_id").over(Window.partitionBy("file_id", "callee")))
+    told = told.withColumn("caller_id", F.max("caller_id").over(Window.partitionBy("file_id", "caller_name")))
+    return told.where("__call").select(*given.columns, "callee_id", "caller_id")
+
+
+def _answers(calls: DataFrame, symbols: DataFrame, files: DataFrame, reach: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file_id, callee, callee_id) for the texts that have an answer, and (file_id, caller_name, caller_id)."""
     lang = files.select(F.col("id").alias("file_id"), "lang", "module")
-    asked = calls.select("file_id", "callee").distinct().withColumn("name", last_segment(F.col("callee"))).where("name <> ''")
-    asked = asked.join(lang, "file_id")
-    symbols = cut(symbols.select("id", "file_id", "name", "qualname").join(lang.select("file_id", "module"), "file_id"), "resolve-symbols")
-    by_qualname = symbols.groupBy("file_id", F.col("qualname").alias("callee")).agg(F.count("*").alias("n"), F.min("id").alias("pick"))
-    by_name = symbols.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.min("id").alias("pick"), F.bit_xor("id").alias("ids"))
-    key = ["file_id", "callee"]
-
-    own = by_qualname.select(*key, F.col("pick").alias("by_qualname"))
-    named = by_name.where("n = 1").select("file_id", "name", F.col("pick").alias("by_name"))
-    unique = symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("anywhere")).where("n = 1").select("name", "anywhere")
-    near = asked.join(own, key, "left").join(named, ["file_id", "name"], "left").withColumn("near", F.coalesce("by_qualname", "by_name"))
-    # Other files of the module: all of its symbols of that name less those of the file itself; if one is left, its id is what their ids differ by.
-    family = symbols.groupBy("module", "name").agg(F.count("*").alias("all_n"), F.bit_xor("id").alias("all_ids"))
-    mine = by_name.select("file_id", "name", F.col("n").alias("own_n"), F.col("ids").alias("own_ids"))
-    placed = near.join(family, ["module", "name"], "left").join(mine, ["file_id", "name"], "left").join(unique, "name", "left")
-    alone = F.col("lang").isin(*FAMILIES) & (F.col("all_n") - F.coalesce("own_n", F.lit(0)) == 1)
-    far = F.coalesce(F.when(alone, F.col("all_ids").bitwiseXOR(F.coalesce("own_ids", F.lit(0)))), "anywhere")
-    settled = cut(placed.select(*key, "name", "near", far.alias("far")), "resolve-asked")
+    placed = cut(symbols.select("id", "file_id", "name", "qualname").join(lang.select("file_id", "module"), "file_id"), "resolve-symbols")
+
+    # Numbers of names and of qualified names; they are stored, so they are the same wherever they are read.
+    alone = F.when(F.count("*") == 1, F.min("id")).alias("anywhere")
+    names = cut(placed.where("name <> ''").groupBy("name").agg(alone).withColumn("n_id", F.monotonically_increasing_id()), "resolve-names")
+    texts = placed.select(F.col("qualname").alias("callee")).where("callee IS NOT NULL").distinct()
+    texts = cut(texts.withColumn("q_id", F.monotonically_increasing_id()), "resolve-texts")
+    held = placed.join(names.select("name", "n_id"), "name", "left").join(texts.withColumnRenamed("callee", "qualname"), "qualname", "left")
+    held = cut(held.select("id", "file_id", "module", "qualname", "n_id", "q_id"), "resolve-held")
+    callers = held.where("qualname IS NOT NULL").groupBy("file_id", F.col("qualname").alias("caller_name")).agg(F.min("id").alias("caller_id"))
+
+    asked = calls.select("file_id", "callee").repartition("callee").distinct().join(texts, "callee", "left")
+    asked = asked.withColumn("name", last_segment(F.col("callee"))).where("name <> ''").join(names, "name", "left")
+    known = asked.where("n_id IS NOT NULL OR q_id IS NOT NULL").select("file_id", "callee", "n_id", "q_id", "anywhere")
+
+    # What the file itself has; its symbols carry ids, the texts asked for do not.
+    near = _by_file(known, held.select("id", "file_id", "n_id", "q_id"))
+    of_text, of_name = Window.partitionBy("file_id", "q_id"), Window.partitionBy("file_id", "n_id")
+    near = near.withColumn("by_text", F.when(F.col("q_id").isNotNull(), F.min("id").over(of_text)))
+    near = near.withColumns({"own_n": F.count("id").over(of_name), "own_ids": F.bit_xor("id").over(of_name), "first": F.min("id").over(of_name)})
+    by_name = F.when(F.col("n_id").isNotNull() & (F.col("own_n") == 1), F.col("first"))
+    near = near.where("callee IS NOT NULL").withColumn("near", F.coalesce("by_text", by_name))
+    # Of what it leaves open, only files with others in their module need to know of those.
+    members = files.groupBy("module").agg(F.count("*").alias("members"))
+    kin = F.when(F.col("lang").isin(*FAMILIES) & (F.col("members") > 1), F.col("module")).alias("kin")
+    near = near.join(lang.join(members, "module", "left").select("file_id", kin), "file_id")
+    settled = cut(near.select("file_id", "callee", "n_id", "q_id", "near", "anywhere", "kin", "own_n", "own_ids"), "resolve-asked")
 
     left = settled.where("near IS NULL")
     reach = cut(reach, "resolve-reach")
-    third = _over_reach(left, by_qualname, reach, "callee").select(*key, F.col("pick").alias("third"))
-    fourth = _over_reach(left, by_name, reach, "name").where("n = 1").select(*key, F.col("pick").alias("fourth"))
-    best = settled.join(third, key, "left").join(fourth, key, "left").select(*key, F.coalesce("near", "third", "fourth", "far").alias("callee_id"))
-    caller = own.select("file_id", F.col("callee").alias("caller_name"), F.col("by_qualname").alias("caller_id"))
-    return calls.drop("caller_id", "callee_id").join(best, key, "left").join(caller, ["file_id", "caller_name"], "left")
+    of = lambda number: left.where(F.col(number).isNotNull()).select("file_id", F.col(number).alias("callee")).distinct()
+    has = lambda number: held.where(F.col(number).isNotNull()).groupBy("file_id", F.col(number).alias("callee")).agg(F.count("*").alias("n"), F.min("id").alias("pick"))
+    third = _over_reach(of("q_id"), has("q_id"), reach, "callee").select("file_id", F.col("callee").alias("q_id"), F.col("pick").alias("third"))
+    fourth = _over_reach(of("n_id"), has("n_id"), reach, "callee").where("n = 1").select("file_id", F.col("callee").alias("n_id"), F.col("pick").alias("fourth"))
+    # Other files of the module: all of its symbols of that name less those of the file itself; if one is left, its id is what their ids differ by.
+    family = held.where("n_id IS NOT NULL").groupBy(F.col("module").alias("kin"), "n_id").agg(F.count("*").alias("all_n"), F.bit_xor("id").alias("all_ids"))
+    fifth = left.where("kin IS NOT NULL AND n_id IS NOT NULL").select("file_id", "kin", "n_id", "own_n", "own_ids").distinct().join(family, ["kin", "n_id"])
+    fifth = fifth.where("all_n - own_n = 1").select("file_id", "n_id", F.col("all_ids").bitwiseXOR(F.coalesce("own_ids", F.lit(0))).alias("fifth"))
+    best = _by_file(settled.select("file_id", "callee", "n_id", "q_id", "near", "anywhere"), third, fourth, fifth)
+    best = best.withColumn("third", F.max("third").over(of_text))
+    best = best.withColumns({rule: F.max(rule).over(of_name) for rule in ("fourth", "fifth")}).where("callee IS NOT NULL")
+    best = best.select("file_id", "callee", F.coalesce("near", "third", "fourth", "fifth", "anywhere").alias("callee_id"))
+    return best.where("callee_id IS NOT NULL"), callers

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -87,25 +88,64 @@ def write_new(spark: SparkSession, name: str, text: str) -> bool:
 
 
 @contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables cut inside when the block ends; frames that read them must not outlive it."""
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete the tables cut inside when the block ends; frames that read them must not outlive it.
+
+    The block is given a :func:`cut` for the tables that are to outlive it.
+    """
     made: list[str] = []
+    outer = _MADE.get()
+
+    def lasting(df: DataFrame, name: str) -> DataFrame:
+        inner = _MADE.set(outer)
+        try:
+            return cut(df, name)
+        finally:
+            _MADE.reset(inner)
+
     token = _MADE.set(made)
     try:
-        yield
+        yield lasting
     finally:
         _MADE.reset(token)
         for folder in made:
             delete(spark, folder)
 
 
+#: By application: how many tables are being cut, and what the setting was before the first of them.
+_CUTTING: dict[str, tuple[int, str]] = {}
+_LOCK = threading.Lock()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go with the writing, not when the driver next collects garbage."""
+    app = spark.sparkContext.applicationId
+    with _LOCK:
+        n, before = _CUTTING.get(app, (0, ""))
+        before = before if n else spark.conf.get(_CLEANUP, "false")
+        _CUTTING[app] = (n + 1, before)
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _CUTTING.pop(app)
+            if n > 1:
+                _CUTTING[app] = (n - 1, before)
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that nothing is computed twice or lost with an executor."""
     path = f"{shared_dir(df.sparkSession)}/symgraph/{name}-{uuid.uuid4().hex}"
     made = _MADE.get()
     if made is not None:
         made.append(path)
-    df.write.parquet(path)
+    with _shuffles_go(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
