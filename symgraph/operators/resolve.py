@@ -138,16 +138,17 @@ def _over_reach(asked: DataFrame, held: DataFrame, reach: DataFrame, name: str)
     once for all calls that ask for it.
     """
     columns = ["file_id", name, "n", "pick"]
-    files = held.groupBy(name).agg((F.count("*") > HELD_BY_MANY).alias("many"))
+    files = cut(held.groupBy(name).agg((F.count("*") > HELD_BY_MANY).alias("many")), "resolve-holders")
     known = asked.select("file_id", name).repartition(name).distinct().join(files, name)
     at = held.select(F.col("file_id").alias("reach"), name, "n", "pick").join(files, name)
-    rare = known.where("NOT many").join(at.where("NOT many"), name).join(reach, ["file_id", "reach"], "left_semi")
-    wanted, there = known.where("many").select("file_id", name), at.where("many").drop("many")
-    ways = reach.join(wanted.groupBy("file_id").agg(F.count("*").alias("asks")), "file_id")
-    ways = cut(ways.join(there.groupBy("reach").agg(F.count("*").alias("holds")), "reach"), "resolve-ways")
-    sent = ways.where("asks < holds").join(wanted, "file_id").join(there, ["reach", name])
-    fetched = ways.where("asks >= holds").join(there, "reach")
-    found = rare.select(*columns).unionByName(sent.select(*columns)).unionByName(fetched.select(*columns))
+    found = known.where("NOT many").join(at.where("NOT many"), name).join(reach, ["file_id", "reach"], "left_semi").select(*columns)
+    if not files.where("many").isEmpty():
+        wanted, there = known.where("many").select("file_id", name), at.where("many").drop("many")
+        ways = reach.join(wanted.groupBy("file_id").agg(F.count("*").alias("asks")), "file_id")
+        ways = cut(ways.join(there.groupBy("reach").agg(F.count("*").alias("holds")), "reach"), "resolve-ways")
+        sent = ways.where("asks < holds").join(wanted, "file_id").join(there, ["reach", name])
+        fetched = ways.where("asks >= holds").join(there, "reach")
+        found = found.unionByName(sent.select(*columns)).unionByName(fetched.select(*columns))
     summed = found.groupBy("file_id", name).agg(F.sum("n").alias("n"), F.min("pick").alias("pick"))
     return asked.select(*dict.fromkeys(["file_id", "callee", name])).join(summed, ["file_id", name]).select("file_id", "callee", "n", "pick")
 
